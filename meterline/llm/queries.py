@@ -5,18 +5,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
-from .common import tables
+from . import packing, simhash, token_files
+from .common import scratch, tables
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables(spark, sf_dir, "documents")
+    return token_files.token_files(spark, docs, scratch(spark, "token-files"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(tables(spark, sf_dir, "documents"), max_distance=2, segments=2, words=3)
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(tables(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, window=1024)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_simhash": op8_simhash}
+    return {f.__name__: f for f in (op4_token_files, op8_simhash, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
