@@ -7,27 +7,93 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, simhash, token_files
+from . import decontaminate, packing, repeats, secrets, simhash, token_files, url_filter
 from .common import scratch, tables
 
+# The rules and the listed hosts of op6.
+URL_RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+LISTED_HOSTS = ["spam-farm.example.org", "cheap-pills.example.com", "casino-win.example.org", "ads-track.example.org", "free-bets.example.com"]
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.decontaminate(docs, tables(spark, sf_dir, "benchmark"), least=5, threshold=0.6)
+    contaminated = F.size("hits") > 0
+    return found.select(
+        "doc_id",
+        contaminated.alias("contaminated"),
+        (~contaminated).alias("kept"),
+        F.coalesce(F.array_max("hits.coverage"), F.lit(0.0)).alias("coverage"),
+        F.sort_array("hits.item_id").alias("item_ids"),
+    )
+
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables(spark, sf_dir, "documents")
     return token_files.token_files(spark, docs, scratch(spark, "token-files"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(tables(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"]))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = [*URL_RULES.items(), *((host, "listed") for host in LISTED_HOSTS)]
+    uris, lengths = url_filter.build(spark.createDataFrame(entries, "entry string, says string"), scratch(spark, "digests"))
+    return url_filter.judge(tables(spark, sf_dir, "pages"), uris, lengths)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(tables(spark, sf_dir, "documents"), max_distance=2, segments=2, words=3)
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(tables(spark, sf_dir, "documents"), window=13, gram=5)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(tables(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, window=1024)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_files, op8_simhash, op10_packing)}
+    return {f.__name__: f for f in (op2_decontaminate, op4_token_files, op5_secrets, op6_url_filter, op8_simhash, op9_repeats, op10_packing)}
+
+
+OP6_SQL = """
+WITH rules(rule, host, path, says) AS (VALUES
+  ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'),
+  ('net/de/', 'net', '/de/', 'allow'), ('example.net/de/8', 'example.net', '/de/8', 'block'),
+  ('org/es/', 'org', '/es/', 'block')),
+listed(host) AS (VALUES ('spam-farm.example.org'), ('cheap-pills.example.com'), ('casino-win.example.org'),
+  ('ads-track.example.org'), ('free-bets.example.com')),
+cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+named AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM cut),
+parsed AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM named),
+fits AS (SELECT p.page_id, max_by(r.rule, length(r.rule)) AS rule, max_by(r.says, length(r.rule)) AS says
+  FROM parsed p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY 1),
+spam AS (SELECT DISTINCT p.page_id FROM parsed p JOIN listed l ON p.host = l.host OR ends_with(p.host, '.' || l.host))
+SELECT p.page_id, p.host, p.path, f.rule,
+  coalesce(f.says, CASE WHEN s.page_id IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM parsed p LEFT JOIN fits f USING (page_id) LEFT JOIN spam s USING (page_id)
+"""
+
+OP9_SQL = r"""
+WITH split AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+placed AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM split),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS s FROM placed),
+low AS (SELECT s, min(doc_id) AS least FROM win GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN low USING (s) WHERE doc_id > least),
+word AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM split),
+left_over AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+counted AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM split LEFT JOIN counted USING (doc_id) LEFT JOIN left_over USING (doc_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_filter": OP6_SQL, "op9_repeats": OP9_SQL}
