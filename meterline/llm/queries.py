@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, repeats, secrets, simhash, token_files, url_filter
+from . import decontaminate, packing, quality, repeats, secrets, simhash, token_files, toxicity, url_filter
 from .common import scratch, tables
 
 # The rules and the listed hosts of op6.
@@ -17,6 +17,13 @@ URL_RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow"
 LISTED_HOSTS = ["spam-farm.example.org", "cheap-pills.example.com", "casino-win.example.org", "ads-track.example.org", "free-bets.example.com"]
 
 
+TOXICITY_CHAIN = ["low_quality", "toxic", "toxic_low_quality"]
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(tables(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.decontaminate(docs, tables(spark, sf_dir, "benchmark"), least=5, threshold=0.6)
@@ -30,6 +37,22 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def toxicity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain's categories: poor text, toxic text, and both at once."""
+    poor, toxic = F.col("quality") == 0, F.col("toxic") == 1
+    return tables(spark, sf_dir, "labels").select(
+        "doc_id", poor.cast("int").alias("low_quality"), toxic.cast("int").alias("toxic"), (poor & toxic).cast("int").alias("toxic_low_quality")
+    )
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.fit(docs, toxicity_labels(spark, sf_dir), TOXICITY_CHAIN, balance="toxic", sample_rows=6000)
+    judged = toxicity.predict(docs, chain)
+    toxic = F.col("is_toxic")
+    return judged.select("doc_id", toxic.alias("toxic"), (~toxic).alias("kept"), *[F.round(f"p_{c}", 6).alias(f"p_{c}") for c in TOXICITY_CHAIN])
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables(spark, sf_dir, "documents")
     return token_files.token_files(spark, docs, scratch(spark, "token-files"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
@@ -59,7 +82,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op4_token_files, op5_secrets, op6_url_filter, op8_simhash, op9_repeats, op10_packing)}
+    return {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_toxicity, op4_token_files, op5_secrets, op6_url_filter, op8_simhash, op9_repeats, op10_packing)}
 
 
 OP6_SQL = """
