@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, steps
-from .tokens import Encoder
+from .tokens import encoder
 
 
 class OpenWindows:
@@ -82,8 +82,8 @@ def pieces(docs: DataFrame, path: str, end_id: int, window: int = 1024, with_ids
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): full windows and the rest of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path, end_id)
-        for b in steps(batches):
+        encode = encoder(path, end_id)
+        for b in steps(batches, most=1 << 20):
             of, start, length, crc, total, ids = [], [], [], [], [], []
             for row, data in enumerate(encode(b.column("text").to_pylist())):
                 n = len(data) // 4

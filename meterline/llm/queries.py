@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, repeats, secrets, simhash, token_files, toxicity, url_filter
+from . import decontaminate, packing, quality, repeats, secrets, simhash, token_files, toxicity, url_filter, wrapper
 from .common import scratch, tables
 
 # The rules and the listed hosts of op6.
@@ -68,6 +68,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(tables(spark, sf_dir, "pages"), uris, lengths)
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.main_text(tables(spark, sf_dir, "pages"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(tables(spark, sf_dir, "documents"), max_distance=2, segments=2, words=3)
 
@@ -82,7 +86,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_toxicity, op4_token_files, op5_secrets, op6_url_filter, op8_simhash, op9_repeats, op10_packing)}
+    return {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_toxicity, op4_token_files, op5_secrets, op6_url_filter, op7_main_text, op8_simhash, op9_repeats, op10_packing)}
 
 
 OP6_SQL = """

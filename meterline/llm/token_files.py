@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import filesystem, materialise, open_mapped, steps
-from .tokens import Encoder, vocabulary_size
+from .tokens import encoder, vocabulary_size
 
 
 class _Writer:
@@ -111,9 +111,9 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, length: int = 10
     dtype = np.dtype("<u2" if vocabulary_size(path) <= 1 << 16 else "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, writer = Encoder(path, end_id), None
+        encode, writer = encoder(path, end_id), None
         part = TaskContext.get().partitionId()
-        for b in steps(batches):
+        for b in steps(batches, most=1 << 20):
             ids = b.column("doc_id")
             writer = writer or _Writer(folder, f"part-{part:06d}-{uuid.uuid4().hex}", dtype, length, batch_rows, ids.type)
             writer.add(ids, encode(b.column("text").to_pylist()))

@@ -1,8 +1,10 @@
 """Whole-text encoding with the `tokenizers` library, a segment at a time.
 
 Both vocabularies split a text before merging, and never across the start of a run of white space
-that follows other characters.  A text's ids are therefore the ids of its segments (white space and
-the characters after it), joined, and a segment that occurs again need not be encoded again.
+that follows other characters, nor between a letter and a mark after it.  A text's ids are
+therefore the ids of its segments (white space and the characters after it), joined, and a segment
+that occurs again need not be encoded again.  A segment that is a plain word goes straight to the
+vocabulary's merge model, without the normaliser and splitter that leave it as it is.
 """
 
 from __future__ import annotations
@@ -12,35 +14,87 @@ from array import array
 
 #: A run of white space with what follows it; `\\s` here covers all that the vocabularies call space.
 _SEGMENT = re.compile(r"\s*\S+|\s+")
+_PLAIN = re.compile(r"([ \n\t\r]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, each text closed by `end_id`.
 
-    A null text is empty.  Special tokens' strings in a text are ordinary text.  At most
-    `most_cached` segments stay in memory.
+    A null text is empty.  Special tokens' strings in a text are ordinary text.  At most about
+    twice `most_known` segments stay in memory.
     """
 
-    def __init__(self, path: str, end_id: int, most_cached: int = 300_000):
+    def __init__(self, path: str, end_id: int, most_known: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.end = array("I", [end_id]).tobytes()
-        self.most = most_cached
+        self.most = most_known
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.lower = self._whole("Ab") == self._whole("ab")
+        self.spaced = self._whole(" ab") != self._whole("ab")
+        probes = [" Wonderful", "Épreuve", " straße", "ñandú", "x", " tionheß"]
+        self.direct = all(self._word(p if self.spaced else p.strip()) == self._whole(p) for p in probes)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of letters, with the one space before them where the vocabulary keeps it."""
+        if self.lower:
+            word = word.lower()
+        shown = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _segment(self, segment: str) -> bytes:
+        plain = _PLAIN.fullmatch(segment) if self.direct else None
+        if plain is None:
+            return self._whole(segment)
+        space, word, marks = plain.groups()
+        if not self.spaced:
+            ids = self._word(word)
+        elif space in ("", " "):
+            ids = self._word(space + word)
+        else:
+            ids = self._find(space) + self._word(word)
+        return ids + self._find(marks) if marks else ids
+
+    def _find(self, segment: str) -> bytes:
+        ids = self.known.get(segment)
+        if ids is None:
+            ids = self.older.get(segment)
+            if ids is None:
+                ids = self._segment(segment) if len(segment) > 1 else self._whole(segment)
+            self.known[segment] = ids
+        return ids
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
         cut = [_SEGMENT.findall(t) if t else [] for t in texts]
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        new = list({s for segments in cut for s in segments if s not in known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for s, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[s] = array("I", e.ids).tobytes()
-        return [b"".join(map(known.__getitem__, segments)) + self.end for segments in cut]
+        for s in set().union(*cut):
+            self._find(s)
+        find = self.known.__getitem__
+        return [b"".join(map(find, segments)) + self.end for segments in cut]
+
+
+def encoder(path: str, end_id: int) -> Encoder:
+    """The worker's encoder, which keeps what it knows from task to task."""
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = Encoder(path, end_id)
+    return _encoders[path, end_id]
 
 
 def vocabulary_size(path: str) -> int:

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -39,6 +39,13 @@ def host_and_path(url: str | None) -> tuple[str, str]:
     return host.translate(_LOWER), _PATH.match(rest, len(host)).group()
 
 
+def host(url: str) -> Column:
+    """`host_and_path`'s host as a Spark expression of the column `url`."""
+    after = F.expr(f"substring(`{url}`, instr(`{url}`, '://') + 3)")
+    raw = F.when(F.instr(url, "://") > 0, F.regexp_extract(after, r"^[^/?#]*", 0)).otherwise(F.lit(""))
+    return F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def build(entries: DataFrame, folder: str) -> tuple[list[str], list[int]]:
     """Write `entries` (entry, says) as digest files: their URIs and the lengths of entries' paths.
 
