@@ -74,7 +74,7 @@ def redact(text: str | None, spans: list[tuple[int, int]], mark: str = "[REDACTE
     return "".join(out) + text[at:]
 
 
-def _blob() -> Column:
+def blob() -> Column:
     return F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
 
 
@@ -96,7 +96,7 @@ def scan(versions: DataFrame, key: list[str], ledger: str | None = None, rules_v
     """
     spark = versions.sparkSession
     ledger = ledger or scratch(spark, "blob-ledger")
-    paths = materialise(versions.select(*key, _blob().alias("blob")), "paths")
+    paths = materialise(versions.select(*key, blob().alias("blob")), "paths")
     first = paths.groupBy("blob").agg(F.min(F.struct(*key)).alias("at"))
     try:
         seen = spark.read.parquet(ledger).where(F.col("rules") == rules_version).select("blob")
@@ -105,7 +105,7 @@ def scan(versions: DataFrame, key: list[str], ledger: str | None = None, rules_v
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
     chosen = first.select("blob", *[F.col(f"at.{k}").alias(f"_{k}") for k in key])
-    rows = versions.select(*key, F.col("text").cast("string").alias("text")).withColumn("_blob", _blob())
+    rows = versions.select(*key, F.col("text").cast("string").alias("text")).withColumn("_blob", blob())
     same = F.col("blob") == F.col("_blob")
     for k in key:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))

@@ -12,6 +12,11 @@ Exact copies share a fingerprint and are folded first, so they cost one row.  A
 its pairs, only a spanning forest of the verified links; a crowded bucket is cut again by the bits
 in which its members still differ, which loses no link.
 
+`similar_groups` looks for texts of a given Jaccard similarity instead, which lie up to a dozen bits
+apart: there the balls hold the changes of a segment's least certain bits (those nearest to a tie),
+links within `max_distance` bits are taken nearest first, and the shingle sets of what they join
+are compared exactly.
+
 Nulls and texts without words have fingerprint 0 and are linked like any other; a text of one or
 two words is one shingle; repeated rows and repeated ids are documents of their own; an empty table
 gives an empty result; other columns of the input are not read.
@@ -19,7 +24,7 @@ gives an empty result; other columns of the input are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -34,25 +39,27 @@ from .components import components
 BLOCK = 1 << 22
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The 64-bit fingerprint, unsigned."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of the text's shingles, repeats included; of the whole text if it has fewer words."""
     from xxhash import xxh64_intdigest
 
     w = (text or "").encode().lower().split()  # bytes: only A-Z changes, only ASCII space splits
-    if not w:
-        return 0
     if len(w) < words:
-        return _majority([np.array([xxh64_intdigest(b" ".join(w), 42)], np.uint64)])
+        return np.array([xxh64_intdigest(b" ".join(w), 42)] if w else [], np.uint64)
     shingles = map(b" ".join, zip(*(w[i:] for i in range(words))))
-    n = len(w) - words + 1
-    hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(42)), np.uint64, n)
-    return _majority([hashes[i : i + 65536] for i in range(0, n, 65536)])
+    return np.fromiter(map(xxh64_intdigest, shingles, repeat(42)), np.uint64, len(w) - words + 1)
 
 
-def _majority(blocks: list[np.ndarray]) -> int:
-    ones = sum(np.unpackbits(b.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for b in blocks)
-    bits = 2 * ones > sum(map(len, blocks))
-    return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
+def _balance(hashes: np.ndarray) -> np.ndarray:
+    """Of each bit, twice the number of ones less the number of hashes."""
+    blocks = (hashes[i : i + 65536] for i in range(0, len(hashes), 65536))
+    ones = sum((np.unpackbits(b.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for b in blocks), np.zeros(64, np.int64))
+    return 2 * ones - len(hashes)
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """The 64-bit fingerprint, unsigned."""
+    return int(np.packbits(_balance(shingle_hashes(text, words)) > 0, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -172,6 +179,11 @@ def _bucket_links(key: np.ndarray, fp: np.ndarray, stored: np.ndarray, most: int
 def links(fps: DataFrame, max_distance: int = 2, segments: int = 2) -> DataFrame:
     """Edges (u, v) between the distinct fingerprints of `fps` (fp): they connect exactly what the
     links of at most `max_distance` bits connect."""
+    return _linked(_indexed(fps.select("fp").distinct(), max_distance, segments), max_distance, _bucket_links)
+
+
+def _linked(indexed: DataFrame, max_distance: int, bucket_links: Callable) -> DataFrame:
+    """The links of the buckets of `indexed` (seg, key, fp, stored), each bucket in one piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -189,7 +201,7 @@ def links(fps: DataFrame, max_distance: int = 2, segments: int = 2) -> DataFrame
                 bucket = np.zeros(len(key), np.int64)
                 bucket[cuts] = 1
                 k = np.cumsum(bucket)[:upto]
-                u, v = _bucket_links(k, t["fp"].to_numpy()[:upto].view(np.uint64), t["stored"].to_numpy()[:upto], max_distance)
+                u, v = bucket_links(k, t["fp"].to_numpy()[:upto].view(np.uint64), t["stored"].to_numpy()[:upto], max_distance)
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
             rest = t.slice(upto)
@@ -203,7 +215,6 @@ def links(fps: DataFrame, max_distance: int = 2, segments: int = 2) -> DataFrame
                     yield from flush(False)
         yield from flush(True)
 
-    indexed = _indexed(fps.select("fp").distinct(), max_distance, segments)
     return indexed.repartition("seg", "key").sortWithinPartitions("seg", "key").mapInArrow(run, "u bigint, v bigint")
 
 
@@ -220,3 +231,129 @@ def near_duplicates(docs: DataFrame, max_distance: int = 2, segments: int = 2, w
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _uncertain(balance: np.ndarray, segments: int, soft: int) -> list[int]:
+    """For each segment, its `soft` bits nearest to a tie."""
+    out = []
+    for bits in np.array_split(np.arange(64), segments):
+        nearest = bits[np.argsort(np.abs(balance[bits]), kind="stable")[:soft]]
+        out.append(sum(1 << int(b) for b in nearest))
+    return out
+
+
+def _soft_fingerprints(docs: DataFrame, words: int, segments: int, soft: int) -> DataFrame:
+    """(doc_id, fp, soft): the fingerprint and the uncertain bits of each segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in steps(batches):
+            balances = [_balance(shingle_hashes(t, words)) for t in b.column("text").to_pylist()]
+            fp = np.packbits(np.stack(balances) > 0, axis=1, bitorder="little").view(np.int64).reshape(-1)
+            masks = np.array([_uncertain(x, segments, soft) for x in balances], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp), pa.array(list(masks), pa.list_(pa.int64()))], ["doc_id", "fp", "soft"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint, soft array<bigint>")
+
+
+def _soft_indexed(fps: DataFrame, segments: int) -> DataFrame:
+    """(seg, key, fp, stored) of `fps` (fp, soft): all changes of a segment's uncertain bits."""
+    parts = [sum(1 << int(b) for b in bits) for bits in np.array_split(np.arange(64), segments)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            fp = b.column("fp").to_numpy().view(np.uint64)
+            soft = b.column("soft").flatten().to_numpy().view(np.uint64).reshape(-1, segments)
+            for i, part in enumerate(parts):
+                rest, keys = soft[:, i].copy(), (fp & np.uint64(part))[:, None]
+                while rest.any():
+                    low = rest & (~rest + np.uint64(1))
+                    keys = np.concatenate((keys, keys ^ low[:, None]), axis=1)
+                    rest ^= low
+                n = keys.shape[1]
+                stored = np.tile(np.arange(n) == 0, len(fp))
+                columns = [np.full(keys.size, i, np.int32), keys.reshape(-1).view(np.int64), np.repeat(fp, n).view(np.int64), stored]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["seg", "key", "fp", "stored"])
+
+    return fps.mapInArrow(run, "seg int, key bigint, fp bigint, stored boolean")
+
+
+def _nearest_first(key: np.ndarray, fp: np.ndarray, stored: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links inside the buckets of sorted `key`, a spanning forest of least distances."""
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    ends = np.append(starts[1:], len(key))
+    held = np.add.reduceat(stored.astype(np.int64), starts)
+    levels: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(most + 1)]
+    waiting = 0
+
+    def fold() -> None:
+        nodes = np.unique(np.concatenate([x for level in levels for pair in level for x in pair])) if any(levels) else None
+        if nodes is None:
+            return
+        label = np.arange(len(nodes))
+        for level in levels:
+            if not level:
+                continue
+            u, v = (np.searchsorted(nodes, np.concatenate(x)) for x in zip(*level))
+            kept = []
+            while True:
+                p, q = label[u], label[v]
+                apart = np.flatnonzero(p != q)
+                if not len(apart):
+                    break
+                hi, lo = np.maximum(p, q)[apart], np.minimum(p, q)[apart]
+                once, first = np.unique(hi, return_index=True)  # one link joins each label to a lesser one
+                kept.append(apart[first])
+                label[once] = lo[first]
+                while (label != label[label]).any():
+                    label = label[label]
+            picked = np.concatenate(kept) if kept else np.empty(0, np.int64)
+            level[:] = [(nodes[u[picked]], nodes[v[picked]])]
+
+    for k in np.flatnonzero((held > 0) & (ends - starts > 1)):
+        f = fp[starts[k] : ends[k]]
+        t, f = np.unique(f[stored[starts[k] : ends[k]]]), np.unique(f)
+        wide = max(1, BLOCK // len(f))
+        for i in range(0, len(t), wide):
+            distance = np.bitwise_count(t[i : i + wide, None] ^ f[None, :])
+            x, y = np.nonzero((distance <= most) & (distance > 0))
+            d = distance[x, y]
+            for n in np.unique(d):
+                levels[n].append((t[i + x[d == n]], f[y[d == n]]))
+            waiting += len(x)
+            if waiting > BLOCK:
+                fold()
+                waiting = 0
+    fold()
+    pairs = [pair for level in levels for pair in level]
+    return tuple(np.concatenate(x) for x in zip(*pairs)) if pairs else (np.empty(0, np.uint64), np.empty(0, np.uint64))
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, max_distance: int = 14, segments: int = 3, soft: int = 5) -> DataFrame:
+    """(doc_id, component_id) for every row of `docs` (doc_id, text): groups of texts joined by
+    links of at least `similarity` between their sets of shingles of `words` words.
+
+    Texts of one fingerprint count as copies.
+    """
+    marked = materialise(_soft_fingerprints(docs, words, segments, soft), "fingerprints")
+    distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("soft").alias("soft")), "distinct")
+    near = materialise(_linked(_soft_indexed(distinct.select("fp", "soft"), segments), max_distance, _nearest_first).distinct(), "near")
+    ends = near.select(F.col("u").alias("fp")).union(near.select(F.col("v").alias("fp"))).distinct()
+    chosen = distinct.join(ends, "fp", "left_semi").select("fp", "least")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in steps(batches):
+            sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("fp"), pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"])
+
+    texts = docs.select(F.col("doc_id").alias("least"), F.col("text").cast("string").alias("text")).join(chosen, "least").select("fp", "text")
+    sets = materialise(texts.mapInArrow(run, "fp bigint, shingles array<bigint>").dropDuplicates(["fp"]), "shingles")
+    pairs = near.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    verified = pairs.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")
+    groups = components(verified)
+    rooted = distinct.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    return marked.join(named, "fp").select("doc_id", "component_id")
