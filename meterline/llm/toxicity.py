@@ -92,13 +92,16 @@ def _fit(row: np.ndarray, feature: np.ndarray, width: int, dense: np.ndarray, y:
     return w[:width], w[width:-1], float(w[-1])
 
 
-def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the gap at the best F1 of the out-of-fold probabilities."""
+def _best_threshold(p: np.ndarray, y: np.ndarray, precision: float = 0.8) -> float:
+    """The middle of the gap at the best F1 of the out-of-fold probabilities at which `precision`
+    holds; one half where it never does."""
     order = np.argsort(-p, kind="stable")
-    right = np.cumsum(y[order])
-    f1 = 2 * right / (np.arange(1, len(y) + 1) + max(y.sum(), 1))
+    right, taken = np.cumsum(y[order]), np.arange(1, len(y) + 1)
     last = np.append(p[order][1:] != p[order][:-1], True)
-    k = int(np.argmax(np.where(last, f1, -1)))
+    f1 = np.where(last & (right >= precision * taken), 2 * right / (taken + max(y.sum(), 1)), 0)
+    k = int(np.argmax(f1))
+    if not f1[k]:
+        return 0.5
     after = p[order][k + 1] if k + 1 < len(p) else 0.0
     return float((p[order][k] + after) / 2)
 
