@@ -173,3 +173,27 @@ def test_instants_and_ids(spark):
     assert [r[0] for r in spark.createDataFrame([(t,) for t in ids], "t string").select(U.is_uuid7(F.col("t"))).collect()] == [True, False, False, False]
     keys = spark.createDataFrame([("agent-10",), ("agent-2",), ("agent-1",)], "k string")
     assert [r.k for r in S.ordered(keys, "k").collect()] == ["agent-1", "agent-2", "agent-10"]
+
+
+def test_default_card(spark):
+    from meterline.plans.default_card import default_rate_card
+
+    card = default_rate_card(spark)
+    spent = (M, M, M, M, M, 0)
+    jul, aug, sep = datetime(2026, 7, 29, 23, 59, 59), datetime(2026, 8, 20, 23, 59, 59), datetime(2026, 9, 1)
+    cases = [
+        ("gpt-6-astra", sep, spent, 86, 1525),
+        ("gpt-5.6-sol", aug, (M, 0, 0, 0, 0, 0), 5, 125),
+        ("gpt-5.6-sol-20260801", AUG := datetime(2026, 8, 21), (M, 0, 0, 0, 0, 0), 4, 100),
+        ("gpt-5.6-luna", jul, (0, 0, 0, 0, M, 0), 6, 30),
+        ("GPT-5.6-luna", AUG, (0, 0, 0, 0, M, 0), 1.2, 30),
+        ("codex-auto-review", sep, (M, 0, 0, 0, 0, 0), 1.75, 43.75),
+        ("gpt-5.3-codex-spark", sep, spent, None, None),
+        ("gpt-5.9", sep, spent, None, None),
+    ]
+    rows = usage(spark, [("counter", m, t, s, NONE) for m, t, s, _, _ in cases])
+    got = {(r.model, r.ts): (r.usd, r.credits) for r in P.quote(rows, card).collect()}
+    assert len(got) == len(cases)
+    for m, t, _, usd, credits in cases:
+        assert got[m, t] == (usd if usd is None else pytest.approx(usd), credits if credits is None else pytest.approx(credits)), m
+    assert P.quote(usage(spark, [("message", "claude-opus-4-5-20260101", sep, spent, NONE)]), card).first().usd == pytest.approx(46.75)
