@@ -83,7 +83,7 @@ def _histories(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _count(docs: DataFrame, shards: int) -> DataFrame:
-    """(shard, lang, n, m, data): packed bigram counts, the rows of a blob in order of the history."""
+    """(shard, lang, n, m, u, data): packed bigram counts, the rows of a blob in order of the history."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str | None, list[tuple[np.ndarray, ...]]] = {}
@@ -97,7 +97,7 @@ def _count(docs: DataFrame, shards: int) -> DataFrame:
                 for s in np.unique(of):
                     pick = of == s
                     out.append((int(s), lang, *_packed_counts(v[pick], w[pick], c[pick], before[pick])))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()))], ["shard", "lang", "n", "m", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["shard", "lang", "n", "m", "u", "data"])
             held.clear()
 
         for b in steps(batches):
@@ -116,7 +116,7 @@ def _count(docs: DataFrame, shards: int) -> DataFrame:
                 size = 0
         yield from send()
 
-    return docs.mapInArrow(run, "shard bigint, lang string, n bigint, m bigint, data binary")
+    return docs.mapInArrow(run, "shard bigint, lang string, n bigint, m bigint, u bigint, data binary")
 
 
 def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -135,14 +135,18 @@ def _different(c: np.ndarray, before: np.ndarray) -> np.ndarray:
     return np.where(bits == 16, c, np.minimum(c, some))
 
 
-def _packed_counts(v: np.ndarray, w: np.ndarray, c: np.ndarray, before: np.ndarray) -> tuple[int, int, bytes]:
+def _packed_counts(v: np.ndarray, w: np.ndarray, c: np.ndarray, before: np.ndarray) -> tuple[int, int, int, bytes]:
+    """Rows, histories and words of a blob, and the blob: ascending ids as steps, rows by the words' places."""
     first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
     runs = np.diff(np.append(first, len(v)))
-    return len(v), len(first), _pack((np.diff(v[first], prepend=np.uint64(0)), 5), (runs, 4), (w, 5), (c, 4), (before, 2))
+    words, place = np.unique(w, return_inverse=True)
+    steps_of = [(np.diff(x, prepend=np.uint64(0)), 5) for x in (v[first], words)]
+    return len(v), len(first), len(words), _pack(steps_of[0], (runs, 4), steps_of[1], (place, 4), (c, 4), (before, 2))
 
 
-def _unpacked_counts(n: int, m: int, data: bytes) -> tuple[np.ndarray, ...]:
-    v, runs, w, c, before = _unpack(data, [m, m, n, n, n], [5, 4, 5, 4, 2])
+def _unpacked_counts(n: int, m: int, u: int, data: bytes) -> tuple[np.ndarray, ...]:
+    v, runs, words, place, c, before = _unpack(data, [m, m, u, n, n, n], [5, 4, 5, 4, 4, 2])
+    w = np.cumsum(words, dtype=np.uint64)[place.astype(np.int64)]
     return np.repeat(np.cumsum(v, dtype=np.uint64), runs.astype(np.int64)), w, c.astype(np.int64), before
 
 
@@ -171,7 +175,7 @@ def _merge_bigrams(folder: str, shards: int):
         shard, out, bigrams, histories = int(rows["shard"].iloc[0]), [], [], []
         for lang, part in rows.groupby("lang", dropna=False):
             lang = None if pd.isna(lang) else lang
-            v, w, c, before = _summed([_unpacked_counts(n, m, data) for n, m, data in zip(part["n"], part["m"], part["data"])])
+            v, w, c, before = _summed([_unpacked_counts(*x) for x in zip(part["n"], part["m"], part["u"], part["data"])])
             c = _different(c, before)
             first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
             sums = [np.add.reduceat(x.astype(np.int64), first) for x in (c, c == 1, c == 2, c >= 3)]
