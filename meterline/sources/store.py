@@ -40,30 +40,30 @@ def enabled(df: DataFrame, sources: DataFrame) -> DataFrame:
 class VersionedLedger:
     """A ledger kept as immutable version folders and a pointer to the current one.
 
-    A refresh writes a whole new version and moves the pointer at the end, so readers see the old
-    or the new one, and a run that dies leaves the old one in place.
+    A refresh writes a whole new version and then appends a row that names it, so readers see the
+    old or the new one, and a run that dies leaves the old one in place.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _current(self) -> str | None:
+    def _current(self) -> tuple[int, str | None]:
         try:
-            row = self.spark.read.text(f"{self.root}/CURRENT").first()
+            row = self.spark.read.schema("seq bigint, version string").json(f"{self.root}/versions").orderBy(F.desc("seq"), F.desc("version")).first()
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return None
-        return row.value if row else None
+            return 0, None
+        return (row.seq, row.version) if row else (0, None)
 
     def read(self) -> DataFrame | None:
-        current = self._current()
+        current = self._current()[1]
         return self.spark.read.parquet(f"{self.root}/{current}") if current else None
 
     def commit(self, df: DataFrame) -> str:
-        version = f"v-{uuid.uuid4().hex}"
+        seq, version = self._current()[0] + 1, f"v-{uuid.uuid4().hex}"
         df.write.partitionBy("source_id").parquet(f"{self.root}/{version}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/CURRENT")
+        self.spark.createDataFrame([(seq, version)], "seq bigint, version string").coalesce(1).write.mode("append").json(f"{self.root}/versions")
         return version
 
     def refresh(self, incoming: DataFrame, files: DataFrame, failed: DataFrame | None = None) -> str:
