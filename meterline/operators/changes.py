@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.usage import path_within
 from ..schema import COUNTS
 from .dedup import latest
 
@@ -55,18 +54,24 @@ def retained(existing: DataFrame, failed: DataFrame, replaced: DataFrame) -> Dat
     return replaced.select("source_path").distinct().join(failed.select("source_path"), "source_path", "left_anti")
 
 
+def _prefixes(path: Column, proper: bool = False) -> Column:
+    """The folders that hold a path, the path itself among them unless `proper`."""
+    parts = F.split(F.rtrim(path, F.lit("/")), "/")
+    upto = F.size(parts) - int(proper)
+    return F.transform(F.filter(F.sequence(F.lit(0), upto), lambda n: n > 0), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+
+
 def narrow_scopes(scopes: DataFrame) -> DataFrame:
-    """Without the scopes that hold another changed scope.  Scopes (scope) are a small list."""
-    inner, outer = scopes.select(F.col("scope").alias("_i")).distinct(), scopes.select("scope").distinct()
-    holds = path_within(F.col("_i"), F.col("scope")) & (F.col("_i") != F.col("scope"))
-    return outer.join(inner, holds, "left_anti")
+    """Without the scopes that hold another changed scope."""
+    bare = F.rtrim("scope", F.lit("/"))
+    holders = scopes.select(F.explode(_prefixes(F.col("scope"), proper=True)).alias("_p")).distinct()
+    return scopes.select("scope").distinct().join(holders, bare == F.col("_p"), "left_anti")
 
 
 def scope_filter(paths: DataFrame, scopes: DataFrame) -> DataFrame:
     """Paths inside a changed scope: each path's own prefixes joined with the scopes."""
-    parts = F.split("path", "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    inside = paths.select("path", F.explode(prefixes).alias("_p")).join(scopes.select(F.rtrim("scope", F.lit("/")).alias("_p")).distinct(), "_p", "left_semi").select("path").distinct()
+    bare = scopes.select(F.rtrim("scope", F.lit("/")).alias("_p")).distinct()
+    inside = paths.select("path", F.explode(_prefixes(F.col("path"))).alias("_p")).join(bare, "_p", "left_semi").select("path").distinct()
     return paths.join(inside, "path", "left_semi")
 
 

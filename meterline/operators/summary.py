@@ -153,8 +153,9 @@ def is_provisional(sources: DataFrame, coarse: DataFrame, filtered: bool) -> Dat
 
 def reconcile(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str], within: float = 0.005) -> DataFrame:
     """Keys of either side with `agrees`: both have them, equal within the tolerance."""
-    left, right = a.select(*keys, F.struct(*columns).alias("_a")), b.select(*keys, F.struct(*columns).alias("_b"))
-    joined = left.join(right, keys, "full_outer") if keys else left.crossJoin(right)  # one row each without keys
+    one = F.lit(1).alias("_one")  # the key where there is none: one row each
+    left, right = a.select(one, *keys, F.struct(*columns).alias("_a")), b.select(one, *keys, F.struct(*columns).alias("_b"))
+    joined = left.join(right, ["_one", *keys], "full_outer")
     near = F.lit(True)
     for c in columns:
         near = near & (F.abs(F.col(f"_a.{c}") - F.col(f"_b.{c}")) <= within)
