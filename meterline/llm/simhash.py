@@ -74,6 +74,11 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
 
 
+def _spread(fps: DataFrame) -> DataFrame:
+    """A small table dealt to many tasks, as each row is about to become hundreds."""
+    return fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _ball(seg: int, part: Column, masks: list[int]) -> Column:
     return F.transform(
         F.array(*[F.lit(m).cast("long") for m in masks]),
@@ -93,7 +98,7 @@ def _indexed(fps: DataFrame, max_distance: int, segments: int) -> DataFrame:
         masks = [sum(1 << x for x in bits) for r in range(radius + 1) for bits in combinations(range(w), r)]
         part = F.shiftrightunsigned("fp", sum(width[:i])).bitwiseAND(F.lit((1 << w) - 1 if w < 64 else -1))
         parts.append(_ball(i, part, masks))
-    return fps.select("fp", F.explode(F.concat(*parts)).alias("x")).select("x.seg", "x.key", "fp", "x.stored")
+    return _spread(fps).select("fp", F.explode(F.concat(*parts)).alias("x")).select("x.seg", "x.key", "fp", "x.stored")
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,7 +282,7 @@ def _soft_indexed(fps: DataFrame, segments: int) -> DataFrame:
                 columns = [np.full(keys.size, i, np.int32), keys.reshape(-1).view(np.int64), np.repeat(fp, n).view(np.int64), stored]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["seg", "key", "fp", "stored"])
 
-    return fps.mapInArrow(run, "seg int, key bigint, fp bigint, stored boolean")
+    return _spread(fps).mapInArrow(run, "seg int, key bigint, fp bigint, stored boolean")
 
 
 def _nearest_first(key: np.ndarray, fp: np.ndarray, stored: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
