@@ -87,19 +87,25 @@ class TokenFile:
         self.docs = pa.ipc.open_file(open_mapped(f"{uri}.docs.arrow")).read_all()
         self.length = self.file.schema.field("ids").type.list_size
         self.rows = self.file.get_batch(0).num_rows if self.file.num_record_batches else 0
+        self.at, self.ids = -1, np.empty(0)
+
+    def _batch(self, i: int) -> np.ndarray:
+        """The ids of record batch i, a view of the map."""
+        if i != self.at:
+            self.at, self.ids = i, self.file.get_batch(i).column("ids").flatten().to_numpy(zero_copy_only=True)
+        return self.ids
 
     def sequence(self, i: int) -> tuple[np.ndarray, pa.Array]:
         """Ids (a view of the map) and mask of sequence i."""
-        batch = self.file.get_batch(i // self.rows)
         at = i % self.rows
-        ids = batch.column("ids").flatten().to_numpy(zero_copy_only=True)
-        return ids[at * self.length : (at + 1) * self.length], batch.column("mask").flatten()[at * self.length : (at + 1) * self.length]
+        one = slice(at * self.length, (at + 1) * self.length)
+        return self._batch(i // self.rows)[one], self.file.get_batch(i // self.rows).column("mask").flatten()[one]
 
     def tokens(self, start: int, n: int) -> np.ndarray:
         """Ids start to start + n of the file's stream; a view unless they cross a batch."""
         size, parts = self.rows * self.length, []
         while n > 0:
-            ids = self.file.get_batch(start // size).column("ids").flatten().to_numpy(zero_copy_only=True)
+            ids = self._batch(start // size)
             parts.append(ids[start % size : start % size + n])
             start, n = start + len(parts[-1]), n - len(parts[-1])
         return parts[0] if len(parts) == 1 else np.concatenate(parts)

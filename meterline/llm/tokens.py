@@ -14,6 +14,8 @@ from array import array
 
 #: A run of white space with what follows it; `\\s` here covers all that the vocabularies call space.
 _SEGMENT = re.compile(r"\s*\S+|\s+")
+#: For vocabularies that drop white space; the four control characters are none to them.
+_BARE_SEGMENT = re.compile(r"[\S\x1c-\x1f]+")
 _PLAIN = re.compile(r"([ \n\t\r]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -30,10 +32,10 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, each text closed by `end_id`.
 
     A null text is empty.  Special tokens' strings in a text are ordinary text.  At most about
-    twice `most_known` segments stay in memory.
+    twice `most_known` segments, and as many words, stay in memory.
     """
 
-    def __init__(self, path: str, end_id: int, most_known: int = 150_000):
+    def __init__(self, path: str, end_id: int, most_known: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -42,9 +44,12 @@ class Encoder:
         self.most = most_known
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.lower = self._whole("Ab") == self._whole("ab")
         self.spaced = self._whole(" ab") != self._whole("ab")
+        self.cut = (_SEGMENT if self.spaced else _BARE_SEGMENT).findall
         probes = [" Wonderful", "Épreuve", " straße", "ñandú", "x", " tionheß"]
         self.direct = all(self._word(p if self.spaced else p.strip()) == self._whole(p) for p in probes)
 
@@ -55,8 +60,11 @@ class Encoder:
         """Ids of letters, with the one space before them where the vocabulary keeps it."""
         if self.lower:
             word = word.lower()
-        shown = word.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        ids = self.words.get(word)
+        if ids is None:
+            shown = word if word.isascii() and word[0] != " " else word.encode().decode("latin-1").translate(self.letters)
+            ids = self.words[word] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return ids
 
     def _segment(self, segment: str) -> bytes:
         plain = _PLAIN.fullmatch(segment) if self.direct else None
@@ -68,24 +76,27 @@ class Encoder:
         elif space in ("", " "):
             ids = self._word(space + word)
         else:
-            ids = self._find(space) + self._word(word)
-        return ids + self._find(marks) if marks else ids
+            ids = self._known(space) + self._word(word)
+        return ids + self._known(marks) if marks else ids
 
-    def _find(self, segment: str) -> bytes:
-        ids = self.known.get(segment)
+    def _known(self, part: str) -> bytes:
+        """Ids of white space or marks, which are few."""
+        ids = self.parts.get(part)
         if ids is None:
-            ids = self.older.get(segment)
-            if ids is None:
-                ids = self._segment(segment) if len(segment) > 1 else self._whole(segment)
-            self.known[segment] = ids
+            ids = self._whole(part)
+            if len(self.parts) < 10_000:
+                self.parts[part] = ids
         return ids
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > self.most:
             self.known, self.older = {}, self.known
-        cut = [_SEGMENT.findall(t) if t else [] for t in texts]
-        for s in set().union(*cut):
-            self._find(s)
+        if len(self.words) > self.most:
+            self.words.clear()
+        cut = [self.cut(t) if t else [] for t in texts]
+        known, older = self.known, self.older
+        for s in set().union(*cut).difference(known):
+            known[s] = older[s] if s in older else self._segment(s)
         find = self.known.__getitem__
         return [b"".join(map(find, segments)) + self.end for segments in cut]
 
