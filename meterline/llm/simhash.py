@@ -15,7 +15,7 @@ in which its members still differ, which loses no link.
 `similar_groups` looks for texts of a given Jaccard similarity instead, which lie up to a dozen bits
 apart: there the balls hold the changes of a segment's least certain bits (those nearest to a tie),
 links within `max_distance` bits are taken nearest first, and the shingle sets of what they join
-are compared exactly.
+are compared exactly; where that fails, the links that the forests left out are taken in turn.
 
 Nulls and texts without words have fingerprint 0 and are linked like any other; a text of one or
 two words is one shingle; repeated rows and repeated ids are documents of their own; an empty table
@@ -190,6 +190,17 @@ def links(fps: DataFrame, max_distance: int = 2, segments: int = 2) -> DataFrame
 def _linked(indexed: DataFrame, max_distance: int, bucket_links: Callable) -> DataFrame:
     """The links of the buckets of `indexed` (seg, key, fp, stored), each bucket in one piece."""
 
+    def link(bucket: np.ndarray, t: pa.Table) -> list[np.ndarray]:
+        u, v = bucket_links(bucket, t["fp"].to_numpy().view(np.uint64), t["stored"].to_numpy(), max_distance)
+        return [u.view(np.int64), v.view(np.int64)]
+
+    return _by_bucket(indexed, link, "u bigint, v bigint")
+
+
+def _by_bucket(indexed: DataFrame, link: Callable, schema: str) -> DataFrame:
+    """What `link` finds in the buckets (numbered, and their rows) of `indexed` (seg, key, ...)."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
         rows = 0
@@ -205,10 +216,9 @@ def _linked(indexed: DataFrame, max_distance: int, bucket_links: Callable) -> Da
             if upto:
                 bucket = np.zeros(len(key), np.int64)
                 bucket[cuts] = 1
-                k = np.cumsum(bucket)[:upto]
-                u, v = bucket_links(k, t["fp"].to_numpy()[:upto].view(np.uint64), t["stored"].to_numpy()[:upto], max_distance)
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+                found = link(np.cumsum(bucket)[:upto], t.slice(0, upto))
+                if len(found[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names)
             rest = t.slice(upto)
             kept, rows = (rest.to_batches() if rest.num_rows else []), 0
 
@@ -220,7 +230,7 @@ def _linked(indexed: DataFrame, max_distance: int, bucket_links: Callable) -> Da
                     yield from flush(False)
         yield from flush(True)
 
-    return indexed.repartition("seg", "key").sortWithinPartitions("seg", "key").mapInArrow(run, "u bigint, v bigint")
+    return indexed.repartition("seg", "key").sortWithinPartitions("seg", "key").mapInArrow(run, schema)
 
 
 def near_duplicates(docs: DataFrame, max_distance: int = 2, segments: int = 2, words: int = 3) -> DataFrame:
@@ -247,49 +257,79 @@ def _uncertain(balance: np.ndarray, segments: int, soft: int) -> list[int]:
     return out
 
 
-def _soft_fingerprints(docs: DataFrame, words: int, segments: int, soft: int) -> DataFrame:
-    """(doc_id, fp, soft): the fingerprint and the uncertain bits of each segment."""
+def _parity(shingles: np.ndarray) -> np.ndarray:
+    """256 bits: whether an odd number of the distinct `shingles` fall on each.  Two sets differ by
+    at least as many shingles as bits."""
+    odd = np.bincount((shingles & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _sketches(docs: DataFrame, words: int, segments: int, soft: int) -> DataFrame:
+    """(doc_id, node, fp, n, parity, soft): the fingerprint, the number and parity of the distinct
+    shingles, and the uncertain bits of each segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
-            balances = [_balance(shingle_hashes(t, words)) for t in b.column("text").to_pylist()]
+            hashes = [shingle_hashes(t, words) for t in b.column("text").to_pylist()]
+            sets = [np.unique(h) for h in hashes]
+            balances = [_balance(h) for h in hashes]
             fp = np.packbits(np.stack(balances) > 0, axis=1, bitorder="little").view(np.int64).reshape(-1)
             masks = np.array([_uncertain(x, segments, soft) for x in balances], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp), pa.array(list(masks), pa.list_(pa.int64()))], ["doc_id", "fp", "soft"])
+            longs = pa.list_(pa.int64())
+            columns = [pa.array(fp), pa.array(fp), pa.array([len(x) for x in sets], pa.int64()), pa.array([_parity(x) for x in sets], longs), pa.array(list(masks), longs)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "node", "fp", "n", "parity", "soft"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint, soft array<bigint>")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, node bigint, fp bigint, n bigint, parity array<bigint>, soft array<bigint>")
 
 
-def _soft_indexed(fps: DataFrame, segments: int) -> DataFrame:
-    """(seg, key, fp, stored) of `fps` (fp, soft): all changes of a segment's uncertain bits."""
+def _soft_indexed(nodes: DataFrame, segments: int) -> DataFrame:
+    """(seg, key, stored, ...) of `nodes` (fp, soft, other longs): all changes of a segment's uncertain bits."""
     parts = [sum(1 << int(b) for b in bits) for bits in np.array_split(np.arange(64), segments)]
+    carried = [c for c in nodes.columns if c != "soft"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            fp = b.column("fp").to_numpy().view(np.uint64)
-            soft = b.column("soft").flatten().to_numpy().view(np.uint64).reshape(-1, segments)
-            for i, part in enumerate(parts):
-                rest, keys = soft[:, i].copy(), (fp & np.uint64(part))[:, None]
-                while rest.any():
-                    low = rest & (~rest + np.uint64(1))
-                    keys = np.concatenate((keys, keys ^ low[:, None]), axis=1)
-                    rest ^= low
-                n = keys.shape[1]
-                stored = np.tile(np.arange(n) == 0, len(fp))
-                columns = [np.full(keys.size, i, np.int32), keys.reshape(-1).view(np.int64), np.repeat(fp, n).view(np.int64), stored]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["seg", "key", "fp", "stored"])
-
-    return _spread(fps).mapInArrow(run, "seg int, key bigint, fp bigint, stored boolean")
-
-
-def _nearest_first(key: np.ndarray, fp: np.ndarray, stored: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the links inside the buckets of sorted `key`, a spanning forest of least distances."""
-    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    ends = np.append(starts[1:], len(key))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                fp = b.column("fp").to_numpy().view(np.uint64)
+                soft = b.column("soft").flatten().to_numpy().view(np.uint64).reshape(-1, segments)
+                for i, part in enumerate(parts):
+                    rest, keys = soft[:, i].copy(), (fp & np.uint64(part))[:, None]
+                    while rest.any():
+                        low = rest & (~rest + np.uint64(1))
+                        keys = np.concatenate((keys, keys ^ low[:, None]), axis=1)
+                        rest ^= low
+                    n = keys.shape[1]
+                    stored = np.tile(np.arange(n) == 0, len(fp))
+                    columns = [np.full(keys.size, i, np.int32), keys.reshape(-1).view(np.int64), stored, *(np.repeat(b.column(c).to_numpy(), n) for c in carried)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["seg", "key", "stored", *carried])
+
+    return _spread(nodes).mapInArrow(run, "seg int, key bigint, stored boolean, " + ", ".join(f"{c} bigint" for c in carried))
+
+
+def _pairs(bucket: np.ndarray, fp: np.ndarray, node: np.ndarray, stored: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows (x, y) of different nodes at most `most` bits apart inside the buckets, x stored, and
+    their distances, block by block."""
+    starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    ends = np.append(starts[1:], len(bucket))
     held = np.add.reduceat(stored.astype(np.int64), starts)
+    for k in np.flatnonzero((held > 0) & (ends - starts > 1)):
+        rows = np.arange(starts[k], ends[k])
+        every = rows[np.unique(node[rows], return_index=True)[1]]
+        own = rows[stored[rows]]
+        own = own[np.unique(node[own], return_index=True)[1]]
+        wide = max(1, BLOCK // len(every))
+        for i in range(0, len(own), wide):
+            distance = np.bitwise_count(fp[own[i : i + wide], None] ^ fp[None, every])
+            x, y = np.nonzero(distance <= most)
+            d, x, y = distance[x, y], own[i + x], every[y]
+            apart = node[x] != node[y]
+            yield x[apart], y[apart], d[apart]
+
+
+def _nearest_first(bucket: np.ndarray, fp: np.ndarray, node: np.ndarray, stored: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links between nodes inside the buckets, a spanning forest of least distances."""
     levels: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(most + 1)]
     waiting = 0
 
@@ -317,48 +357,128 @@ def _nearest_first(key: np.ndarray, fp: np.ndarray, stored: np.ndarray, most: in
             picked = np.concatenate(kept) if kept else np.empty(0, np.int64)
             level[:] = [(nodes[u[picked]], nodes[v[picked]])]
 
-    for k in np.flatnonzero((held > 0) & (ends - starts > 1)):
-        f = fp[starts[k] : ends[k]]
-        t, f = np.unique(f[stored[starts[k] : ends[k]]]), np.unique(f)
-        wide = max(1, BLOCK // len(f))
-        for i in range(0, len(t), wide):
-            distance = np.bitwise_count(t[i : i + wide, None] ^ f[None, :])
-            x, y = np.nonzero((distance <= most) & (distance > 0))
-            d = distance[x, y]
-            for n in np.unique(d):
-                levels[n].append((t[i + x[d == n]], f[y[d == n]]))
-            waiting += len(x)
-            if waiting > BLOCK:
-                fold()
-                waiting = 0
+    for x, y, d in _pairs(bucket, fp, node, stored, most):
+        for n in np.unique(d):
+            levels[n].append((node[x[d == n]], node[y[d == n]]))
+        waiting += len(x)
+        if waiting > BLOCK:
+            fold()
+            waiting = 0
     fold()
     pairs = [pair for level in levels for pair in level]
-    return tuple(np.concatenate(x) for x in zip(*pairs)) if pairs else (np.empty(0, np.uint64), np.empty(0, np.uint64))
+    u, v = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.empty(0, np.int64), np.empty(0, np.int64))
+    return np.minimum(u, v), np.maximum(u, v)
+
+
+def _first_few(u: np.ndarray, v: np.ndarray, lu: np.ndarray, lv: np.ndarray, d: np.ndarray, more: np.ndarray, few: int) -> list[np.ndarray]:
+    """The `few` nearest distinct pairs (u, v) of every two labels, and whether there are more."""
+    order = np.lexsort((v, u, d, lv, lu))
+    u, v, lu, lv, d, more = (x[order] for x in (u, v, lu, lv, d, more))
+    if not len(u):
+        return [u, v, lu, lv, d, more]
+    first = np.concatenate(([True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])))
+    group = np.cumsum(np.concatenate(([False], (lu[1:] != lu[:-1]) | (lv[1:] != lv[:-1]))))
+    cut = np.bincount(group, more) > 0
+    u, v, lu, lv, d, group = (x[first] for x in (u, v, lu, lv, d, group))
+    place = np.arange(len(u)) - np.searchsorted(group, group)
+    cut |= np.bincount(group) > few
+    kept = place < few
+    return [x[kept] for x in (u, v, lu, lv, d)] + [cut[group[kept]]]
+
+
+def _crossing(bucket: np.ndarray, t: pa.Table, most: int, similarity: float, few: int) -> list[np.ndarray]:
+    """Of the links between nodes of different labels that may be as similar as asked, the `few`
+    nearest of every two labels: u, v, their labels, and whether there are more.
+
+    Sizes and parities leave out only what cannot be as similar.
+    """
+    fp, node, label, size = t["fp"].to_numpy().view(np.uint64), t["node"].to_numpy(), t["label"].to_numpy(), t["n"].to_numpy()
+    parity = [t[f"p{i}"].to_numpy().view(np.uint64) for i in range(4)]  # bits of negative longs are not counted
+    parts: list[list[np.ndarray]] = []
+    waiting = 0
 
+    def fold() -> None:
+        if parts:
+            parts[:] = [_first_few(*(np.concatenate(x) for x in zip(*parts)), few)]
+
+    for x, y, d in _pairs(bucket, fp, node, t["stored"].to_numpy(), most):
+        apart = label[x] != label[y]
+        x, y, d = x[apart], y[apart], d[apart]
+        differ = sum((np.bitwise_count(p[x] ^ p[y]).astype(np.int64) for p in parity), np.zeros(len(x), np.int64))
+        differ = np.maximum(differ, np.abs(size[x] - size[y]))
+        may = (1 + similarity) * differ <= (1 - similarity) * (size[x] + size[y]) + 1e-6
+        x, y, d = x[may], y[may], d[may]
+        turn = label[x] > label[y]
+        x, y = np.where(turn, y, x), np.where(turn, x, y)
+        parts.append([node[x], node[y], label[x], label[y], d, np.zeros(len(x), bool)])
+        waiting += len(x)
+        if waiting > BLOCK:
+            fold()
+            waiting = 0
+    fold()
+    u, v, lu, lv, _, more = parts[0] if parts else [np.empty(0, np.int64)] * 5 + [np.empty(0, bool)]
+    return [u, v, lu, lv, more]
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, max_distance: int = 14, segments: int = 3, soft: int = 5) -> DataFrame:
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, max_distance: int = 14, segments: int = 3, soft: int = 7) -> DataFrame:
     """(doc_id, component_id) for every row of `docs` (doc_id, text): groups of texts joined by
     links of at least `similarity` between their sets of shingles of `words` words.
 
-    Texts of one fingerprint count as copies.
+    Texts of one fingerprint count as copies.  The first round compares the links of spanning
+    forests exactly.  Where some fail, further rounds compare links between the groups so far,
+    ever more of every two groups, until all that meet in a bucket are in one group, are compared,
+    or cannot be as similar.
     """
-    marked = materialise(_soft_fingerprints(docs, words, segments, soft), "fingerprints")
-    distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("soft").alias("soft")), "distinct")
-    near = materialise(_linked(_soft_indexed(distinct.select("fp", "soft"), segments), max_distance, _nearest_first).distinct(), "near")
-    ends = near.select(F.col("u").alias("fp")).union(near.select(F.col("v").alias("fp"))).distinct()
-    chosen = distinct.join(ends, "fp", "left_semi").select("fp", "least")
+    marked = materialise(_sketches(docs, words, segments, soft), "fingerprints")
+    sketch = F.first(F.struct("fp", "n", "parity", "soft")).alias("s")
+    distinct = materialise(marked.groupBy("node").agg(F.min("doc_id").alias("least"), sketch).select("node", "least", "s.*"), "distinct")
+
+    def forest(bucket: np.ndarray, t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return _nearest_first(bucket, t["fp"].to_numpy().view(np.uint64), t["node"].to_numpy(), t["stored"].to_numpy(), max_distance)
+
+    near = materialise(_by_bucket(_soft_indexed(distinct.select("node", "fp", "soft"), segments), forest, "u bigint, v bigint").distinct(), "near")
+    ends = near.select(F.col("u").alias("node")).union(near.select(F.col("v").alias("node"))).distinct()
+    chosen = distinct.join(ends, "node", "left_semi").select("node", "least")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
             sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("fp"), pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"])
-
-    texts = docs.select(F.col("doc_id").alias("least"), F.col("text").cast("string").alias("text")).join(chosen, "least").select("fp", "text")
-    sets = materialise(texts.mapInArrow(run, "fp bigint, shingles array<bigint>").dropDuplicates(["fp"]), "shingles")
-    pairs = near.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    verified = pairs.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")
-    groups = components(verified)
-    rooted = distinct.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "component_id")
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    texts = docs.select(F.col("doc_id").alias("least"), F.col("text").cast("string").alias("text")).join(chosen, "least").select("node", "text")
+    sets = materialise(texts.mapInArrow(run, "node bigint, shingles array<bigint>").dropDuplicates(["node"]), "shingles")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """`pairs` with `similar`, whether their sets are as similar as asked."""
+        both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+        shared = F.size(F.array_intersect("a", "b"))
+        return materialise(both.select(*pairs.columns, (shared >= similarity * (F.size("a") + F.size("b") - shared)).alias("similar")), "compared")
+
+    def named(rows: DataFrame, column: str, groups: DataFrame) -> DataFrame:
+        """`rows` with `column` replaced by its group's name."""
+        to = groups.select(F.col("node").alias("_node"), F.col("component").alias("_to"))
+        return rows.join(to, F.col(column) == F.col("_node"), "left").withColumn(column, F.coalesce("_to", column)).drop("_node", "_to")
+
+    done = compared(near)
+    groups = components(done.where("similar").select("u", "v"))
+    labels = materialise(named(ends.withColumn("label", F.col("node")), "label", groups), "labels")
+    left = named(named(done.where("not similar").select(F.col("u").alias("lu"), F.col("v").alias("lv")), "lu", groups), "lv", groups)
+    done, few = done.select("u", "v"), 4
+    while True:
+        left = left.where("lu <> lv")
+        left = materialise(left.select(F.col("lu").alias("label")).union(left.select(F.col("lv").alias("label"))).distinct(), "left")
+        if left.isEmpty():
+            break
+        part = distinct.join(labels.join(left, "label", "left_semi"), "node").select("node", "fp", "soft", "label", "n", *[F.col("parity")[i].alias(f"p{i}") for i in range(4)])
+        link = lambda bucket, t, few=few: _crossing(bucket, t, max_distance, similarity, few)
+        met = _by_bucket(_soft_indexed(part, segments), link, "u bigint, v bigint, lu bigint, lv bigint, more boolean")
+        met = materialise(met.groupBy("u", "v", "lu", "lv").agg(F.max("more").alias("more")), "met")
+        pair = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
+        fresh = compared(met.select(*pair, "lu", "lv").join(done, ["u", "v"], "left_anti"))
+        groups = components(fresh.where("similar").select(F.col("lu").alias("u"), F.col("lv").alias("v")))
+        labels = materialise(named(labels, "label", groups), "labels")
+        left = named(named(met.where("more").select("lu", "lv").distinct(), "lu", groups), "lv", groups)
+        done, few = done.union(fresh.select("u", "v")), 4 * few
+    rooted = distinct.select("node", "least").join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("root"))
+    first = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    return marked.select("doc_id", "node").join(first, "node").select("doc_id", "component_id")

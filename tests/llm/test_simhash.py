@@ -145,3 +145,37 @@ def test_query_matches_brute_force(spark):
 def test_schema(docs):
     assert simhash.near_duplicates(docs).dtypes == [("doc_id", "bigint"), ("fingerprint", "string"), ("component_id", "bigint")]
     assert simhash.near_duplicates(docs).where(F.length("fingerprint") != 16).count() == 0
+
+
+def similar_in_a_bucket(texts, soft=7):
+    """Components, by brute force, of the pairs of Jaccard 0.8 or more that meet in a bucket."""
+    sets = [np.unique(simhash.shingle_hashes(t, 5)) for t in texts]
+    balances = [simhash._balance(s) for s in sets]
+    fps = [int(np.packbits(b > 0, bitorder="little").view(np.uint64)[0]) for b in balances]
+    masks = [simhash._uncertain(b, 3, soft) for b in balances]
+    parts = [sum(1 << int(b) for b in bits) for bits in np.array_split(np.arange(64), 3)]
+    label = list(range(len(texts)))
+    for i, a in enumerate(fps):
+        for j in range(i):
+            x = a ^ fps[j]
+            meet = x.bit_count() <= 14 and any(not x & p & ~m[k] for k, p in enumerate(parts) for m in (masks[i], masks[j]))
+            if meet and (shared := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (len(sets[i]) + len(sets[j]) - shared):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return label
+
+
+def test_links_among_look_alikes_are_kept(spark):
+    """Pairs of near copies on one template, whose other texts lie nearer but are not similar."""
+    template, texts = prose(1, 240, 100000), []
+    for k in range(150):
+        own = prose(1000 + k, 60, 100000).split()
+        texts.append(" ".join([template, *own]))
+        own[20:24] = [f"x{k}a", *own[21:23], f"x{k}b"]
+        own[40:41] = [f"y{k}"]
+        texts.append(" ".join([template, *own[:55], f"z{k}"]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()}
+    want = similar_in_a_bucket(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    assert sum(want[2 * k] == want[2 * k + 1] for k in range(150)) > 120 and len(set(want)) > 100
