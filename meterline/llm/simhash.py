@@ -13,7 +13,7 @@ its pairs, only a spanning forest of the verified links; a crowded bucket is cut
 in which its members still differ, which loses no link.
 
 `similar_groups` looks for texts of a given Jaccard similarity instead, which lie up to a dozen bits
-apart: there the balls hold the changes of a segment's least certain bits (those nearest to a tie),
+apart: there fingerprints are of distinct shingles, only texts with the same set of them are folded, the balls hold the changes of a segment's least certain bits (those nearest to a tie),
 links within `max_distance` bits are taken nearest first, and the shingle sets of what they join
 are compared exactly; where that fails, the links that the forests left out are taken in turn.
 
@@ -264,19 +264,26 @@ def _parity(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def _set_name(shingles: np.ndarray) -> int:
+    """XXH64 of a sorted set of shingles."""
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(shingles.tobytes(), 42)
+
+
 def _sketches(docs: DataFrame, words: int, segments: int, soft: int) -> DataFrame:
-    """(doc_id, node, fp, n, parity, soft): the fingerprint, the number and parity of the distinct
-    shingles, and the uncertain bits of each segment."""
+    """(doc_id, node, fp, n, parity, soft): the name of the set of shingles, its fingerprint, number
+    and parity, and the uncertain bits of each segment.  Repeats do not count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
-            hashes = [shingle_hashes(t, words) for t in b.column("text").to_pylist()]
-            sets = [np.unique(h) for h in hashes]
-            balances = [_balance(h) for h in hashes]
+            sets = [np.unique(shingle_hashes(t, words)) for t in b.column("text").to_pylist()]
+            names = np.array([_set_name(x) for x in sets], np.uint64).view(np.int64)
+            balances = [_balance(x) for x in sets]
             fp = np.packbits(np.stack(balances) > 0, axis=1, bitorder="little").view(np.int64).reshape(-1)
             masks = np.array([_uncertain(x, segments, soft) for x in balances], np.uint64).view(np.int64)
             longs = pa.list_(pa.int64())
-            columns = [pa.array(fp), pa.array(fp), pa.array([len(x) for x in sets], pa.int64()), pa.array([_parity(x) for x in sets], longs), pa.array(list(masks), longs)]
+            columns = [pa.array(names), pa.array(fp), pa.array([len(x) for x in sets], pa.int64()), pa.array([_parity(x) for x in sets], longs), pa.array(list(masks), longs)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "node", "fp", "n", "parity", "soft"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -424,7 +431,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, max
     """(doc_id, component_id) for every row of `docs` (doc_id, text): groups of texts joined by
     links of at least `similarity` between their sets of shingles of `words` words.
 
-    Texts of one fingerprint count as copies.  The first round compares the links of spanning
+    Texts with the same set of shingles are copies; different sets under one fingerprint are
+    compared like any others.  The first round compares the links of spanning
     forests exactly.  Where some fail, further rounds compare links between the groups so far,
     ever more of every two groups, until all that meet in a bucket are in one group, are compared,
     or cannot be as similar.
@@ -442,8 +450,10 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, max
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
-            sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+            sets = [np.unique(shingle_hashes(t, words)) for t in b.column("text").to_pylist()]
+            own = [_set_name(x) == n % (1 << 64) for x, n in zip(sets, b.column("node").to_pylist())]  # an id may have several texts
+            columns = [b.column("node"), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "shingles"]).filter(pa.array(own, pa.bool_()))
 
     texts = docs.select(F.col("doc_id").alias("least"), F.col("text").cast("string").alias("text")).join(chosen, "least").select("node", "text")
     sets = materialise(texts.mapInArrow(run, "node bigint, shingles array<bigint>").dropDuplicates(["node"]), "shingles")

@@ -179,3 +179,31 @@ def test_links_among_look_alikes_are_kept(spark):
     want = similar_in_a_bucket(texts)
     assert [got[i] for i in range(len(texts))] == want
     assert sum(want[2 * k] == want[2 * k + 1] for k in range(150)) > 120 and len(set(want)) > 100
+
+
+def test_repeated_lines_neither_join_nor_part_texts(spark):
+    """A line that is repeated fixes a fingerprint of all shingles, but not the set of shingles."""
+    line, texts = "the same nine words come again on every line\n", []
+    for k in range(60):
+        own = prose(2000 + k, 40, 100000)
+        texts.append(line * 20 + own)
+    for k in range(10):
+        own = prose(3000 + k, 200, 100000)
+        texts += [own + "\n" + line, own + "\n" + line * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()}
+    assert all(got[k] == k for k in range(60))
+    assert all(got[60 + 2 * k] == got[61 + 2 * k] == 60 + 2 * k for k in range(10))
+
+
+def test_sets_under_one_fingerprint_are_compared():
+    """Different sets whose fingerprints agree are candidates of each other, not copies."""
+    same = np.full(64, 5)
+    texts = [prose(4000 + k, 60, 100000) for k in range(6)]
+    texts += [texts[0] + " end", texts[1] + " end"]
+    sets = [np.unique(simhash.shingle_hashes(t, 5)) for t in texts]
+    node = np.array([simhash._set_name(x) for x in sets], np.uint64).view(np.int64)
+    assert len(set(node.tolist())) == len(texts)
+    fp = np.packbits(same > 0, bitorder="little").view(np.uint64).repeat(len(texts))
+    u, v = simhash._nearest_first(np.zeros(len(texts), np.int64), fp, node, np.ones(len(texts), bool), 14)
+    assert len(u) == len(texts) - 1 and set(u.tolist()) | set(v.tolist()) == set(node.tolist())
