@@ -13,8 +13,9 @@ one history share one probability; this keeps the model a fraction of the text w
 with the corpus.
 
 A document is scored by its own language's model, and the band of log perplexities kept is the
-median of the language's documents plus and minus `width` robust deviations (1.4826 times the median
-deviation, `least_deviation` at least); documents above or below are rejected.
+median of the language's documents less `lower_width` and plus `width` robust deviations (1.4826
+times the median deviation on that side, `least_deviation` at least); documents above or below are
+rejected.  Copies count once when the band is set.
 
 Null and empty texts have no words and fail the base rules; a null language is a language of its
 own; repeated rows count and are judged each; an empty table gives an empty result; other columns
@@ -365,18 +366,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, lang string, " + "".join(f"{c} bigint, " for c in names) + "log_perplexity double")
 
 
-def quality(docs: DataFrame, width: float = 6.0, least_deviation: float = 0.1) -> DataFrame:
+def quality(docs: DataFrame, width: float = 6.0, least_deviation: float = 0.1, lower_width: float = 3.0) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     perplexity, lower, upper) for every row of `docs` (doc_id, lang, text)."""
     docs = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored = materialise(score(docs, train(docs)).withColumn("base_failed", failed), "scores")
-    sound = scored.where("not base_failed")
+    sound = scored.where("not base_failed").drop("doc_id").distinct()  # copies have the same features and count once
     middle = sound.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("middle"))
-    off = sound.alias("s").join(middle.alias("m"), F.col("s.lang").eqNullSafe(F.col("m.lang"))).select("s.lang", "middle", F.abs(F.col("log_perplexity") - F.col("middle")).alias("off"))
-    spread = off.groupBy("lang").agg(F.first("middle").alias("middle"), F.percentile_approx("off", 0.5, 10000).alias("off"))
-    reach = width * F.greatest(1.4826 * F.col("off"), F.lit(least_deviation))
-    bands = spread.select(F.col("lang").alias("of"), F.exp(F.col("middle") - reach).alias("lower"), F.exp(F.col("middle") + reach).alias("upper"))
+    off = sound.alias("s").join(middle.alias("m"), F.col("s.lang").eqNullSafe(F.col("m.lang"))).select("s.lang", "middle", (F.col("log_perplexity") - F.col("middle")).alias("off"))
+    sides = [F.percentile_approx(F.when(x >= 0, x), 0.5, 10000).alias(side) for side, x in (("below", -F.col("off")), ("above", F.col("off")))]
+    spread = off.groupBy("lang").agg(F.first("middle").alias("middle"), *sides)
+    below, above = (w * F.greatest(1.4826 * F.col(side), F.lit(least_deviation)) for w, side in ((lower_width, "below"), (width, "above")))
+    bands = spread.select(F.col("lang").alias("of"), F.exp(F.col("middle") - below).alias("lower"), F.exp(F.col("middle") + above).alias("upper"))
     judged = scored.join(bands, F.col("lang").eqNullSafe(F.col("of")), "left").withColumn("perplexity", F.exp("log_perplexity"))
     fits = F.coalesce(F.col("perplexity").between(F.col("lower"), F.col("upper")), F.lit(False))
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]

@@ -326,3 +326,16 @@ def test_query_extracts_whole_articles(spark):
         blocks = re.findall(r"(?:<h1>|<p>)(.*?)(?=<h1>|<p>|\Z)", article, re.S)
         clean = [" ".join(entities.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in blocks]
         assert got[r.page_id] == "\n\n".join(b for b in clean if b)
+
+
+def test_quality_rejects_below_the_band(spark):
+    """Texts out of a few common words are too predictable, though no three words repeat much."""
+    from meterline.llm import quality
+
+    rows = [(i, "en", prose(i, 200 + i % 50, 300 + 10 * (i % 5))) for i in range(400)]
+    rows += [(1000 + i, "en", prose(5000 + i, 100, 12)) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    got = {r.doc_id: r for r in quality.quality(df).collect()}
+    low = [got[1000 + i] for i in range(12)]
+    assert all(not r.base_failed and not r.kept and r.perplexity < r.lower for r in low)
+    assert sum(r.kept for r in got.values() if r.doc_id < 1000) > 390
