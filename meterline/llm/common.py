@@ -129,5 +129,10 @@ def hash_words(distinct: pa.Array) -> np.ndarray:
     return np.fromiter(map(xxh64_intdigest, distinct.cast(pa.large_binary()).to_pylist()), np.uint64, len(distinct))
 
 
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """size[0] numbers from start[0] on, then size[1] from start[1] on, and so forth."""
+    return np.repeat(start - np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64), size) + np.arange(size.sum()) if len(size) else np.empty(0, np.int64)
+
+
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,8 +2,10 @@
 
 Documents longer than a window are first cut into full windows.  The rest, longest first, go to the
 open window with the least room that still holds them, found by a segment tree over the remaining
-capacities.  Pieces are dealt by hash into groups of about `group_size`, each packed in a task of
-its own; a group leaves a few windows with room, so the padding does not depend on the input's size.
+capacities.  Pieces are dealt in turn, so equal rows spread, into groups of about `group_size`, each
+packed in a task of its own; a group leaves a few windows with room, so the padding does not depend
+on the input's size.  The ids go with their pieces, and a sequence is padded to the window, but for
+one whose length is a power of two, which is left as it is.
 
 A null text is empty and has its end id only; repeated rows and repeated ids are documents of their
 own; an empty table gives an empty result; other columns of the input are not read.
@@ -15,13 +17,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, steps
-from .tokens import encoder
+from .common import materialise, ranges, steps
+from .tokens import ENCODE_BYTES, encoder, vocabulary_size
 
 
 class OpenWindows:
@@ -78,44 +80,104 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
     return windows, offsets
 
 
-def pieces(docs: DataFrame, path: str, end_id: int, window: int = 1024, with_ids: bool = False) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): full windows and the rest of each document."""
+def pieces(docs: DataFrame, path: str, end_id: int, window: int = 1024) -> DataFrame:
+    """(doc_id, start, length, doc_tokens, ids): full windows and the rest of each document.
+
+    ids: little-endian unsigned numbers of 16 bits, or of 32 for a larger vocabulary.
+    """
+    dtype = _id_type(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, end_id)
-        for b in steps(batches, most=1 << 20):
-            of, start, length, crc, total, ids = [], [], [], [], [], []
-            for row, data in enumerate(encode(b.column("text").to_pylist())):
-                n = len(data) // 4
-                for s in range(0, n, window):
-                    piece = data[4 * s : 4 * (s + window)]
-                    of.append(row), start.append(s), length.append(len(piece) // 4), crc.append(zlib.crc32(piece)), total.append(n)
-                    if with_ids:
-                        ids.append(piece)
-            columns = [b.column("doc_id").take(pa.array(of, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(ids, pa.binary())] if with_ids else [])], [*names, *["ids"] * with_ids])
+        for b in steps(batches, most=ENCODE_BYTES):
+            ids, upto = encode(b.column("text"))
+            total = np.diff(upto)
+            n = -(-total // window)
+            row = np.repeat(np.arange(len(n)), n)
+            start = ranges(np.zeros(len(n), np.int64), n) * window
+            length = np.minimum(total[row] - start, window)
+            cut = np.append(upto[row] + start, upto[-1]) * dtype.itemsize
+            held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(cut), pa.py_buffer(ids.astype(dtype))])
+            columns = [b.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(length), pa.array(total[row]), held.cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "doc_tokens", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids binary" * with_ids
+    schema = f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, ids binary"
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def pack(cut: DataFrame, window: int = 1024, group_size: int = 8192) -> DataFrame:
-    """`cut` (doc_id, start, length and any others) with sequence_id and offset."""
-    cut = materialise(cut, "pieces")
-    groups = max(1, -(-cut.count() // group_size))
+def _id_type(path: str) -> np.dtype:
+    return np.dtype("<u2" if vocabulary_size(path) <= 1 << 16 else "<u4")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
-        at, offset = best_fit_decreasing(rows["length"].to_numpy(), window)
-        return rows.assign(sequence_id=(rows["grp"].to_numpy() << 40) + at, offset=offset).drop(columns="grp")
 
-    dealt = cut.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema.fields)
-    return dealt.groupBy("grp").applyInPandas(run, f"{fields}, sequence_id bigint, offset bigint")
+#: What a sequence holds of each of its pieces.
+_PARTS = {"doc_ids": "doc_id", "starts": "start", "lengths": "length", "doc_tokens": "doc_tokens"}
 
 
-def packed(docs: DataFrame, path: str, end_id: int, window: int = 1024, with_ids: bool = False) -> DataFrame:
-    """Every document's pieces with their place in the packed sequences."""
-    return pack(pieces(docs, path, end_id, window, with_ids), window)
+def pack(cut: DataFrame, id_bytes: int, window: int = 1024, group_size: int = 8192, pad_id: int = 0) -> DataFrame:
+    """(sequence_id, length, ids, doc_ids, starts, lengths, doc_tokens, offsets): the pieces `cut`
+    (as of `pieces`, ids of `id_bytes` bytes) in sequences.
+
+    ids ends in padding beyond `length`; the last five are lists with an item a piece, in their
+    order in the sequence.
+    """
+    cut = materialise(cut, "pieces")
+    groups = max(1, -(-cut.count() // group_size))
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        length = rows["length"].to_numpy()
+        order = np.argsort(-length, kind="stable")
+        at, offset = best_fit_decreasing(length[order], window)
+        order = order[np.lexsort((offset, at))]
+        length = length[order]
+        at = np.sort(at)
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        upto = np.concatenate(([0], np.cumsum(length)))
+        filled = np.diff(upto[np.append(first, len(at))])
+        whole = np.where(filled & (filled - 1), window, filled)
+        place = np.concatenate(([0], np.cumsum(whole)))
+        offset = upto[:-1] - upto[first][at]
+        flat = np.full(place[-1], pad_id, np.int32)
+        held = rows["ids"].combine_chunks().take(pa.array(order))
+        bounds = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1]
+        ids = np.frombuffer(held.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(f"<u{id_bytes}")
+        flat[ranges(place[at] + offset, length)] = ids
+        lists = pa.array(np.append(first, len(at)), pa.int32())
+        parts = [pa.ListArray.from_arrays(lists, rows[c].combine_chunks().take(pa.array(order))) for c in _PARTS.values()]
+        offsets = pa.ListArray.from_arrays(lists, pa.array(offset))
+        number = (key[0].as_py() << 40) + np.arange(len(first))
+        columns = [pa.array(number), pa.array(filled), pa.ListArray.from_arrays(pa.array(place, pa.int32()), pa.array(flat)), *parts, offsets]
+        return pa.Table.from_arrays(columns, ["sequence_id", "length", "ids", *_PARTS, "offsets"])
+
+    dealt = cut.withColumn("grp", F.pmod(F.monotonically_increasing_id(), F.lit(groups)))
+    kind = cut.schema["doc_id"].dataType.simpleString()
+    lists = "".join(f", {c} array<{kind if c == 'doc_ids' else 'bigint'}>" for c in [*_PARTS, "offsets"])
+    return dealt.groupBy("grp").applyInArrow(run, f"sequence_id bigint, length bigint, ids array<int>{lists}")
+
+
+def packed(docs: DataFrame, path: str, end_id: int, window: int = 1024) -> DataFrame:
+    """The packed sequences of every document of `docs` (doc_id, text); see `pack`."""
+    return pack(pieces(docs, path, end_id, window), _id_type(path).itemsize, window, pad_id=end_id)
+
+
+def placed(sequences: DataFrame) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): a row a piece, with the
+    CRC-32 of the ids that its sequence holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = {c: b.column(c) for c in [*_PARTS, "offsets"]}
+            n = pc.list_value_length(lists["starts"]).to_numpy(zero_copy_only=False)
+            flat = b.column("ids").flatten().to_numpy().astype("<u4")
+            base = np.concatenate(([0], np.cumsum(pc.list_value_length(b.column("ids")).to_numpy(zero_copy_only=False))))[:-1]
+            offset, length = lists["offsets"].flatten(), lists["lengths"].flatten()
+            begin = (np.repeat(base, n) + offset.to_numpy()).tolist()
+            crc = [zlib.crc32(flat[x : x + k]) for x, k in zip(begin, length.to_pylist())]
+            columns = [lists["doc_ids"].flatten(), lists["starts"].flatten(), length, pa.array(crc, pa.int64()), lists["doc_tokens"].flatten()]
+            columns += [b.column("sequence_id").take(pa.array(np.repeat(np.arange(len(n)), n))), offset]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+    kind = sequences.schema["doc_ids"].dataType.elementType.simpleString()
+    schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
+    return sequences.select("sequence_id", "ids", *_PARTS, "offsets").mapInArrow(run, schema)

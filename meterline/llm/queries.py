@@ -82,7 +82,7 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(tables(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, window=1024)
+    return packing.placed(packing.packed(tables(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, window=1024))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

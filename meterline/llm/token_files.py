@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import filesystem, materialise, open_mapped, steps
-from .tokens import encoder, vocabulary_size
+from .tokens import ENCODE_BYTES, encoder, vocabulary_size
 
 
 class _Writer:
@@ -50,13 +50,13 @@ class _Writer:
         self.waiting: list[np.ndarray] = []
         self.held = self.n_docs = self.n_tokens = 0
 
-    def add(self, ids: pa.Array, encoded: list[bytes]) -> None:
-        sizes = np.array([len(e) // 4 for e in encoded], np.int64)
-        starts = self.n_tokens + np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        self.docs.write_batch(pa.RecordBatch.from_arrays([ids, pa.array(starts), pa.array(sizes)], schema=self.doc_schema))
-        self.waiting.append(np.frombuffer(b"".join(encoded), "<u4").astype(self.dtype))
-        self.held += int(sizes.sum())
-        self.n_docs, self.n_tokens = self.n_docs + len(encoded), self.n_tokens + int(sizes.sum())
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, upto: np.ndarray) -> None:
+        sizes = np.diff(upto)
+        starts = self.n_tokens + upto[:-1]
+        self.docs.write_batch(pa.RecordBatch.from_arrays([doc_ids, pa.array(starts), pa.array(sizes)], schema=self.doc_schema))
+        self.waiting.append(ids.astype(self.dtype))
+        self.held += len(ids)
+        self.n_docs, self.n_tokens = self.n_docs + len(sizes), self.n_tokens + len(ids)
         if self.held >= self.rows * self.length:
             self._flush(self.held // (self.rows * self.length) * self.rows)
 
@@ -119,10 +119,10 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, length: int = 10
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, writer = encoder(path, end_id), None
         part = TaskContext.get().partitionId()
-        for b in steps(batches, most=1 << 20):
-            ids = b.column("doc_id")
-            writer = writer or _Writer(folder, f"part-{part:06d}-{uuid.uuid4().hex}", dtype, length, batch_rows, ids.type)
-            writer.add(ids, encode(b.column("text").to_pylist()))
+        for b in steps(batches, most=ENCODE_BYTES):
+            doc_ids = b.column("doc_id")
+            writer = writer or _Writer(folder, f"part-{part:06d}-{uuid.uuid4().hex}", dtype, length, batch_rows, doc_ids.type)
+            writer.add(doc_ids, *encode(b.column("text")))
         if writer:
             writer.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "uri": [writer.uri], "n_docs": [writer.n_docs], "n_tokens": [writer.n_tokens]})

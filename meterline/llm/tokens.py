@@ -1,10 +1,11 @@
 """Whole-text encoding with the `tokenizers` library, a segment at a time.
 
 Both vocabularies split a text before merging, and never across the start of a run of white space
-that follows other characters, nor between a letter and a mark after it.  A text's ids are
-therefore the ids of its segments (white space and the characters after it), joined, and a segment
-that occurs again need not be encoded again.  A segment that is a plain word goes straight to the
-vocabulary's merge model, without the normaliser and splitter that leave it as it is.
+that follows other characters.  A text's ids are therefore the ids of its segments (white space and
+the characters after it), joined.  Segments are cut and coded with Arrow and numpy, so that Python
+sees each distinct one of a batch once, and one that occurs again need not be encoded again.  A
+segment that is a plain word, perhaps with marks after it, goes straight to the vocabulary's merge
+model, without the normaliser and splitter that leave it as it is.
 """
 
 from __future__ import annotations
@@ -12,11 +13,15 @@ from __future__ import annotations
 import re
 from array import array
 
-#: A run of white space with what follows it; `\\s` here covers all that the vocabularies call space.
-_SEGMENT = re.compile(r"\s*\S+|\s+")
-#: For vocabularies that drop white space; the four control characters are none to them.
-_BARE_SEGMENT = re.compile(r"[\S\x1c-\x1f]+")
-_PLAIN = re.compile(r"([ \n\t\r]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+# Marks that may close a plain word: ASCII punctuation, but for ' (contractions) and < (special tokens).
+_PLAIN = re.compile(r"""([ \n\t\r]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)""")
+
+#: Text bytes that are encoded at a time: many, as each distinct segment is looked up once in them.
+ENCODE_BYTES = 8 << 20
 
 _encoders: dict[tuple[str, int], Encoder] = {}
 
@@ -28,28 +33,68 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def _after_wide_space(data: np.ndarray) -> np.ndarray:
+    """Whether the bytes before each place may end a white-space character outside ASCII."""
+    out = np.zeros(len(data), bool)
+    wide = np.flatnonzero(data[:-1] >= 128) + 1
+    if len(wide):
+        one, two = data[wide - 2], data[wide - 3]  # of places this near the start the wrong bytes: checked below
+        last = data[wide - 1]
+        short = (one == 0xC2) & ((last == 0x85) | (last == 0xA0))
+        long = (two == 0xE1) & (one == 0x9A) | (two == 0xE2) & ((one == 0x80) | (one == 0x81)) | (two == 0xE3) & (one == 0x80)
+        out[wide] = short | long | (wide < 3)
+    return out
+
+
+def segments(text: pa.Array, bare: bool) -> tuple[pa.Array, np.ndarray]:
+    """The segments of every text, flat, and where each text's begin and end.
+
+    A segment is a run of white space with what follows it, or without white space if `bare`.  Where
+    white space outside ASCII stands before ASCII white space, the run is not cut.
+    """
+    text = pc.fill_null(text, "").cast(pa.large_string())
+    bounds = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    if not len(data):
+        return pa.array([], pa.large_string()), np.zeros(len(bounds), np.int64)
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    turn = np.zeros(len(data), bool)
+    turn[1:] = space[1:] & ~space[:-1]
+    turn &= ~_after_wide_space(data)
+    if bare:
+        turn[1:] |= space[:-1] & ~space[1:]
+    turn[bounds[:-1][bounds[:-1] < len(data)]] = True
+    at = np.flatnonzero(turn)
+    cut = np.append(at, len(data))
+    flat = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(cut), pa.py_buffer(data))
+    if bare:
+        full = ~space[at]
+        upto = np.concatenate(([0], np.cumsum(full)))
+        return flat.filter(pa.array(full)), upto[np.searchsorted(at, bounds)]
+    return flat, np.searchsorted(at, bounds)
+
+
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes, each text closed by `end_id`.
+    """Ids of texts as unsigned 32-bit numbers, each text closed by `end_id`.
 
-    A null text is empty.  Special tokens' strings in a text are ordinary text.  At most about
-    twice `most_known` segments, and as many words, stay in memory.
+    A null text is empty; special tokens' strings in a text become those tokens, as in the library.
+    At most about twice `most_known` segments, and as many words, stay in memory.
     """
 
-    def __init__(self, path: str, end_id: int, most_known: int = 250_000):
+    def __init__(self, path: str, end_id: int, most_known: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.end = array("I", [end_id]).tobytes()
-        self.most = most_known
+        self.end_id, self.most = end_id, most_known
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.lower = self._whole("Ab") == self._whole("ab")
         self.spaced = self._whole(" ab") != self._whole("ab")
-        self.cut = (_SEGMENT if self.spaced else _BARE_SEGMENT).findall
         probes = [" Wonderful", "Épreuve", " straße", "ñandú", "x", " tionheß"]
         self.direct = all(self._word(p if self.spaced else p.strip()) == self._whole(p) for p in probes)
 
@@ -62,8 +107,13 @@ class Encoder:
             word = word.lower()
         ids = self.words.get(word)
         if ids is None:
-            shown = word if word.isascii() and word[0] != " " else word.encode().decode("latin-1").translate(self.letters)
-            ids = self.words[word] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            ids = self.older_words.get(word)
+            if ids is None:
+                shown = word if word.isascii() and word[0] != " " else word.encode().decode("latin-1").translate(self.letters)
+                ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            if len(self.words) >= self.most:
+                self.words, self.older_words = {}, self.words
+            self.words[word] = ids
         return ids
 
     def _segment(self, segment: str) -> bytes:
@@ -88,17 +138,32 @@ class Encoder:
                 self.parts[part] = ids
         return ids
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
+    def _looked_up(self, distinct: list[str]) -> list[bytes]:
+        """Ids of distinct segments, from the known ones or new."""
         if len(self.known) > self.most:
             self.known, self.older = {}, self.known
-        if len(self.words) > self.most:
-            self.words.clear()
-        cut = [self.cut(t) if t else [] for t in texts]
         known, older = self.known, self.older
-        for s in set().union(*cut).difference(known):
-            known[s] = older[s] if s in older else self._segment(s)
-        find = self.known.__getitem__
-        return [b"".join(map(find, segments)) + self.end for segments in cut]
+        out = list(map(known.get, distinct))
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            s = distinct[i]
+            ids = older.get(s)
+            out[i] = known[s] = self._segment(s) if ids is None else ids
+        return out
+
+    def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's begin and end."""
+        flat, offsets = segments(text, not self.spaced)
+        coded = flat.dictionary_encode()
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        held = self._looked_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        bounds = np.concatenate(([0], np.cumsum(np.append(size, 1))))
+        pool = np.append(np.frombuffer(b"".join(held), "<u4"), np.uint32(self.end_id))
+        lists = pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(pool))
+        # each text's end id is one more segment, the last of the pool
+        found = lists.take(pa.array(np.insert(index, offsets[1:], len(size))))
+        upto = found.offsets.to_numpy()
+        return found.values.to_numpy()[upto[0] : upto[-1]], upto[offsets + np.arange(len(offsets))] - upto[0]
 
 
 def encoder(path: str, end_id: int) -> Encoder:

@@ -67,7 +67,7 @@ def test_stages(spark, corpus):
         assert t == secrets.redact(original[i], [(a, b) for _, a, b in spans])
         assert i < 1400 or "[REDACTED]" in t
     assert before.where("n_chars <> length(text)").count() == 0
-    packed = stages["packing"](spark, before, sf).collect()
+    packed = packing.placed(stages["packing"](spark, before, sf)).collect()
     ids = sorted(texts)
     assert check_packed(packed, list(zip(ids, whole(BYTE, 0, [texts[i] for i in ids]))), 1024) < 0.1  # pieces of a third to a half of a window
     run = corpus_pipeline.run(spark, sf)

@@ -1,8 +1,11 @@
 import collections
+import itertools
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -13,13 +16,12 @@ from meterline.llm.tokens import Encoder
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 ODD = [
     "", None, "a  b\n\n c\t\n", "don't we'll I'M 's  　x\x1cy áé ñ  b", "1234 a1b2 ¼½ x² Ⅷ", "\n\nFoo  bar,baz... !?\r\nX\x85Y",
-    "中文字符 emoji 😀😀 ok", "İstanbul ΣΑΣ ς ﬁ", "it's,they're.It'S", "×a÷b à×b", " lead  trail ", "<|endoftext|> hi <|startoftext|>", "a" * 5000, " " * 300, "ß ẞ straße.",
+    "中文字符 emoji 😀😀 ok", "İstanbul ΣΑΣ ς ﬁ", "it's,they're.It'S", "×a÷b à×b", " lead  trail ", "<|endoftext|> hi <|startoftext|>", "x<|endoftext|>  y <|endoftext|", "\u2003 a \u00a0\n b\u3000 c", "a" * 5000, " " * 300, "ß ẞ straße.",
 ]
 
 
 def whole(path, end, texts):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [e.ids + [end] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -31,11 +33,23 @@ def crc(ids):
 def test_segments_give_the_ids_of_the_whole(spark, path, end):
     texts = ODD + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
     e = Encoder(path, end, most_known=500)  # so that it forgets
-    got = [np.frombuffer(x, "<u4").tolist() for i in range(0, len(texts), 7) for x in e(texts[i : i + 7])]
+    got = []
+    for i in range(0, len(texts), 7):
+        ids, upto = e(pa.array(texts[: i + 7], pa.string()).slice(i))
+        got += [ids[a:b].tolist() for a, b in itertools.pairwise(upto)]
     assert got == whole(path, end, texts)
     assert e.direct
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_random_strings(path):
+    rnd = random.Random(5)
+    parts = [" ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "a", "Word", "don't", "'s", "12", "é", "\u0301", "ſ", "中", "😀", "<|endoftext|>", "<|", "###", "...", "_", "\u212a", "\u200b", "\r\n"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(3000)]
+    ids, upto = Encoder(path, 9)(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in itertools.pairwise(upto)] == whole(path, 9, texts)
+
+
 def test_files_round_trip(spark, docs, crowded):
     for df in (docs, crowded):
         rows = df.collect()
@@ -96,9 +110,31 @@ def test_packing(docs, crowded):
     for df in (docs, crowded):
         rows = df.collect()
         texts = list(zip([r.doc_id for r in rows], whole(BYTE, 0, [r.text for r in rows])))
-        check_packed(packing.packed(df, BYTE, 0, window=64).collect(), texts, 64)
-    held = packing.packed(docs, BYTE, 0, window=64, with_ids=True).collect()
-    assert all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in held)
+        check_packed(packing.placed(packing.packed(df, BYTE, 0, window=64)).collect(), texts, 64)
+
+
+def test_sequences_hold_their_pieces(docs):
+    rows = docs.collect()
+    texts = collections.defaultdict(list)
+    for r, x in zip(rows, whole(BYTE, 0, [r.text for r in rows])):
+        texts[r.doc_id].append(x)
+    lengths = set()
+    for s in packing.packed(docs, BYTE, 0, window=64).collect():
+        at = 0
+        for i, start, length, total, offset in zip(s.doc_ids, s.starts, s.lengths, s.doc_tokens, s.offsets):
+            assert offset == at
+            assert any(len(x) == total and s.ids[at : at + length] == x[start : start + length] for x in texts[i])
+            at += length
+        assert at == s.length and not any(s.ids[at:])
+        assert len(s.ids) == (at if at & (at - 1) == 0 else 64)
+        lengths.add(at)
+    assert lengths - {64}
+
+
+def test_equal_rows_spread(spark):
+    cut = spark.range(60_000).selectExpr("cast(7 as bigint) doc_id", "0L start", "3L length", "3L doc_tokens", "unhex('010002000300') ids")
+    sizes = packing.pack(cut, 2, window=64).selectExpr("sequence_id >> 40 g", "size(starts) n").groupBy("g").sum("n").collect()
+    assert len(sizes) == 8 and max(r[1] for r in sizes) < 2 * 8192
 
 
 def test_query_packs_tightly(spark):
