@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 _PLAIN = re.compile(r"""([ \n\t\r]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)""")
 
 #: Text bytes that are encoded at a time: many, as each distinct segment is looked up once in them.
-ENCODE_BYTES = 8 << 20
+ENCODE_BYTES = 4 << 20
 
 _encoders: dict[tuple[str, int], Encoder] = {}
 
@@ -82,7 +82,7 @@ class Encoder:
     At most about twice `most_known` segments, and as many words, stay in memory.
     """
 
-    def __init__(self, path: str, end_id: int, most_known: int = 400_000):
+    def __init__(self, path: str, end_id: int, most_known: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
