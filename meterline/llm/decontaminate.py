@@ -154,7 +154,7 @@ class Benchmark:
 
 def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, str]]]:
     """The items, a block of about `block_words` words at a time."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    rows = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null")
     total = rows.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()[0]
     n = max(1, -(-total // block_words))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
@@ -162,15 +162,12 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int,
         yield [(r.item_id, r.text) for r in dealt.where(F.col("block") == k).collect()]
 
 
-HITS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType())]))
-_HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64())]))
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.6, block_words: int = 2_000_000) -> DataFrame:
     """`docs` with `hits`: the items that a document holds, and the share of their words."""
     spark, docs = docs.sparkSession, docs.drop("hits")
-    out = docs.withColumn("hits", F.array().cast(HITS))
-    schema = T.StructType([*docs.schema.fields, T.StructField("hits", HITS)])
+    hits = T.ArrayType(T.StructType([T.StructField("item_id", benchmark.schema["item_id"].dataType), T.StructField("coverage", T.DoubleType())]))
+    out = docs.withColumn("hits", F.array().cast(hits))
+    schema = T.StructType([*docs.schema.fields, T.StructField("hits", hits)])
     for items in _blocks(benchmark, block_words):
         block = spark.sparkContext.broadcast(Benchmark(items, least))
 
@@ -180,7 +177,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 5, thresho
                 before = b.column("hits").to_pylist()
                 now = [[*old, *({"item_id": i, "coverage": c} for i, c in block.value.coverage(t, threshold))] for old, t in zip(before, texts)]
                 at = b.schema.get_field_index("hits")
-                yield b.set_column(at, "hits", pa.array(now, _HITS))
+                yield b.set_column(at, "hits", pa.array(now, b.schema.field(at).type))
 
         out = out.mapInArrow(run, schema)
     return out

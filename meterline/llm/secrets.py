@@ -22,7 +22,7 @@ from pyspark.sql.utils import AnalysisException
 from .common import materialise, scratch, steps
 
 #: Rises with every change of the rules, so that known blobs are scanned again.
-RULES_VERSION = 1
+RULES_VERSION = 2
 
 # Kinds in their order within one start, the base kinds first.
 BASE_KINDS = ("assign", "access", "hex")
@@ -32,7 +32,11 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _WHOLE = {
     "access": re.compile(r"AKIA[A-Z0-9]{14,}"),
     "hex": re.compile(r"[0-9a-f]{16,}"),
-    "private_key": re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    # to its END line, or as far as there are runs of base64 if the key is cut
+    "private_key": re.compile(
+        r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----"
+        r"(?:(?:(?!-----BEGIN )[\s\S])*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----|(?:(?:\s+[A-Za-z0-9+/=]{20,})+(?:\s+[A-Za-z0-9+/]+=+|\s+[A-Za-z0-9+/]+(?=\s*(?:\Z|-----)))?)?)"
+    ),
     "github": re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}"),
     "slack": re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),

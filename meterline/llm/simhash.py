@@ -13,9 +13,11 @@ its pairs, only a spanning forest of the verified links; a crowded bucket is cut
 in which its members still differ, which loses no link.
 
 `similar_groups` looks for texts of a given Jaccard similarity instead, which lie up to a dozen bits
-apart: there fingerprints are of distinct shingles, only texts with the same set of them are folded, the balls hold the changes of a segment's least certain bits (those nearest to a tie),
-links within `max_distance` bits are taken nearest first, and the shingle sets of what they join
-are compared exactly; where that fails, the links that the forests left out are taken in turn.
+apart.  There fingerprints are of distinct shingles, and only texts with the same set of them are
+folded.  A text stands in its segments' tables under all changes of the segment's least certain bits
+(those nearest to a tie), so two texts meet where they differ in bits uncertain to one or the other.
+The links between texts that agree on a whole segment are compared first, to find most of each group; then
+every link within `max_distance` bits between texts of different groups, whatever their number.
 
 Nulls and texts without words have fingerprint 0 and are linked like any other; a text of one or
 two words is one shingle; repeated rows and repeated ids are documents of their own; an empty table
@@ -25,6 +27,7 @@ gives an empty result; other columns of the input are not read.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -194,11 +197,11 @@ def _linked(indexed: DataFrame, max_distance: int, bucket_links: Callable) -> Da
         u, v = bucket_links(bucket, t["fp"].to_numpy().view(np.uint64), t["stored"].to_numpy(), max_distance)
         return [u.view(np.int64), v.view(np.int64)]
 
-    return _by_bucket(indexed, link, "u bigint, v bigint")
+    return _by_bucket(indexed, link, "u bigint, v bigint", ["seg", "key"])
 
 
-def _by_bucket(indexed: DataFrame, link: Callable, schema: str) -> DataFrame:
-    """What `link` finds in the buckets (numbered, and their rows) of `indexed` (seg, key, ...)."""
+def _by_bucket(indexed: DataFrame, link: Callable, schema: str, bucket: list[str]) -> DataFrame:
+    """What `link` finds in the buckets (numbered, and their rows) of `indexed` (*bucket, ...)."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,13 +213,16 @@ def _by_bucket(indexed: DataFrame, link: Callable, schema: str) -> DataFrame:
             if not kept:
                 return
             t = pa.Table.from_batches(kept).combine_chunks()
-            seg, key = t["seg"].to_numpy(), t["key"].to_numpy()
-            cuts = np.flatnonzero((seg[1:] != seg[:-1]) | (key[1:] != key[:-1])) + 1
-            upto = len(key) if last else int(cuts[-1]) if len(cuts) else 0  # the last bucket may go on in the next batch
+            new = np.zeros(t.num_rows - 1, bool)
+            for c in bucket:
+                x = t[c].to_numpy()
+                new |= x[1:] != x[:-1]
+            cuts = np.flatnonzero(new) + 1
+            upto = t.num_rows if last else int(cuts[-1]) if len(cuts) else 0  # the last bucket may go on in the next batch
             if upto:
-                bucket = np.zeros(len(key), np.int64)
-                bucket[cuts] = 1
-                found = link(np.cumsum(bucket)[:upto], t.slice(0, upto))
+                number = np.zeros(t.num_rows, np.int64)
+                number[cuts] = 1
+                found = link(np.cumsum(number)[:upto], t.slice(0, upto))
                 if len(found[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names)
             rest = t.slice(upto)
@@ -230,7 +236,7 @@ def _by_bucket(indexed: DataFrame, link: Callable, schema: str) -> DataFrame:
                     yield from flush(False)
         yield from flush(True)
 
-    return indexed.repartition("seg", "key").sortWithinPartitions("seg", "key").mapInArrow(run, schema)
+    return indexed.repartition(*bucket).sortWithinPartitions(*bucket).mapInArrow(run, schema)
 
 
 def near_duplicates(docs: DataFrame, max_distance: int = 2, segments: int = 2, words: int = 3) -> DataFrame:
@@ -291,14 +297,14 @@ def _sketches(docs: DataFrame, words: int, segments: int, soft: int) -> DataFram
 
 
 def _soft_indexed(nodes: DataFrame, segments: int) -> DataFrame:
-    """(seg, key, stored, ...) of `nodes` (fp, soft, other longs): all changes of a segment's uncertain bits."""
+    """(bucket, ...) of `nodes` (fp, soft, other longs): all changes of a segment's uncertain bits."""
     parts = [sum(1 << int(b) for b in bits) for bits in np.array_split(np.arange(64), segments)]
     carried = [c for c in nodes.columns if c != "soft"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
+            for at in range(0, whole.num_rows, 4096):
+                b = whole.slice(at, 4096)
                 fp = b.column("fp").to_numpy().view(np.uint64)
                 soft = b.column("soft").flatten().to_numpy().view(np.uint64).reshape(-1, segments)
                 for i, part in enumerate(parts):
@@ -308,35 +314,49 @@ def _soft_indexed(nodes: DataFrame, segments: int) -> DataFrame:
                         keys = np.concatenate((keys, keys ^ low[:, None]), axis=1)
                         rest ^= low
                     n = keys.shape[1]
-                    stored = np.tile(np.arange(n) == 0, len(fp))
-                    columns = [np.full(keys.size, i, np.int32), keys.reshape(-1).view(np.int64), stored, *(np.repeat(b.column(c).to_numpy(), n) for c in carried)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["seg", "key", "stored", *carried])
+                    rows = np.repeat(np.arange(len(fp)), n)
+                    bucket = keys.reshape(-1) // np.uint64(part & -part) * np.uint64(segments) + np.uint64(i)
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), *(b.column(c).take(pa.array(rows)) for c in carried)], ["bucket", *carried])
 
-    return _spread(nodes).mapInArrow(run, "seg int, key bigint, stored boolean, " + ", ".join(f"{c} bigint" for c in carried))
+    return _spread(nodes).mapInArrow(run, "bucket bigint, " + ", ".join(f"{c} bigint" for c in carried))
 
 
-def _pairs(bucket: np.ndarray, fp: np.ndarray, node: np.ndarray, stored: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows (x, y) of different nodes at most `most` bits apart inside the buckets, x stored, and
-    their distances, block by block."""
+def _plain_indexed(nodes: DataFrame, segments: int) -> DataFrame:
+    """(bucket, fp, node) of `nodes`: the segments as they are."""
+    parts = [[int(x) for x in bits] for bits in np.array_split(np.arange(64), segments)]
+    keys = [F.shiftrightunsigned("fp", bits[0]).bitwiseAND(F.lit((1 << len(bits)) - 1)) * segments + i for i, bits in enumerate(parts)]
+    return nodes.select(F.explode(F.array(*keys)).alias("bucket"), "fp", "node")
+
+
+#: Members of a bucket that the first round compares with each other.
+_FIRST = 4096
+
+
+def _bounds(bucket: np.ndarray) -> Iterator[tuple[int, int]]:
     starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
     ends = np.append(starts[1:], len(bucket))
-    held = np.add.reduceat(stored.astype(np.int64), starts)
-    for k in np.flatnonzero((held > 0) & (ends - starts > 1)):
-        rows = np.arange(starts[k], ends[k])
-        every = rows[np.unique(node[rows], return_index=True)[1]]
-        own = rows[stored[rows]]
-        own = own[np.unique(node[own], return_index=True)[1]]
-        wide = max(1, BLOCK // len(every))
-        for i in range(0, len(own), wide):
-            distance = np.bitwise_count(fp[own[i : i + wide], None] ^ fp[None, every])
-            x, y = np.nonzero(distance <= most)
-            d, x, y = distance[x, y], own[i + x], every[y]
-            apart = node[x] != node[y]
-            yield x[apart], y[apart], d[apart]
-
-
-def _nearest_first(bucket: np.ndarray, fp: np.ndarray, node: np.ndarray, stored: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the links between nodes inside the buckets, a spanning forest of least distances."""
+    some = ends - starts > 1
+    return zip(starts[some].tolist(), ends[some].tolist())
+
+
+def _near_pairs(fp: np.ndarray, beyond: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places (x, y) of `fp` at most `most` bits apart with y at beyond[x] or later, and their
+    distances, block by block; `beyond` ascends."""
+    at = 0
+    while at < len(fp) and beyond[at] < len(fp):
+        first = int(beyond[at])
+        upto = at + max(1, BLOCK // (len(fp) - first))
+        distance = np.bitwise_count(fp[at:upto, None] ^ fp[None, first:])
+        x, y = np.nonzero(distance <= most)
+        d, x, y = distance[x, y], x + at, y + first
+        later = y >= beyond[x]
+        yield x[later], y[later], d[later]
+        at = upto
+
+
+def _nearest_first(bucket: np.ndarray, fp: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links between nodes inside the buckets, a spanning forest of least distances.  In
+    larger buckets, of those that stand near each other in the fingerprints' order."""
     levels: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(most + 1)]
     waiting = 0
 
@@ -364,13 +384,17 @@ def _nearest_first(bucket: np.ndarray, fp: np.ndarray, node: np.ndarray, stored:
             picked = np.concatenate(kept) if kept else np.empty(0, np.int64)
             level[:] = [(nodes[u[picked]], nodes[v[picked]])]
 
-    for x, y, d in _pairs(bucket, fp, node, stored, most):
-        for n in np.unique(d):
-            levels[n].append((node[x[d == n]], node[y[d == n]]))
-        waiting += len(x)
-        if waiting > BLOCK:
-            fold()
-            waiting = 0
+    for start, end in _bounds(bucket):
+        rows = start + np.argsort(fp[start:end], kind="stable")
+        for at in range(0, len(rows), _FIRST):
+            own = rows[at : at + _FIRST]
+            for x, y, d in _near_pairs(fp[own], np.arange(1, len(own) + 1), most):
+                for n in np.unique(d):
+                    levels[n].append((node[own[x[d == n]]], node[own[y[d == n]]]))
+                waiting += len(x)
+                if waiting > BLOCK:
+                    fold()
+                    waiting = 0
     fold()
     pairs = [pair for level in levels for pair in level]
     u, v = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.empty(0, np.int64), np.empty(0, np.int64))
@@ -408,45 +432,27 @@ def _crossing(bucket: np.ndarray, t: pa.Table, most: int, similarity: float, few
         if parts:
             parts[:] = [_first_few(*(np.concatenate(x) for x in zip(*parts)), few)]
 
-    for x, y, d in _pairs(bucket, fp, node, t["stored"].to_numpy(), most):
-        apart = label[x] != label[y]
-        x, y, d = x[apart], y[apart], d[apart]
-        differ = sum((np.bitwise_count(p[x] ^ p[y]).astype(np.int64) for p in parity), np.zeros(len(x), np.int64))
-        differ = np.maximum(differ, np.abs(size[x] - size[y]))
-        may = (1 + similarity) * differ <= (1 - similarity) * (size[x] + size[y]) + 1e-6
-        x, y, d = x[may], y[may], d[may]
-        turn = label[x] > label[y]
-        x, y = np.where(turn, y, x), np.where(turn, x, y)
-        parts.append([node[x], node[y], label[x], label[y], d, np.zeros(len(x), bool)])
-        waiting += len(x)
-        if waiting > BLOCK:
-            fold()
-            waiting = 0
+    for start, end in _bounds(bucket):
+        own = start + np.argsort(label[start:end], kind="stable")
+        for x, y, d in _near_pairs(fp[own], np.searchsorted(label[own], label[own], "right"), most):
+            x, y = own[x], own[y]
+            differ = sum((np.bitwise_count(p[x] ^ p[y]).astype(np.int64) for p in parity), np.zeros(len(x), np.int64))
+            differ = np.maximum(differ, np.abs(size[x] - size[y]))
+            may = (1 + similarity) * differ <= (1 - similarity) * (size[x] + size[y]) + 1e-6
+            if may.any():
+                x, y, d = x[may], y[may], d[may]
+                parts.append([node[x], node[y], label[x], label[y], d, np.zeros(len(x), bool)])
+                waiting += len(x)
+            if waiting > BLOCK:
+                fold()
+                waiting = 0
     fold()
     u, v, lu, lv, _, more = parts[0] if parts else [np.empty(0, np.int64)] * 5 + [np.empty(0, bool)]
     return [u, v, lu, lv, more]
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, max_distance: int = 14, segments: int = 3, soft: int = 7) -> DataFrame:
-    """(doc_id, component_id) for every row of `docs` (doc_id, text): groups of texts joined by
-    links of at least `similarity` between their sets of shingles of `words` words.
-
-    Texts with the same set of shingles are copies; different sets under one fingerprint are
-    compared like any others.  The first round compares the links of spanning
-    forests exactly.  Where some fail, further rounds compare links between the groups so far,
-    ever more of every two groups, until all that meet in a bucket are in one group, are compared,
-    or cannot be as similar.
-    """
-    marked = materialise(_sketches(docs, words, segments, soft), "fingerprints")
-    sketch = F.first(F.struct("fp", "n", "parity", "soft")).alias("s")
-    distinct = materialise(marked.groupBy("node").agg(F.min("doc_id").alias("least"), sketch).select("node", "least", "s.*"), "distinct")
-
-    def forest(bucket: np.ndarray, t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return _nearest_first(bucket, t["fp"].to_numpy().view(np.uint64), t["node"].to_numpy(), t["stored"].to_numpy(), max_distance)
-
-    near = materialise(_by_bucket(_soft_indexed(distinct.select("node", "fp", "soft"), segments), forest, "u bigint, v bigint").distinct(), "near")
-    ends = near.select(F.col("u").alias("node")).union(near.select(F.col("v").alias("node"))).distinct()
-    chosen = distinct.join(ends, "node", "left_semi").select("node", "least")
+def _shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of `nodes` (node, least): the sets of the texts of the ids `least`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
@@ -455,40 +461,67 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, max
             columns = [b.column("node"), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["node", "shingles"]).filter(pa.array(own, pa.bool_()))
 
-    texts = docs.select(F.col("doc_id").alias("least"), F.col("text").cast("string").alias("text")).join(chosen, "least").select("node", "text")
-    sets = materialise(texts.mapInArrow(run, "node bigint, shingles array<bigint>").dropDuplicates(["node"]), "shingles")
+    texts = docs.select(F.col("doc_id").alias("least"), F.col("text").cast("string").alias("text")).join(nodes, "least").select("node", "text")
+    return materialise(texts.mapInArrow(run, "node bigint, shingles array<bigint>").dropDuplicates(["node"]), "shingles")
+
+
+def _renamed(rows: DataFrame, column: str, groups: DataFrame) -> DataFrame:
+    """`rows` with `column` replaced by its component, if it is in one."""
+    to = groups.select(F.col("node").alias("_node"), F.col("component").alias("_to"))
+    return rows.join(to, F.col(column) == F.col("_node"), "left").withColumn(column, F.coalesce("_to", column)).drop("_node", "_to")
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, max_distance: int = 14, segments: int = 3, soft: int = 5) -> DataFrame:
+    """(doc_id, component_id) for every row of `docs` (doc_id, text): groups of texts joined by
+    links of at least `similarity` between their sets of shingles of `words` words.
+
+    Texts with the same set of shingles are copies.  Each round compares links exactly and joins
+    what is as similar as asked: first those of spanning forests of texts that agree on a segment,
+    then the nearest few of every two groups so far (a text alone is a group), and ever more of
+    these, until all that meet in a bucket are in one group, are compared, or cannot be as similar.
+    """
+    marked = materialise(_sketches(docs, words, segments, soft), "fingerprints")
+    sketch = F.first(F.struct("fp", "n", "parity", "soft")).alias("s")
+    distinct = materialise(marked.groupBy("node").agg(F.min("doc_id").alias("least"), sketch).select("node", "least", "s.*"), "distinct")
+    known: list[DataFrame] = []
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """The sets of the nodes of `pairs` beside those known."""
+        ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+        for held in known:
+            ends = ends.join(held, "node", "left_anti")
+        ends = materialise(distinct.join(ends, "node", "left_semi").select("node", "least"), "ends")
+        if not ends.isEmpty():
+            known.append(_shingle_sets(docs, ends, words))
+        return reduce(DataFrame.union, known) if known else marked.sparkSession.createDataFrame([], "node bigint, shingles array<bigint>")
 
     def compared(pairs: DataFrame) -> DataFrame:
         """`pairs` with `similar`, whether their sets are as similar as asked."""
+        sets = sets_of(pairs)
         both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
         shared = F.size(F.array_intersect("a", "b"))
         return materialise(both.select(*pairs.columns, (shared >= similarity * (F.size("a") + F.size("b") - shared)).alias("similar")), "compared")
 
-    def named(rows: DataFrame, column: str, groups: DataFrame) -> DataFrame:
-        """`rows` with `column` replaced by its group's name."""
-        to = groups.select(F.col("node").alias("_node"), F.col("component").alias("_to"))
-        return rows.join(to, F.col(column) == F.col("_node"), "left").withColumn(column, F.coalesce("_to", column)).drop("_node", "_to")
+    def forest(bucket: np.ndarray, t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return _nearest_first(bucket, t["fp"].to_numpy().view(np.uint64), t["node"].to_numpy(), max_distance)
 
+    near = materialise(_by_bucket(_plain_indexed(distinct, segments), forest, "u bigint, v bigint", ["bucket"]).distinct(), "near")
     done = compared(near)
-    groups = components(done.where("similar").select("u", "v"))
-    labels = materialise(named(ends.withColumn("label", F.col("node")), "label", groups), "labels")
-    left = named(named(done.where("not similar").select(F.col("u").alias("lu"), F.col("v").alias("lv")), "lu", groups), "lv", groups)
-    done, few = done.select("u", "v"), 4
-    while True:
-        left = left.where("lu <> lv")
-        left = materialise(left.select(F.col("lu").alias("label")).union(left.select(F.col("lv").alias("label"))).distinct(), "left")
-        if left.isEmpty():
-            break
-        part = distinct.join(labels.join(left, "label", "left_semi"), "node").select("node", "fp", "soft", "label", "n", *[F.col("parity")[i].alias(f"p{i}") for i in range(4)])
+    labels = materialise(_renamed(distinct.select("node", F.col("node").alias("label")), "label", components(done.where("similar").select("u", "v"))), "labels")
+    done, left, few = done.select("u", "v"), None, 4
+    while left is None or not left.isEmpty():
+        asked = labels if left is None else labels.join(left, "label", "left_semi")
+        part = distinct.join(asked, "node").select("node", "fp", "soft", "label", "n", *[F.col("parity")[i].alias(f"p{i}") for i in range(4)])
         link = lambda bucket, t, few=few: _crossing(bucket, t, max_distance, similarity, few)
-        met = _by_bucket(_soft_indexed(part, segments), link, "u bigint, v bigint, lu bigint, lv bigint, more boolean")
+        met = _by_bucket(_soft_indexed(part, segments), link, "u bigint, v bigint, lu bigint, lv bigint, more boolean", ["bucket"])
         met = materialise(met.groupBy("u", "v", "lu", "lv").agg(F.max("more").alias("more")), "met")
         pair = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
-        fresh = compared(met.select(*pair, "lu", "lv").join(done, ["u", "v"], "left_anti"))
+        fresh = compared(materialise(met.select(*pair, "lu", "lv").join(done, ["u", "v"], "left_anti"), "fresh"))
         groups = components(fresh.where("similar").select(F.col("lu").alias("u"), F.col("lv").alias("v")))
-        labels = materialise(named(labels, "label", groups), "labels")
-        left = named(named(met.where("more").select("lu", "lv").distinct(), "lu", groups), "lv", groups)
+        labels = materialise(_renamed(labels, "label", groups), "labels")
+        more = _renamed(_renamed(met.where("more").select("lu", "lv").distinct(), "lu", groups), "lv", groups).where("lu <> lv")
+        left = materialise(more.select(F.col("lu").alias("label")).union(more.select(F.col("lv").alias("label"))).distinct(), "left")
         done, few = done.union(fresh.select("u", "v")), 4 * few
-    rooted = distinct.select("node", "least").join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("root"))
-    first = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    rooted = distinct.select("node", "least").join(labels, "node")
+    first = rooted.join(rooted.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id")
     return marked.select("doc_id", "node").join(first, "node").select("doc_id", "component_id")

@@ -2,8 +2,8 @@
 
 The categories are predicted one after the other: each is a logistic regression over the words (and
 their four- and five-character beginnings) that tell most about it, plus the probabilities of the
-categories before it.  Those probabilities are out-of-fold in training, so a later model learns
-from errors like those it will meet (Read et al., "Classifier Chains for Multi-label
+categories before it.  Those probabilities are out-of-fold in training (the held-out documents have
+no say in the choice of words either), so a later model learns from errors like those it will meet (Read et al., "Classifier Chains for Multi-label
 Classification", with stacked out-of-fold inputs).
 
 The chain is fitted on at most `sample_rows` labelled documents, as many positive ones of `balance`
@@ -12,7 +12,7 @@ in Spark tasks.
 
 Null and empty texts have no words and get the model's prior; labels that are null count as 0 and
 repeated labels of an id as their greatest; documents of a repeated id are judged each on its own
-text; without labels, or with one class only, a category's probability is its share among the
+text, and of these the text of the least hash is learnt from; without labels, or with one class only, a category's probability is its share among the
 labels (0 if there are none); other columns of `docs` pass through.
 """
 
@@ -114,7 +114,8 @@ def _sample(docs: DataFrame, labels: DataFrame, categories: list[str], balance:
         return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
 
     chosen = some(known.where(F.col(balance) == 1), sample_rows // 2).unionByName(some(known.where(F.col(balance) == 0), sample_rows - sample_rows // 2))
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", *categories).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
@@ -126,6 +127,25 @@ def _sample(docs: DataFrame, labels: DataFrame, categories: list[str], balance:
     return texts.select("doc_id", "text", *categories).mapInArrow(run, schema).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
 
 
+def _chosen(row: np.ndarray, feature: np.ndarray, width: int, y: np.ndarray, inside: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features that tell most about a category in the documents `inside`, and all documents'
+    (row, place among these features) pairs."""
+    n, own = int(inside.sum()), inside[row] if len(row) else np.empty(0, bool)
+    seen, best = np.bincount(feature[own], minlength=width), np.zeros(width)
+    for k in range(y.shape[1]):  # chi-squared of each feature with each category
+        with_it, share = np.bincount(feature[own], y[row[own], k], width), y[inside, k].mean() if n else 0.0
+        if 0 < share < 1:
+            expected = seen * share
+            chi2 = (with_it - expected) ** 2 / np.maximum(expected * (1 - share) * (1 - seen / n), 1e-9)
+            best = np.maximum(best, np.where((seen >= 3) & (seen < n), chi2, 0))
+    top = np.argsort(-best, kind="stable")[:most]
+    top = top[best[top] > 10.83]  # p < 0.001
+    place = np.full(width, -1)
+    place[top] = np.arange(len(top))
+    keep = place[feature] >= 0
+    return top, row[keep], place[feature[keep]]
+
+
 def fit(docs: DataFrame, labels: DataFrame, categories: list[str], balance: str, sample_rows: int = 6000, features: int = 2048, folds: int = 5, rounds: int = 120) -> Chain:
     """Fit the chain in the order of `categories`, 0/1 columns of `labels` beside doc_id."""
     rows = _sample(docs, labels, categories, balance, sample_rows)
@@ -135,33 +155,23 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], balance: str,
     feature = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     row = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy())) if n else np.empty(0, np.int64)
     y = np.stack([rows[c].to_numpy() for c in categories], axis=1).astype(float) if n else np.empty((0, len(categories)))
-    width, seen = len(coded.dictionary), np.bincount(feature, minlength=len(coded.dictionary))
-    best = np.zeros(width)
-    for k in range(len(categories)):  # chi-squared of each feature with each category
-        with_it, share = np.bincount(feature, y[row, k], width), y[:, k].mean() if n else 0.0
-        if 0 < share < 1:
-            expected = seen * share
-            chi2 = (with_it - expected) ** 2 / np.maximum(expected * (1 - share) * (1 - seen / n), 1e-9)
-            best = np.maximum(best, np.where((seen >= 3) & (seen < n), chi2, 0))
-    top = np.argsort(-best, kind="stable")[:features]
-    top = top[best[top] > 10.83]  # p < 0.001
-    place = np.full(width, -1)
-    place[top] = np.arange(len(top))
-    keep = place[feature] >= 0
-    row, feature = row[keep], place[feature[keep]]
-    names = coded.dictionary.take(pa.array(top, pa.int64())).to_pylist()
-    fold, prior, links = np.arange(n) % folds, np.empty((n, 0)), []
+    width = len(coded.dictionary)
+    everyone, fold = np.ones(n, bool), np.arange(n) % folds
+    parts = [(fold != f, *_chosen(row, feature, width, y, fold != f, features)) for f in range(folds)] if n else []
+    top, own_row, own_feature = _chosen(row, feature, width, y, everyone, features)
+    prior, links = np.empty((n, 0)), []
     for k, name in enumerate(categories):
         if not n:
             links.append(Link(name, np.zeros(0), np.zeros(k), -30.0, 0.5))
             continue
         held_out = np.zeros(n)
-        for f in range(folds):
-            w, e, b = _fit(row, feature, len(top), prior, y[:, k], fold != f, rounds)
-            held_out += np.where(fold == f, _sigmoid(np.bincount(row, w[feature], n) + prior @ e + b), 0)
-        w, e, b = _fit(row, feature, len(top), prior, y[:, k], np.ones(n, bool), rounds)
+        for inside, kept, r, f in parts:  # features, too, are chosen without the fold that is held out
+            w, e, b = _fit(r, f, len(kept), prior, y[:, k], inside, rounds)
+            held_out += np.where(inside, 0, _sigmoid(np.bincount(r, w[f], n) + prior @ e + b))
+        w, e, b = _fit(own_row, own_feature, len(top), prior, y[:, k], everyone, rounds)
         links.append(Link(name, w, e, b, _best_threshold(held_out, y[:, k]) if y[:, k].any() else 0.5))
         prior = np.column_stack((prior, held_out))
+    names = coded.dictionary.take(pa.array(top, pa.int64())).to_pylist()
     return Chain({f: i for i, f in enumerate(names)}, links)
 
 

@@ -3,9 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from meterline.llm import secrets
+from meterline.llm import packing, secrets
 
 from .conftest import prose
 from .test_tokens import BYTE, check_packed, whole
@@ -70,7 +71,7 @@ def test_stages(spark, corpus):
     packed = packing.placed(stages["packing"](spark, before, sf)).collect()
     ids = sorted(texts)
     assert check_packed(packed, list(zip(ids, whole(BYTE, 0, [texts[i] for i in ids]))), 1024) < 0.1  # pieces of a third to a half of a window
-    run = corpus_pipeline.run(spark, sf)
+    run = packing.placed(corpus_pipeline.run(spark, sf))
     key = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     assert sorted(map(tuple, run.select(*key).collect())) == sorted(tuple(r[k] for k in key) for r in packed)
 
@@ -88,7 +89,27 @@ def test_stages_on_odd_rows(spark, corpus, docs, empty):
             kept = [r.doc_id for r in out.orderBy("doc_id").collect()]
             assert kept == [None, 1, 4, 7, 8, 9, 10, 11, 12, 13, 14, 14]
         else:
-            assert {r.doc_id for r in out.collect()} == {r.doc_id for r in docs.collect()}
+            assert {i for r in out.collect() for i in r.doc_ids} == {r.doc_id for r in docs.collect()}
+
+
+def test_stages_keep_the_callers_columns(spark, corpus):
+    """Columns named like those that stages add come back as they were, and texts too."""
+    sf, rows = corpus
+    names = ["spans", "_blob", "blob", "hits", "p_toxic", "is_toxic", "of", "own_0", "lang_2", "node", "label"]
+    few = [r for r in rows if r[0] < 60 or r[0] >= 1300]
+    given = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t, _, _ in few], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    given = given.select(F.lit("first").alias("hits2"), *given.columns, *[F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in names])
+    before = {r.doc_id: r for r in given.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, given, sf)
+        assert out.columns == given.columns, name
+        got = out.collect()
+        assert len(got) > 30, name
+        for r in got:
+            old = before[r.doc_id]
+            assert all(r[c] == old[c] for c in ["hits2", "lang", "source", *names]), name
+            text = secrets.redact(old.text, [(a, b) for _, a, b in secrets.find(old.text)]) if name == "secrets" else old.text
+            assert (r.text, r.n_chars) == (text, len(text)), name
 
 
 def test_registered(spark):

@@ -45,6 +45,22 @@ def test_added_kinds_and_redaction():
     assert secrets.redact(None, [(0, 1)]) is None
 
 
+def test_private_keys_go_whole():
+    body = "\n".join("MIIEvQ" + c * 58 for c in "abcd") + "\nlastLine=="
+    for head in ("-----BEGIN PRIVATE KEY-----", "-----BEGIN RSA PRIVATE KEY-----"):
+        end = head.replace("BEGIN", "END")
+        for text, left in (
+            (f"before {head}\n{body}\n{end} after", "before [REDACTED] after"),
+            (f"before {head}\\n{body}\\n{end} after", "before [REDACTED] after"),
+            (f"{head}\nProc-Type: 4,ENCRYPTED\n\n{body}\n{end}\nafter", "[REDACTED]\nafter"),
+            (f"before {head}\n{body}", "before [REDACTED]"),  # cut
+            (f"the line {head} opens a key", "the line [REDACTED] opens a key"),
+            (f"{head}\n{body}\n{head}\n{body}\n{end}", "[REDACTED]\n[REDACTED]"),
+        ):
+            assert secrets.redact(text, [(a, b) for _, a, b in secrets.find(text)]) == left, text
+    assert len(secrets.find("-----BEGIN PRIVATE KEY----- " * 20000)) == 20000  # in time that grows with the text
+
+
 def digests(df, **kw):
     return {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in secrets.digest(secrets.scan(df, ["doc_id"], **kw)).collect()}
 
