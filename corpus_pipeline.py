@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterline.llm import decontaminate, packing, secrets, simhash, toxicity
@@ -19,10 +19,18 @@ from meterline.llm.common import materialise, steps, tables
 from meterline.llm.queries import TOXICITY_CHAIN, toxicity_labels
 
 
+def _set_aside(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """`docs` with other names for its columns but doc_id and text, so that none clashes with what a
+    stage adds, and the columns that bring the names back."""
+    names = {c: c if c in ("doc_id", "text") else f"own_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), [F.col(own).alias(c) for c, own in names.items()]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain does not call toxic."""
+    docs, back = _set_aside(docs)
     chain = toxicity.fit(docs, toxicity_labels(spark, sf_dir), TOXICITY_CHAIN, balance="toxic", sample_rows=6000)
-    return toxicity.predict(docs, chain).where("not is_toxic").select(*docs.columns)
+    return toxicity.predict(docs, chain).where("not is_toxic").select(*back)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,33 +46,35 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    docs, back = _set_aside(docs)
     found = decontaminate.decontaminate(docs, tables(spark, sf_dir, "benchmark"), least=5, threshold=0.6)
-    return found.where(F.size("hits") == 0).select(*docs.columns)
+    return found.where(F.size("hits") == 0).select(*back)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret replaced by a mark and n_chars counted anew."""
+    schema, counted = docs.schema, f"own_{docs.columns.index('n_chars')}"
+    docs, back = _set_aside(docs)
     found = secrets.scan(docs.select("doc_id", "text"), ["doc_id"]).where(F.size("spans") > 0)
-    spans = found.select("doc_id", "blob", "spans").dropDuplicates(["doc_id", "blob"])
-    named = docs.withColumn("_blob", secrets.blob())
-    names = docs.columns
-    hit = named.join(spans, (named["_blob"] == spans["blob"]) & named["doc_id"].eqNullSafe(spans["doc_id"]), "left").select(*[named[c] for c in names], "spans")
+    found = found.select(F.col("doc_id").alias("of"), "blob", "spans").dropDuplicates(["of", "blob"])
+    hit = docs.join(found, (secrets.blob() == F.col("blob")) & F.col("doc_id").eqNullSafe(F.col("of")), "left").select(*docs.columns, "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
-            text, n = b.column("text").to_pylist(), b.column("n_chars").to_pylist()
+            text, n = b.column("text").to_pylist(), b.column(counted).to_pylist()
             for i, found in enumerate(b.column("spans").to_pylist()):
                 if found:
                     text[i] = secrets.redact(text[i], [(s["start"], s["end"]) for s in found])
                     n[i] = len(text[i])
-            out = {c: b.column(c) for c in names} | {"text": pa.array(text, pa.string()), "n_chars": pa.array(n, pa.int64())}
-            yield pa.RecordBatch.from_pydict(out)
+            new = {"text": text, counted: n}
+            columns = [pa.array(new[c], b.schema.field(c).type) if c in new else b.column(c) for c in b.schema.names if c != "spans"]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return hit.mapInArrow(run, docs.schema)
+    return hit.mapInArrow(run, schema)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The kept documents' pieces in packed sequences of at most 1024 tokens."""
+    """The kept documents' token ids in padded sequences of at most 1024."""
     return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, window=1024)
 
 
