@@ -92,7 +92,7 @@ def _fit(row: np.ndarray, feature: np.ndarray, width: int, dense: np.ndarray, y:
     return w[:width], w[width:-1], float(w[-1])
 
 
-def _best_threshold(p: np.ndarray, y: np.ndarray, precision: float = 0.8) -> float:
+def _best_threshold(p: np.ndarray, y: np.ndarray, precision: float = 0.85) -> float:
     """The middle of the gap at the best F1 of the out-of-fold probabilities at which `precision`
     holds; one half where it never does."""
     order = np.argsort(-p, kind="stable")
@@ -127,23 +127,19 @@ def _sample(docs: DataFrame, labels: DataFrame, categories: list[str], balance:
     return texts.select("doc_id", "text", *categories).mapInArrow(run, schema).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
 
 
-def _chosen(row: np.ndarray, feature: np.ndarray, width: int, y: np.ndarray, inside: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The features that tell most about a category in the documents `inside`, and all documents'
-    (row, place among these features) pairs."""
-    n, own = int(inside.sum()), inside[row] if len(row) else np.empty(0, bool)
-    seen, best = np.bincount(feature[own], minlength=width), np.zeros(width)
+def _best_features(row: np.ndarray, feature: np.ndarray, width: int, y: np.ndarray, inside: np.ndarray, most: int) -> np.ndarray:
+    """The features that tell most about a category in the documents `inside`."""
+    n, own = int(inside.sum()), inside[row]
+    row, feature = row[own], feature[own]
+    seen, best = np.bincount(feature, minlength=width), np.zeros(width)
     for k in range(y.shape[1]):  # chi-squared of each feature with each category
-        with_it, share = np.bincount(feature[own], y[row[own], k], width), y[inside, k].mean() if n else 0.0
+        with_it, share = np.bincount(feature, y[row, k], width), y[inside, k].mean() if n else 0.0
         if 0 < share < 1:
             expected = seen * share
             chi2 = (with_it - expected) ** 2 / np.maximum(expected * (1 - share) * (1 - seen / n), 1e-9)
             best = np.maximum(best, np.where((seen >= 3) & (seen < n), chi2, 0))
     top = np.argsort(-best, kind="stable")[:most]
-    top = top[best[top] > 10.83]  # p < 0.001
-    place = np.full(width, -1)
-    place[top] = np.arange(len(top))
-    keep = place[feature] >= 0
-    return top, row[keep], place[feature[keep]]
+    return top[best[top] > 10.83]  # p < 0.001
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: list[str], balance: str, sample_rows: int = 6000, features: int = 2048, folds: int = 5, rounds: int = 120) -> Chain:
@@ -152,23 +148,33 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], balance: str,
     n = rows.num_rows
     lists = rows["features"].combine_chunks()
     coded = lists.flatten().dictionary_encode() if n else pa.array([], pa.string()).dictionary_encode()
-    feature = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    row = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy())) if n else np.empty(0, np.int64)
+    feature = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(lists.offsets.to_numpy())) if n else np.empty(0, np.int32)
     y = np.stack([rows[c].to_numpy() for c in categories], axis=1).astype(float) if n else np.empty((0, len(categories)))
     width = len(coded.dictionary)
-    everyone, fold = np.ones(n, bool), np.arange(n) % folds
-    parts = [(fold != f, *_chosen(row, feature, width, y, fold != f, features)) for f in range(folds)] if n else []
-    top, own_row, own_feature = _chosen(row, feature, width, y, everyone, features)
+    del rows, lists
+    fold = np.arange(n) % folds
+    tops = [_best_features(row, feature, width, y, fold != f, features) for f in range(folds)]
+    top = _best_features(row, feature, width, y, np.ones(n, bool), features)
+
+    def among(kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place) of the pairs whose features are in `kept`."""
+        place = np.full(width, -1, np.int32)
+        place[kept] = np.arange(len(kept))
+        held = place[feature] >= 0
+        return row[held], place[feature[held]]
+
     prior, links = np.empty((n, 0)), []
     for k, name in enumerate(categories):
         if not n:
             links.append(Link(name, np.zeros(0), np.zeros(k), -30.0, 0.5))
             continue
         held_out = np.zeros(n)
-        for inside, kept, r, f in parts:  # features, too, are chosen without the fold that is held out
-            w, e, b = _fit(r, f, len(kept), prior, y[:, k], inside, rounds)
-            held_out += np.where(inside, 0, _sigmoid(np.bincount(r, w[f], n) + prior @ e + b))
-        w, e, b = _fit(own_row, own_feature, len(top), prior, y[:, k], everyone, rounds)
+        for i, kept in enumerate(tops):  # features, too, are chosen without the fold that is held out
+            r, f = among(kept)
+            w, e, b = _fit(r, f, len(kept), prior, y[:, k], fold != i, rounds)
+            held_out += np.where(fold == i, _sigmoid(np.bincount(r, w[f], n) + prior @ e + b), 0)
+        w, e, b = _fit(*among(top), len(top), prior, y[:, k], np.ones(n, bool), rounds)
         links.append(Link(name, w, e, b, _best_threshold(held_out, y[:, k]) if y[:, k].any() else 0.5))
         prior = np.column_stack((prior, held_out))
     names = coded.dictionary.take(pa.array(top, pa.int64())).to_pylist()

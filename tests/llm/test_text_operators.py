@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 
 import numpy as np
 import pytest
@@ -303,6 +304,51 @@ def test_constant_parts_of_a_host_are_template(spark):
     assert wrapper.main_text(df.where("false")).count() == 0
 
 
+def test_neutral_boilerplate_goes_by_alignment_only(spark):
+    """Menus, adverts and footers in plain divs, outside and inside the article: tags and classes tell nothing."""
+
+    def plain(i):
+        return (
+            f'<html><body><div class="c{i}"><div class="x1"><a>Home</a><a>Shop</a></div></div><article id="post-{i}"><h1>Title {i}</h1>'
+            f'<div class="x2"><span>Buy two, get one</span></div><p>{prose(i, 30)}</p>{f"<p>more {i}</p>" * (i % 3)}<div class="x3">All rights with us</div></article>'
+            f'<div class="x4"><div>Imprint</div></div></body></html>'
+        )
+
+    rows = [(i, f"http://n.org/{i}", plain(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in wrapper.main_text(df).collect()}
+    for i in range(40):
+        assert got[i] == "\n\n".join([f"Title {i}", prose(i, 30), *[f"more {i}"] * (i % 3)])
+        assert "Buy two" in wrapper.extract(plain(i)) and "All rights" in wrapper.extract(plain(i))  # without a template they stay
+    bare = [(i, f"http://n.org/{i}", plain(i).replace("article", "section")) for i in range(40)]
+    got = {r.page_id: r.text for r in wrapper.main_text(spark.createDataFrame(bare, df.schema)).collect()}
+    assert all(got[i] == "\n\n".join([f"Title {i}", prose(i, 30), *[f"more {i}"] * (i % 3)]) for i in range(40))
+
+
+def test_hostile_pages_take_time_in_proportion(spark):
+    deep = "<div>" * 20000 + "deep text" + "</div>" * 20000
+    odd = [deep, "<p>a" + "<a " * 350_000, '<p title="' * 100_000, "<p>b</p>" + "<title" * 150_000, "<script>x" + "</script" * 100_000, "<p>" + "<b>x<div>" * 20_000, "<i></i><b></b>" * 20_000 + "tail", "<table><tr><td>" * 20_000 + "cell"]
+    rows = [(i, "http://odd.org/", x) for i, x in enumerate(odd)]
+    began = time.time()
+    got = {r.page_id: r.text for r in wrapper.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert time.time() - began < 60
+    assert got[0] == "deep text" and got[1] == "a" and got[3] == "b" and got[6] == "tail" and got[7] == "cell"
+
+
+def test_template_does_not_grow_with_the_pages():
+    def plain(i):
+        return f'<body><div id="d{i}" class="row-{i}">{"".join(f"<{t} class=k{i}{t}>x</{t}>" for t in ("div", "p", "ul"))}</div><{"abcdefghij"[i % 10]}x{i}>y</{"abcdefghij"[i % 10]}x{i}></body>'
+
+    sizes, held = [], None
+    for i in range(400):
+        new = wrapper.Template.of_page(plain(i))
+        if held:
+            held.add(new)
+        held = held or new
+        sizes.append(len(held.packed()))
+    assert max(sizes[50:]) < 6000 and sizes[-1] < 1.5 * sizes[60]
+
+
 def test_tree_matching():
     def tree(x):
         return wrapper.Slot(x[0], 1, None, [tree(k) for k in x[1:]])
