@@ -297,7 +297,8 @@ def _sketches(docs: DataFrame, words: int, segments: int, soft: int) -> DataFram
 
 
 def _soft_indexed(nodes: DataFrame, segments: int) -> DataFrame:
-    """(bucket, ...) of `nodes` (fp, soft, other longs): all changes of a segment's uncertain bits."""
+    """(bucket, free, ...) of `nodes` (fp, soft, other longs): all changes of a segment's uncertain
+    bits, which are `free`."""
     parts = [sum(1 << int(b) for b in bits) for bits in np.array_split(np.arange(64), segments)]
     carried = [c for c in nodes.columns if c != "soft"]
 
@@ -316,9 +317,10 @@ def _soft_indexed(nodes: DataFrame, segments: int) -> DataFrame:
                     n = keys.shape[1]
                     rows = np.repeat(np.arange(len(fp)), n)
                     bucket = keys.reshape(-1) // np.uint64(part & -part) * np.uint64(segments) + np.uint64(i)
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), *(b.column(c).take(pa.array(rows)) for c in carried)], ["bucket", *carried])
+                    free = np.repeat(soft[:, i], n).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(free), *(b.column(c).take(pa.array(rows)) for c in carried)], ["bucket", "free", *carried])
 
-    return _spread(nodes).mapInArrow(run, "bucket bigint, " + ", ".join(f"{c} bigint" for c in carried))
+    return _spread(nodes).mapInArrow(run, "bucket bigint, free bigint, " + ", ".join(f"{c} bigint" for c in carried))
 
 
 def _plain_indexed(nodes: DataFrame, segments: int) -> DataFrame:
@@ -417,12 +419,16 @@ def _first_few(u: np.ndarray, v: np.ndarray, lu: np.ndarray, lv: np.ndarray, d:
     return [x[kept] for x in (u, v, lu, lv, d)] + [cut[group[kept]]]
 
 
-def _crossing(bucket: np.ndarray, t: pa.Table, most: int, similarity: float, few: int) -> list[np.ndarray]:
+def _crossing(bucket: np.ndarray, t: pa.Table, most: int, similarity: float, few: int, segments: int) -> list[np.ndarray]:
     """Of the links between nodes of different labels that may be as similar as asked, the `few`
     nearest of every two labels: u, v, their labels, and whether there are more.
 
-    Sizes and parities leave out only what cannot be as similar.
+    Sizes and parities leave out only what cannot be as similar.  Two nodes that share several
+    buckets of a segment are taken in one of them: where the bits that both may change are as in
+    the lesser node.
     """
+    parts_of = [sum(1 << int(b) for b in bits) for bits in np.array_split(np.arange(64), segments)]
+    named, free = t["bucket"].to_numpy(), t["free"].to_numpy().view(np.uint64)
     fp, node, label, size = t["fp"].to_numpy().view(np.uint64), t["node"].to_numpy(), t["label"].to_numpy(), t["n"].to_numpy()
     parity = [t[f"p{i}"].to_numpy().view(np.uint64) for i in range(4)]  # bits of negative longs are not counted
     parts: list[list[np.ndarray]] = []
@@ -434,8 +440,14 @@ def _crossing(bucket: np.ndarray, t: pa.Table, most: int, similarity: float, few
 
     for start, end in _bounds(bucket):
         own = start + np.argsort(label[start:end], kind="stable")
+        if label[own[0]] == label[own[-1]]:
+            continue
+        part = parts_of[int(named[start]) % segments]
+        key = np.uint64(int(named[start]) // segments * (part & -part))
         for x, y, d in _near_pairs(fp[own], np.searchsorted(label[own], label[own], "right"), most):
             x, y = own[x], own[y]
+            here = (np.where(node[x] < node[y], fp[x], fp[y]) ^ key) & free[x] & free[y] == 0
+            x, y, d = x[here], y[here], d[here]
             differ = sum((np.bitwise_count(p[x] ^ p[y]).astype(np.int64) for p in parity), np.zeros(len(x), np.int64))
             differ = np.maximum(differ, np.abs(size[x] - size[y]))
             may = (1 + similarity) * differ <= (1 - similarity) * (size[x] + size[y]) + 1e-6
@@ -508,11 +520,11 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, max
     near = materialise(_by_bucket(_plain_indexed(distinct, segments), forest, "u bigint, v bigint", ["bucket"]).distinct(), "near")
     done = compared(near)
     labels = materialise(_renamed(distinct.select("node", F.col("node").alias("label")), "label", components(done.where("similar").select("u", "v"))), "labels")
-    done, left, few = done.select("u", "v"), None, 4
+    done, left, few = done.select("u", "v"), None, 16
     while left is None or not left.isEmpty():
         asked = labels if left is None else labels.join(left, "label", "left_semi")
         part = distinct.join(asked, "node").select("node", "fp", "soft", "label", "n", *[F.col("parity")[i].alias(f"p{i}") for i in range(4)])
-        link = lambda bucket, t, few=few: _crossing(bucket, t, max_distance, similarity, few)
+        link = lambda bucket, t, few=few: _crossing(bucket, t, max_distance, similarity, few, segments)
         met = _by_bucket(_soft_indexed(part, segments), link, "u bigint, v bigint, lu bigint, lv bigint, more boolean", ["bucket"])
         met = materialise(met.groupBy("u", "v", "lu", "lv").agg(F.max("more").alias("more")), "met")
         pair = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
@@ -521,7 +533,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, max
         labels = materialise(_renamed(labels, "label", groups), "labels")
         more = _renamed(_renamed(met.where("more").select("lu", "lv").distinct(), "lu", groups), "lv", groups).where("lu <> lv")
         left = materialise(more.select(F.col("lu").alias("label")).union(more.select(F.col("lv").alias("label"))).distinct(), "left")
-        done, few = done.union(fresh.select("u", "v")), 4 * few
+        done, few = done.union(fresh.select("u", "v")), 16 * few
     rooted = distinct.select("node", "least").join(labels, "node")
     first = rooted.join(rooted.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id")
     return marked.select("doc_id", "node").join(first, "node").select("doc_id", "component_id")
