@@ -141,6 +141,7 @@ def _packed_counts(v: np.ndarray, w: np.ndarray, c: np.ndarray, before: np.ndarr
     first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
     runs = np.diff(np.append(first, len(v)))
     words, place = np.unique(w, return_inverse=True)
+    _small(c)  # packed in four bytes below
     steps_of = [(np.diff(x, prepend=np.uint64(0)), 5) for x in (v[first], words)]
     return len(v), len(first), len(words), _pack(steps_of[0], (runs, 4), steps_of[1], (place, 4), (c, 4), (before, 2))
 
@@ -151,6 +152,13 @@ def _unpacked_counts(n: int, m: int, u: int, data: bytes) -> tuple[np.ndarray, .
     return np.repeat(np.cumsum(v, dtype=np.uint64), runs.astype(np.int64)), w, c.astype(np.int64), before
 
 
+def _small(x: np.ndarray) -> np.ndarray:
+    """`x` in four bytes; an error if a count does not fit, as it would come back as a lesser one."""
+    if len(x) and int(x.max()) >> 32:
+        raise OverflowError(f"a count of {int(x.max())} does not fit in 32 bits")
+    return x.astype(np.uint32)
+
+
 def _write_array(folder: str, kind: str, shard: int, key: np.ndarray, **values: np.ndarray) -> str:
     system, path = filesystem(folder)
     system.create_dir(path, recursive=True)
@@ -190,9 +198,9 @@ def _merge_bigrams(folder: str, shards: int):
                 pick = u % np.uint64(shards) == s
                 out.append(("word", int(s), None, lang, 0, 0, 0, 0, 0, 0, int(pick.sum()), _pack((np.diff(u[pick], prepend=np.uint64(0)), 5), (n[pick], 4))))
         key, c = (np.concatenate(x) for x in zip(*bigrams))
-        out.append(("bigrams", shard, _write_array(folder, "bigrams", shard, key, c=c.astype(np.uint32)), None, 0, 0, 0, 0, 0, 0, 0, None))
+        out.append(("bigrams", shard, _write_array(folder, "bigrams", shard, key, c=_small(c)), None, 0, 0, 0, 0, 0, 0, 0, None))
         key, total, n1, n2, n3 = (np.concatenate(x) for x in zip(*histories))
-        uri = _write_array(folder, "histories", shard, key, total=total.astype(np.uint32), n1=n1.astype(np.uint32), n2=n2.astype(np.uint32), n3=n3.astype(np.uint32))
+        uri = _write_array(folder, "histories", shard, key, total=total.astype(np.uint64), n1=_small(n1), n2=_small(n2), n3=_small(n3))
         out.append(("histories", shard, uri, None, 0, 0, 0, 0, 0, 0, 0, None))
         return pd.DataFrame(out, columns=[f.split()[0] for f in _FILES.split(", ")])
 
@@ -213,7 +221,7 @@ def _merge_words(folder: str):
             out.append(("unigram", shard, None, lang, *_counts_of_counts(c), int(c.sum()), len(c), 0, None))
             words.append((w[c >= 2], c[c >= 2]))
         key, c = (np.concatenate(x) for x in zip(*words))
-        out.append(("words", shard, _write_array(folder, "words", shard, key, c=c.astype(np.uint32)), None, 0, 0, 0, 0, 0, 0, 0, None))
+        out.append(("words", shard, _write_array(folder, "words", shard, key, c=_small(c)), None, 0, 0, 0, 0, 0, 0, 0, None))
         return pd.DataFrame(out, columns=[f.split()[0] for f in _FILES.split(", ")])
 
     return run
@@ -287,10 +295,14 @@ class Model:
         return np.log(p)[back]
 
 
-def train(docs: DataFrame) -> Model:
-    """Count the bigrams of `docs` (lang, text) and write the model's arrays to the shared folder."""
+def train(docs: DataFrame, shard_bytes: int = 64 << 20) -> Model:
+    """Count the bigrams of `docs` (lang, text) and write the model's arrays to the shared folder.
+
+    A shard has the bigrams of about `shard_bytes` of text or less, so that it fits in a task.
+    """
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
     folder = scratch(spark, "language-model")
     merged = materialise(_count(docs, shards).groupBy("shard").applyInPandas(_merge_bigrams(folder, shards), _FILES), "bigrams")
     words = merged.where("kind = 'word'").groupBy("shard").applyInPandas(_merge_words(folder), _FILES)

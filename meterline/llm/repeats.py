@@ -4,8 +4,12 @@ A window is `window` consecutive words.  Its anchor is the least hash of its `gr
 equal windows have equal anchors (winnowing), and neighbouring windows mostly share one.
 
 1. Seed: documents are joined on their anchors; anchors of one document only drop out.
-2. Extend: around each seed the match is grown to both sides, word by word, to every window that
-   has the anchor; windows are compared by a 64-bit hash of all their words.
+2. Extend: around each seed, a document's match is grown to both sides as far as windows have the
+   seed's anchor.  The matches are not grown pair by pair: which earlier document a window matches
+   differs from window to window, and the least document with an anchor need not hold the whole
+   window, so an exact answer from pairs would take all pairs of the documents with an anchor.
+   Instead each of the at most nine windows around a seed is compared, by a 64-bit hash of all its
+   words, with those of all documents at once.
 3. A window that starts in a document of a smaller id is removed; runs of removed windows form the
    maximal repeats.
 
