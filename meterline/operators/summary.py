@@ -117,9 +117,10 @@ def earliest(ledger: DataFrame) -> DataFrame:
 
 
 def full(ledger: DataFrame, card: DataFrame, tz: str = "UTC") -> dict[str, DataFrame]:
-    """All breakdowns of one input from one pass: the finest priced groups, grouped again."""
+    """All breakdowns of one input, grouped again from the same finest priced groups, whose exchange
+    Spark shares within a query."""
     keyed = ledger.withColumn("day", local_day(F.col("ts"), tz))
-    base = fine(keyed, card, [*ACCOUNT_KEYS, "day", "session_id", "parent_session_id", "is_subagent"]).persist()
+    base = fine(keyed, card, [*ACCOUNT_KEYS, "day", "session_id", "parent_session_id", "is_subagent"])
     return {
         "totals": regroup(base, []),
         "models": regroup(base, ["provider", "model"]),

@@ -79,10 +79,10 @@ def dedup_then_window(spark, sf):
     return deduped(spark, sf).where(held).select("id", "session_id", "input")
 
 
-@query(f"{L} SELECT message_id, count(DISTINCT source_id) AS sources, count(*) AS copies FROM (SELECT * REPLACE (CASE WHEN byte_offset % 200 = 0 THEN 'source-x' ELSE source_id END AS source_id) FROM ledger WHERE provider = 'message') GROUP BY message_id")
+@query(f"{L} SELECT message_id, count(DISTINCT source_id) AS sources, count(*) AS copies FROM (SELECT DISTINCT message_id, is_subagent, CASE WHEN byte_offset % 200 = 0 THEN 'source-x' ELSE source_id END AS source_id FROM ledger WHERE provider = 'message') GROUP BY message_id")
 def dedup_source_isolation(spark, sf):
     rows = W.ledger(spark, sf).where("provider = 'message'").withColumn("source_id", F.when(F.col("byte_offset") % 200 == 0, "source-x").otherwise(F.col("source_id")))
-    return rows.groupBy("message_id").agg(F.count_distinct("source_id").alias("sources"), F.count(F.lit(1)).alias("copies"))
+    return D.dedup_messages(rows).groupBy("message_id").agg(F.count_distinct("source_id").alias("sources"), F.count(F.lit(1)).alias("copies"))
 
 
 @query(f"{L} SELECT source_path, session_id, is_subagent, message_id, max(byte_offset) AS byte_offset FROM ledger GROUP BY ALL")
@@ -527,3 +527,100 @@ def source_filter(spark, sf):
     from ..sources.store import filtered
 
     return filtered(deduped(spark, sf), source_ids=["source-2", "source-4"]).select("id", "source_id")
+
+
+# the whole summary, names and paths, retention and appends
+
+
+_PARTS = {"totals": [], "models": ["provider", "model"], "accounts": S.ACCOUNT_KEYS, "days": ["day"], "subagents": ["provider", "source_id", "session_id", "parent_session_id"]}
+_FULL = ["events", "tokens", "usd", "credits", "unpriced"]
+
+
+def _part_sql(part: str, keys: list[str]) -> str:
+    key = " || '|' || ".join(f"coalesce(CAST({'CAST(ts AS DATE)' if k == 'day' else k} AS VARCHAR), '-')" for k in keys) or "''"
+    sums = f"{_sum('event_count', 'events')}, {_sum('total', 'tokens')}, round(coalesce(sum(usd), 0), 10) AS usd, round(coalesce(sum(credits), 0), 10) AS credits, {_sum('CASE WHEN priced THEN 0 ELSE event_count END', 'unpriced')}"
+    return f"SELECT '{part}' AS part, {key} AS key, {sums} FROM priced {'WHERE is_subagent' if part == 'subagents' else ''} GROUP BY ALL"
+
+
+_ONLY = "NULL::BIGINT AS tokens, NULL::DOUBLE AS usd, NULL::DOUBLE AS credits, NULL::BIGINT AS unpriced"
+
+
+@query(
+    f"{LP} {' UNION ALL '.join(_part_sql(p, k) for p, k in _PARTS.items())}"
+    f" UNION ALL SELECT 'attribution', attribution_confidence, CAST(sum(event_count) AS BIGINT), {_ONLY} FROM priced GROUP BY attribution_confidence"
+    f" UNION ALL SELECT 'sessions', '', count(DISTINCT provider || '|' || source_id || '|' || session_id), {_ONLY} FROM priced"
+)
+def full_summary(spark, sf):
+    """All breakdowns of the whole ledger in one result."""
+    full = S.full(deduped(spark, sf), W.rate_card(spark))
+    key = lambda keys: F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("-")) for k in keys])
+    rounded = lambda c: F.round(c, 10).alias(c) if c in ("usd", "credits") else F.col(c)
+    none = [F.lit(None).cast(t).alias(c) for c, t in zip(_FULL[1:], ("long", "double", "double", "long"))]
+    out = full["attribution"].select(F.lit("attribution").alias("part"), F.col("attribution_confidence").alias("key"), "events", *none)
+    out = out.unionByName(full["sessions"].select(F.lit("sessions").alias("part"), F.lit("").alias("key"), F.col("sessions").alias("events"), *none))
+    for part, keys in _PARTS.items():
+        out = out.unionByName(full[part].select(F.lit(part).alias("part"), key(keys).alias("key"), *map(rounded, _FULL)))
+    return out
+
+
+_SCOPES = ["/log/", "/log/1", "/log/12.jsonl"]
+
+
+@query(f"{L} SELECT source_path, {', '.join(f"source_path = '{s}' OR starts_with(source_path, '{s.rstrip('/')}/') AS in_{i}" for i, s in enumerate(_SCOPES))} FROM (SELECT DISTINCT source_path FROM ledger)")
+def paths_within(spark, sf):
+    paths = W.ledger(spark, sf).select("source_path").distinct()
+    return paths.select("source_path", *[U.path_within(F.col("source_path"), F.lit(s)).alias(f"in_{i}") for i, s in enumerate(_SCOPES)])
+
+
+@query("SELECT c_custkey, lower(c_mktsegment) || ':/root/' || c_nationkey AS source_id FROM customer")
+def source_keys(spark, sf):
+    root = F.concat(F.lit("/root/"), F.col("c_nationkey").cast("string"))
+    return W.table(spark, sf, "customer").select("c_custkey", U.source_key(F.col("c_mktsegment"), root).alias("source_id"))
+
+
+@query(f"{L} SELECT id, concat_ws(':', provider, source_id, source_path, CAST(byte_offset AS VARCHAR)) AS event_id FROM ledger")
+def event_ids(spark, sf):
+    return W.ledger(spark, sf).select("id", U.event_id(F.col("provider"), F.col("source_id"), F.col("source_path"), F.col("byte_offset").cast("string")).alias("event_id"))
+
+
+@query(f"{L} SELECT id, CASE WHEN is_subagent THEN 'a-' || byte_offset END AS agent, CASE WHEN is_subagent THEN 'agent:a-' || byte_offset ELSE session_id END AS session_id FROM ledger")
+def subagent_sessions(spark, sf):
+    rows = W.ledger(spark, sf)
+    folder = F.when(F.col("is_subagent"), "/log/subagents/a-").otherwise("/log/")
+    agent = U.subagent_of_path(F.concat(folder, F.col("byte_offset").cast("string"), F.lit(".jsonl")))
+    return rows.withColumn("agent", agent).select("id", "agent", U.effective_session(F.col("agent"), F.col("session_id")).alias("session_id"))
+
+
+@query(f"{L} SELECT '/log/' || c_custkey || '.jsonl' AS path FROM customer UNION SELECT source_path FROM ledger")
+def known_paths(spark, sf):
+    manifest = W.table(spark, sf, "customer").select(F.concat(F.lit("/log/"), F.col("c_custkey").cast("string"), F.lit(".jsonl")).alias("path"))
+    return K.known_paths(manifest, W.ledger(spark, sf))
+
+
+@query(f"{L} SELECT DISTINCT source_path FROM ledger WHERE source_path NOT IN (SELECT source_path FROM ledger WHERE model = 'error' AND byte_offset % 700 = 0)")
+def retained_files(spark, sf):
+    rows = W.ledger(spark, sf)
+    failed = rows.where("model = 'error' and byte_offset % 700 = 0")
+    return K.retained(rows, failed, rows)
+
+
+@query("SELECT '/f/' || o_orderkey AS path FROM orders WHERE o_orderkey % 10 NOT IN (3, 7) AND o_orderkey % 4 = 0")
+def appended_files(spark, sf):
+    new, old = _listings(spark, sf)
+    return K.appended(new.join(old.select("path", F.col("size").alias("was")), "path").withColumn("appended", F.col("size") > F.col("was")))
+
+
+@query(
+    f"{CT}, cursors AS (SELECT path, (min(seq) + max(seq)) // 2 AS c FROM raw GROUP BY path) SELECT path, seq, {', '.join(f'CAST(use_{c} AS BIGINT) AS use_{c}' for c in COUNTERS)}"
+    f" FROM classified JOIN cursors USING (path) WHERE seq > c AND accepted AND ({' OR '.join(f'use_{c} > 0' for c in COUNTERS)})"
+)
+def append_after_cursor(spark, sf):
+    """Only the rows past each file's cursor, seeded with what is saved of those before: the same
+    requests as a replay of the whole file."""
+    rows = W.counters(spark, sf)
+    cursors = rows.groupBy("path").agg(F.floor((F.min("seq") + F.max("seq")) / 2).alias("c"))
+    placed = rows.join(cursors, "path")
+    totals, lasts = [f"tot_{c}" for c in COUNTERS], [F.lit(None).cast("long").alias(f"last_{c}") for c in COUNTERS]
+    before = placed.where("seq <= c").groupBy("path").agg(F.max("seq").alias("seq"), F.max("ts").alias("ts"), F.max_by("model", F.when(F.col("model").isNotNull(), F.col("seq"))).alias("model"), *[F.max(t).alias(t) for t in totals])
+    grown = K.append_seed(placed.where("seq > c").select(*rows.columns), before.select("*", *lasts))
+    return C.requests(C.classify(grown, ["seq"])).join(cursors, "path").where("seq > c").select("path", "seq", *[f"use_{c}" for c in COUNTERS])

@@ -191,13 +191,15 @@ bounds AS (SELECT path, CASE WHEN odd IS NOT NULL OR coalesce(copied > own, fals
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Account candidates of sessions: orders' priorities by customer (telemetry for odd orders)."""
-    rows = table(spark, sf_dir, "orders").select(F.concat(F.col("o_custkey").cast("string"), F.lit(":2024-01-01")).alias("session_id"), F.col("o_orderpriority").alias("account_id"), "o_orderkey", "o_custkey").where("o_orderkey % 3 = 0")
+    """Account candidates of sessions, one an order (telemetry for odd ones): the customer's own
+    account, or for every third customer the order's priority, so that these conflict."""
+    account = F.when(F.pmod("o_custkey", F.lit(3)) == 0, F.col("o_orderpriority")).otherwise(F.concat(F.lit("acct-"), F.pmod("o_custkey", F.lit(11)).cast("string")))
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.col("o_custkey").cast("string"), F.lit(":2024-01-01")).alias("session_id"), account.alias("account_id"), "o_orderkey", "o_custkey")
     return rows.where("o_orderkey % 2 = 1"), rows.where("o_orderkey % 2 = 0")
 
 
 ACCOUNTS_SQL = """
-cand AS (SELECT o_custkey || ':2024-01-01' AS session_id, o_orderpriority AS account_id, o_orderkey % 2 = 1 AS t FROM orders WHERE o_orderkey % 3 = 0),
+cand AS (SELECT o_custkey || ':2024-01-01' AS session_id, CASE WHEN o_custkey % 3 = 0 THEN o_orderpriority ELSE 'acct-' || (o_custkey % 11) END AS account_id, o_orderkey % 2 = 1 AS t FROM orders),
 accounts AS (SELECT session_id, CASE WHEN min(account_id) = max(account_id) THEN min(account_id) ELSE 'ambiguous' END AS account_id,
   CASE WHEN min(account_id) = max(account_id) THEN 'session-verified' ELSE 'ambiguous-account' END AS confidence,
   CASE WHEN min(account_id) <> max(account_id) THEN 'account-conflict' WHEN bool_or(t) THEN 'telemetry' ELSE 'support-session' END AS basis FROM cand GROUP BY session_id)"""
