@@ -139,28 +139,34 @@ def stream_ingest(spark, sf):
     return lines.groupBy(_file_of("path").alias("file")).agg(F.count(F.lit(1)).alias("lines"))
 
 
-@query(f"WITH {_TURNS} SELECT file, CAST(sum(input) AS BIGINT) AS input, CAST(sum(cached) AS BIGINT) AS cached, CAST(sum(output) AS BIGINT) AS output FROM deltas GROUP BY file")
-def stream_counter_deltas(spark, sf):
-    """The rows of one transcript, in segments, with state from batch to batch."""
-    rows = _turns(spark, sf).select(F.col("file").cast("string").alias("path"), (F.col("conv_id") * 10000 + F.col("turn")).alias("byte_offset"), F.lit(None).cast("string").alias("model"), *[(F.col("total") if c == "input" else F.floor(F.col("total") / 2) if c == "cached" else F.col("total") * 3 if c == "output" else F.lit(0)).cast("long").alias(f"tot_{c}") for c in COUNTERS])
-    folder = working_folder(spark, "segments")
-    rows.repartition(1 + _FILES // 10, "path").write.parquet(folder)
-    out = _drained(streams.counter_deltas(spark.readStream.schema(rows.schema).parquet(folder)), "deltas")
-    return out.groupBy(F.col("path").cast("long").alias("file")).agg(*[F.sum(c).cast("long").alias(c) for c in ("input", "cached", "output")])
+_USED = ", ".join(f"CAST(use_{c} AS BIGINT) AS use_{c}" for c in COUNTERS)
 
 
-@query("WITH e AS (SELECT event_id % 1000 AS k, max_by(event_id, ts) AS event_id FROM events GROUP BY 1) SELECT 'k-' || k AS id, event_id AS byte_offset FROM e")
+@query(f"WITH {W.COUNTERS_SQL} SELECT path, seq AS byte_offset, coalesce(last_value(model IGNORE NULLS) OVER (PARTITION BY path ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'unknown') AS active_model, status, decreased, explicit, {_USED} FROM classified")
+def stream_counter_deltas(spark, sf):
+    """Every snapshot's class and usage, where all transcripts grow by a third at a time and the
+    stream goes on from its state."""
+    rows = W.counters(spark, sf).withColumnRenamed("seq", "byte_offset").drop("ts")
+    bounds = rows.agg(F.min("byte_offset").alias("low"), F.max("byte_offset").alias("high")).first()
+    low, third = bounds.low or 0, ((bounds.high or 0) - (bounds.low or 0)) // 3 + 1
+    folder, out, state = (working_folder(spark, f"counter-{x}") for x in ("segments", "classes", "state"))
+    for k in range(3):
+        rows.where(F.floor((F.col("byte_offset") - low) / third) == k).repartition("path").write.mode("append").parquet(folder)
+        stream = streams.classified(spark.readStream.schema(rows.schema).parquet(folder))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(streams.CLASSIFIED).parquet(out).select("path", "byte_offset", "active_model", "status", "decreased", "explicit", *[f"use_{c}" for c in COUNTERS])
+
+
+@query(f"WITH {W.LEDGER_SQL} SELECT message_id AS id, max_by(byte_offset, ts) AS byte_offset FROM ledger GROUP BY ALL")
 def stream_upsert(spark, sf):
-    """Two segments of the ledger with repeated ids: the latest row of each stays."""
-    rows = W.ledger(spark, sf)
-    n = F.floor(F.col("byte_offset") / 100)
-    rows = rows.withColumns({"id": F.concat(F.lit("k-"), F.pmod(n, F.lit(1000)).cast("string")), "byte_offset": n})
-    rows = rows.groupBy("id", F.pmod(n, F.lit(2)).alias("half")).agg(F.max_by(F.struct(*[c for c in rows.columns if c != "id"]), "ts").alias("r")).select("id", "r.*")
-    folder = working_folder(spark, "upserts")
-    rows.repartition(2).write.parquet(folder)
+    """The whole ledger by message, in two runs of the stream with ids repeated in and across them:
+    the latest row of each stays."""
+    rows = W.ledger(spark, sf).withColumn("id", F.col("message_id"))
+    folder, state = working_folder(spark, "upserts"), working_folder(spark, "upsert-state")
     ledger = VersionedLedger(spark, working_folder(spark, "ledger"))
-    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    streams.upsert(source, ledger, working_folder(spark, "upsert-state")).awaitTermination()
+    for half in range(2):
+        rows.where(F.pmod(F.xxhash64("source_path", "byte_offset"), F.lit(2)) == half).write.mode("append").parquet(folder)
+        streams.upsert(spark.readStream.schema(rows.schema).parquet(folder), ledger, state).awaitTermination()
     return ledger.read().select("id", "byte_offset")
 
 
@@ -169,7 +175,7 @@ def stream_daily(spark, sf):
     """Days that the watermark has closed; the last day stays open."""
     rows = W.ledger(spark, sf).select("ts", "provider", "model", "event_count", *COUNTERS)
     folder = working_folder(spark, "days")
-    rows.repartition(4).write.parquet(folder)
+    rows.write.parquet(folder)
     stream = streams.daily(spark.readStream.schema(rows.schema).parquet(folder), late="0 seconds")
     return _drained(stream, "daily").withColumn("day", F.col("day").cast("string"))
 

@@ -9,17 +9,26 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.usage import total_tokens
+from ..operators import counter
 from ..schema import COUNTERS
 from ..sources.store import VersionedLedger, filtered
 
-_TOTALS = [f"tot_{c}" for c in COUNTERS]
-DELTAS = "path string, byte_offset bigint, model string, " + ", ".join(f"{c} bigint" for c in COUNTERS)
+_TOTALS = list(counter.TOTALS)
+_KEY = [*counter.TOTALS, *counter.LASTS]
+_WATER = [f"hw_{c}" for c in COUNTERS]
+CLASSIFIED = (
+    "path string, byte_offset bigint, active_model string, is_snapshot boolean, "
+    + ", ".join(f"{c} bigint" for c in _TOTALS)
+    + ", accepted boolean, decreased boolean, explicit boolean, status string, "
+    + ", ".join(f"use_{c} bigint" for c in COUNTERS)
+)
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -29,40 +38,95 @@ def stream_lines(spark: SparkSession, folder: str, max_files: int = 1000) -> Dat
     return text.select(F.col("_metadata.file_path").alias("path"), "value")
 
 
-class HighWater(StatefulProcessor):
-    """Per transcript the component-wise high water and the current model, from batch to batch."""
+class CounterState(StatefulProcessor):
+    """Per transcript the component-wise high water, the last accepted snapshot and the model, from
+    batch to batch.  A batch's rows of one transcript are handled at once, as arrays."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.water = handle.getValueState("water", ", ".join(f"{t} bigint" for t in _TOTALS) + ", model string")
+        self.seen = handle.getValueState("seen", ", ".join(f"{c} bigint" for c in (*_WATER, *_KEY)) + ", model string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("byte_offset", kind="stable")
-        state = self.water.get() if self.water.exists() else None
-        water, model = ([int(x) for x in state[: len(_TOTALS)]], state[len(_TOTALS)]) if state else (None, "unknown")
-        out = []
-        for r in batch.itertuples(index=False):
-            if isinstance(r.model, str) and r.model:
-                model = r.model
-            if pd.isna(r.tot_input):
-                continue
-            now = [int(getattr(r, t)) for t in _TOTALS]
-            delta = now if water is None else [max(0, a - b) for a, b in zip(now, water)]
-            water = now if water is None else [max(a, b) for a, b in zip(now, water)]
-            if any(delta):
-                out.append((key[0], int(r.byte_offset), model, max(0, delta[0] - delta[1]), *delta[1:]))
-        if water is not None:
-            self.water.update((*water, model))
-        yield pd.DataFrame(out, columns=["path", "byte_offset", "model", *COUNTERS])
+        *held, model = self.seen.get() if self.seen.exists() else (*[None] * len((*_WATER, *_KEY)), "unknown")
+        held = np.array(held, float)
+        water, known = held[: len(_WATER)], held[len(_WATER) :]
+        named = batch["model"].astype("string")
+        batch["active_model"] = named.mask(named == "").ffill().fillna(model)
+        model = batch["active_model"].iloc[-1]
+        snapshots = batch[batch["tot_input"].notna()]
+        if len(snapshots):
+            keys = np.vstack([known, snapshots.reindex(columns=_KEY).astype(float)])
+            yield _classified(key[0], snapshots, keys, water)
+            known = keys[_last_accepted(keys, water)[-1]]
+            now, before = _before(keys, water)
+            water = np.maximum(now[-1], before[-1])
+        self.seen.update((*[None if np.isnan(x) else int(x) for x in (*water, *known)], model))
 
     def close(self) -> None:
         pass
 
 
-def counter_deltas(rows: DataFrame) -> DataFrame:
-    """Streaming requests of snapshots (path, byte_offset, model, tot_*): progress over the high
-    water.  Only new rows are handled, in offset order inside a batch."""
+def _before(keys: np.ndarray, water: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each snapshot's totals and the high water before it; the first one's are its own totals."""
+    now = np.nan_to_num(keys[1:, : len(_WATER)]).astype(np.int64)
+    start = now[:1] if np.isnan(water).all() else water.astype(np.int64)
+    return now, np.maximum.accumulate(np.vstack([start, now]))[:-1]
+
+
+def _progress(keys: np.ndarray, water: np.ndarray) -> np.ndarray:
+    now, before = _before(keys, water)
+    progress = (now > before).any(axis=1)
+    progress[0] |= np.isnan(water).all()
+    return progress
+
+
+def _last_accepted(keys: np.ndarray, water: np.ndarray) -> np.ndarray:
+    """Up to each row of `keys`, of which the first is the state's, the last accepted one's place."""
+    progress = _progress(keys, water)
+    return np.maximum.accumulate(np.concatenate(([0], np.where(progress, np.arange(1, len(keys)), 0))))
+
+
+def _classified(path, snapshots: pd.DataFrame, keys: np.ndarray, water: np.ndarray) -> pd.DataFrame:
+    """The rules of `operators.counter.classify`, from the state on."""
+    now, before = _before(keys, water)
+    accepted = _progress(keys, water)
+    first = np.zeros(len(now), bool)
+    first[0] = np.isnan(water).all()
+    forked = snapshots["forked"].eq(True).to_numpy(bool) if "forked" in snapshots else np.zeros(len(now), bool)
+    limit = np.where(first[:, None], now, np.maximum(0, now - before))
+    last = np.nan_to_num(keys[1:, len(_WATER) :]).astype(np.int64)
+    fenced = np.minimum(np.maximum(0, last), limit)
+    stated = (last > 0).any(axis=1)
+    explicit = stated & ((fenced > 0).any(axis=1) | (first & forked))
+    use = np.where((first & forked & ~stated)[:, None], 0, np.where(explicit[:, None], fenced, limit))
+    known, own = keys[_last_accepted(keys, water)[:-1]], keys[1:]
+    same = ((known == own) | (np.isnan(known) & np.isnan(own))).all(axis=1)
+    out = pd.DataFrame({"path": path, "byte_offset": snapshots["byte_offset"].to_numpy(), "active_model": snapshots["active_model"].to_numpy(), "is_snapshot": True}, index=range(len(now)))
+    out[_TOTALS] = now
+    out["accepted"], out["decreased"] = accepted, (now < before).any(axis=1)
+    out["explicit"], out["status"] = explicit, np.select([accepted, same], ["accepted", "duplicate"], "stale")
+    out[[f"use_{c}" for c in COUNTERS]] = use
+    return out
+
+
+def classified(rows: DataFrame) -> DataFrame:
+    """Streaming rows (path, byte_offset, model, tot_*, and where there are any last_* and forked)
+    as classified snapshots: the columns that `counter.requests`, `counter.long_context` and
+    `counter.diagnostics` read.
+
+    Only new rows are handled, in offset order inside a batch; a batch must not hold rows before
+    those of an earlier one.  A total that is null beside tot_input counts as zero; totals are below
+    2^53.  Memory: one
+    batch's rows of one transcript, which the source's maxFilesPerTrigger bounds.
+    """
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
-    return rows.groupBy("path").transformWithStateInPandas(HighWater(), DELTAS, "append", "none")
+    return rows.groupBy("path").transformWithStateInPandas(CounterState(), CLASSIFIED, "append", "none")
+
+
+def counter_deltas(rows: DataFrame) -> DataFrame:
+    """Streaming requests of snapshots: the accepted ones' stated usage within the progress over
+    the high water, else the progress."""
+    return counter.requests(classified(rows)).select("path", "byte_offset", F.col("active_model").alias("model"), *COUNTERS)
 
 
 def upsert(rows: DataFrame, ledger: VersionedLedger, checkpoint: str) -> StreamingQuery:

@@ -2,11 +2,13 @@
 
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from meterline.operators import attribution as A
 from meterline.operators import changes as K
+from meterline.operators import counter
 from meterline.operators import summary as S
 from meterline.schema import COUNTERS, LEDGER
 from meterline.sources import lines as N
@@ -145,6 +147,39 @@ def test_stream_state_lives_between_runs(spark, tmp_path):
     assert run()[2:] == [(4, "m", 30, 0)]
 
 
+def test_stream_classes_equal_the_batch_operator(spark, tmp_path):
+    """Stated usage, duplicates, stale and falling snapshots, nulls, forks and lines that only name
+    a model, in three runs of the stream against all rows at once."""
+    rng = np.random.default_rng(5)
+    schema = "path string, byte_offset bigint, model string, forked boolean, " + ", ".join(f"{c} bigint" for c in (*counter.TOTALS, *counter.LASTS))
+    parts = ([], [], [])
+    for path in ("a", "b", "fork"):
+        total, offset = np.zeros(6, int), 0
+        for at in range(60):
+            part = parts[0 if at < 2 else 1 if at < 30 else 2]
+            line = (path, [None, "", "m1", "m2"][rng.integers(4)], path == "fork", *[None] * 12)
+            if at > 1 and rng.random() < 0.9:
+                total = np.maximum(0, total + rng.integers(-3, 9, 6)) if rng.random() < 0.5 else total
+                last = [None if rng.random() < 0.3 else int(x) for x in rng.integers(-1, 4, 6)] if rng.random() < 0.5 else [None] * 6
+                line = (*line[:3], *total.tolist(), *last)
+            for _ in range(2 if rng.random() < 0.3 else 1):
+                part.append((path, offset, *line[1:]))
+                offset += 7
+    rows = [r for part in parts for r in part]
+    whole = counter.active_model(counter.classify(spark.createDataFrame(rows, schema), ["byte_offset"], F.col("forked")), ["byte_offset"])
+    shown = ["path", "byte_offset", "active_model", "status", "accepted", "decreased", "explicit", *[f"use_{c}" for c in COUNTERS]]
+    want = sorted(map(tuple, whole.where("is_snapshot").select(shown).collect()))
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, schema).repartition(2, "path").write.parquet(f"{tmp_path}/in/{k}")
+        stream = streams.classified(spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in"))
+        stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(map(tuple, got.select(shown).collect())) == want
+    assert {r[3] for r in want} == {"accepted", "duplicate", "stale"} and any(r[5] for r in want) and any(r[6] for r in want)
+    wanted, found = (sorted(map(tuple, counter.diagnostics(d, ["byte_offset"]).collect())) for d in (whole, got))
+    assert found == wanted
+
+
 def test_ledger_schema_round_trip(spark, tmp_path):
     rows = ledger(spark, [("a", T0, 1, "f", "s")])
     store.write_ledger(rows, str(tmp_path / "l"))
