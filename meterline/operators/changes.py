@@ -89,14 +89,15 @@ def appended(manifest: DataFrame) -> DataFrame:
 
 
 def content_guard(lines: DataFrame, upto: Column, width: int = 65536) -> DataFrame:
-    """Per path a hash of the lines in the first `width` bytes and in those before `upto`: equal
-    guards tell an append from a rewrite."""
+    """Per path a hash of the lines in the first `width` bytes and in the last `width`, both of those
+    before the cursor `upto`: equal guards tell an append from a rewrite, in short files too."""
 
     def digest(inside: Column) -> Column:
         rows = F.sort_array(F.collect_list(F.when(inside, F.struct("byte_offset", F.xxhash64("value").alias("h")))))
         return F.xxhash64(F.to_json(rows))
 
-    return lines.groupBy("path").agg(digest(F.col("byte_offset") < width).alias("head"), digest((F.col("byte_offset") < upto) & (F.col("byte_offset") >= upto - width)).alias("tail"))
+    seen = F.col("byte_offset") < upto
+    return lines.groupBy("path").agg(digest(seen & (F.col("byte_offset") < width)).alias("head"), digest(seen & (F.col("byte_offset") >= upto - width)).alias("tail"))
 
 
 def metadata_fingerprint(listing: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Queries over transcripts that Spark writes from `conversations`: readers, manifests and streams.
 
 A conversation is a session; its turns are messages of the message provider and cumulative
-snapshots of the counter provider, in twenty files each.
+snapshots of the counter provider, in files of 25 sessions.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from ..streaming import streams
 from . import views as W
 from .queries import query
 
-_FILES = 20
+_SESSIONS = 25
 _PATTERN = "part-*"
 
 
@@ -29,11 +29,11 @@ def _turns(spark: SparkSession, sf: str) -> DataFrame:
     turns = W.table(spark, sf, "conversations").withColumn("n", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
     so_far = Window.partitionBy("conv_id").orderBy("turn")
     time = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return turns.withColumns({"total": F.sum("n").over(so_far), "time": time, "file": F.pmod("conv_id", F.lit(_FILES))})
+    return turns.withColumns({"total": F.sum("n").over(so_far), "time": time, "file": F.floor(F.col("conv_id") / F.lit(_SESSIONS))})
 
 
 def _write(rows: DataFrame, value: Column, order: list[str], folder: str) -> str:
-    text = rows.select("file", *order, value.alias("value")).repartition(_FILES, "file").sortWithinPartitions("file", *order)
+    text = rows.select("file", *order, value.alias("value")).repartition("file").sortWithinPartitions("file", *order)
     text.select("file", "value").write.partitionBy("file").text(folder)
     return folder
 
@@ -56,7 +56,7 @@ def counter_files(spark: SparkSession, sf: str) -> str:
 
 _TURNS = """
 turns AS (SELECT conv_id, turn, role, coalesce(length(text), 0) AS n FROM conversations),
-cum AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn) AS total, conv_id % 20 AS file FROM turns),
+cum AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn) AS total, conv_id // 25 AS file FROM turns),
 water AS (SELECT *, coalesce(max(total) OVER (PARTITION BY file ORDER BY conv_id, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS hw FROM cum),
 deltas AS (SELECT file, CAST(greatest(0, (total - hw) - (total // 2 - hw // 2)) AS BIGINT) AS input, CAST(total // 2 - hw // 2 AS BIGINT) AS cached, CAST((total - hw) * 3 AS BIGINT) AS output FROM water WHERE total > hw)"""
 
@@ -87,22 +87,43 @@ def final_snapshot(spark, sf):
     return last.select(_file_of("path").alias("file"), "input", "output")
 
 
-@query("SELECT DISTINCT conv_id % 20 AS file, true AS full FROM conversations")
+def plain_files(spark: SparkSession, sf: str, change: bool = False) -> str:
+    """Lines `conversation:turn:role:length`, whose bytes SQL can count.  `change` gives a later
+    state: of every three files one has its first conversation's lines rewritten, one has grown."""
+    turns = _turns(spark, sf)
+    kind = F.pmod("file", F.lit(3))
+    mark = F.when(F.lit(change) & (kind == 0) & (F.pmod("conv_id", F.lit(_SESSIONS)) == 0), "x").otherwise("a")
+    line = F.concat_ws(":", mark, "conv_id", "turn", "role", "n")
+    if change:
+        more = turns.where(kind == 1).withColumn("conv_id", F.col("conv_id") + 10**9)
+        turns = turns.unionByName(more)
+    return _write(turns, line, ["conv_id", "turn"], working_folder(spark, "plain"))
+
+
+_PLAIN = """
+plain AS (SELECT conv_id // 25 AS file, conv_id, turn, CAST(strlen(concat_ws(':', 'a', conv_id, turn, role, coalesce(length(text), 0))) + 1 AS BIGINT) AS bytes FROM conversations)"""
+
+
+@query(f"WITH {_PLAIN} SELECT file, CAST(sum(bytes) AS BIGINT) AS size FROM plain GROUP BY file")
 def file_listing(spark, sf):
-    listing = N.file_listing(spark, [message_files(spark, sf)], _PATTERN)
-    return listing.select(_file_of("path").alias("file"), (F.col("size") > 0).alias("full"))
+    listing = N.file_listing(spark, [plain_files(spark, sf)], _PATTERN)
+    return listing.select(_file_of("path").alias("file"), "size")
 
 
-@query("SELECT DISTINCT conv_id % 20 AS file, true AS same_head, true AS whole FROM conversations")
+@query(f"WITH {_PLAIN} SELECT file, file % 3 <> 0 OR min(conv_id) % 25 <> 0 AS same_head, CAST(sum(bytes) AS BIGINT) AS parsed FROM plain GROUP BY file")
 def content_guard(spark, sf):
-    """Guards of two reads of the same files agree, and every file ends with a whole line."""
-    folder = message_files(spark, sf)
-    lines = N.read_lines(spark, [folder], _PATTERN)
-    placed = N.with_offsets(lines)
-    a, b = K.content_guard(placed, F.lit(65536)), K.content_guard(N.with_offsets(N.read_lines(spark, [folder], _PATTERN)), F.lit(65536))
-    ends = N.parsed_offset(lines, N.file_listing(spark, [folder], _PATTERN)).join(N.file_listing(spark, [folder], _PATTERN), "path")
-    both = a.join(b.select("path", F.col("head").alias("head_b")), "path").join(ends.select("path", (F.col("parsed_offset") == F.col("size")).alias("whole")), "path")
-    return both.select(_file_of("path").alias("file"), (F.col("head") == F.col("head_b")).alias("same_head"), "whole")
+    """Guards up to the first read's end, at that read and at a later one: files that grew keep
+    theirs, files that were rewritten do not."""
+    before, after = plain_files(spark, sf), plain_files(spark, sf, change=True)
+    lines = N.read_lines(spark, [before], _PATTERN)
+    ends = N.parsed_offset(lines, N.file_listing(spark, [before], _PATTERN)).select(_file_of("path").alias("file"), "parsed_offset")
+
+    def guards(folder: str, name: str) -> DataFrame:
+        placed = N.with_offsets(N.read_lines(spark, [folder], _PATTERN)).withColumn("file", _file_of("path")).join(ends, "file")
+        return K.content_guard(placed, F.col("parsed_offset")).select(_file_of("path").alias("file"), F.col("head").alias(name))
+
+    both = ends.join(guards(before, "head"), "file").join(guards(after, "later"), "file")
+    return both.select("file", (F.col("head") == F.col("later")).alias("same_head"), F.col("parsed_offset").alias("parsed"))
 
 
 @query("SELECT true AS same, true AS differs")
@@ -116,13 +137,11 @@ def metadata_fingerprint(spark, sf):
     return joined.select((F.col("a") == F.col("b")).alias("same"), (F.col("a") != F.col("c")).alias("differs"))
 
 
-@query("WITH t AS (SELECT conv_id, turn, conv_id % 20 AS file, row_number() OVER (PARTITION BY conv_id % 20 ORDER BY conv_id, turn) - 1 AS place FROM conversations) SELECT file, CAST(count(*) AS BIGINT) AS lines, true AS ascending FROM t GROUP BY file")
+@query(f"WITH {_PLAIN} SELECT file, conv_id, turn, CAST(sum(bytes) OVER (PARTITION BY file ORDER BY conv_id, turn) - bytes AS BIGINT) AS byte_offset FROM plain")
 def line_offsets(spark, sf):
-    """Every line's byte offset grows by its own bytes, in the order of the file."""
-    placed = N.with_offsets(N.read_lines(spark, [message_files(spark, sf)], _PATTERN))
-    after = F.lead("byte_offset").over(Window.partitionBy("path").orderBy("block", "seq"))
-    rows = placed.withColumn("ok", F.coalesce(after == F.col("byte_offset") + F.octet_length("value") + 1, F.lit(True)))
-    return rows.groupBy(_file_of("path").alias("file")).agg(F.count(F.lit(1)).alias("lines"), F.min("ok").alias("ascending"))
+    placed = N.with_offsets(N.read_lines(spark, [plain_files(spark, sf)], _PATTERN))
+    parts = F.split("value", ":")
+    return placed.select(_file_of("path").alias("file"), parts[1].cast("long").alias("conv_id"), parts[2].cast("long").alias("turn"), "byte_offset")
 
 
 def _drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -133,7 +152,7 @@ def _drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-@query("SELECT conv_id % 20 AS file, CAST(count(*) AS BIGINT) AS lines FROM conversations GROUP BY ALL")
+@query("SELECT conv_id // 25 AS file, CAST(count(*) AS BIGINT) AS lines FROM conversations GROUP BY ALL")
 def stream_ingest(spark, sf):
     lines = _drained(streams.stream_lines(spark, message_files(spark, sf)), "ingest")
     return lines.groupBy(_file_of("path").alias("file")).agg(F.count(F.lit(1)).alias("lines"))
