@@ -1,6 +1,7 @@
 """Upserts, manifests, versions, exports and streams."""
 
 from datetime import datetime
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ from meterline.schema import COUNTERS, LEDGER
 from meterline.sources import lines as N
 from meterline.sources import metadata as M
 from meterline.sources import store
+from meterline.sources.scratch import working_folder
 from meterline.sources.transcripts import as_ledger
 from meterline.streaming import streams
 
@@ -193,3 +195,9 @@ def test_registered_queries_run(spark, name):
 
     assert e.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
     assert name in e.oracle_sql()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        working_folder(session, "x")
