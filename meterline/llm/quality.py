@@ -15,7 +15,8 @@ with the corpus.
 A document is scored by its own language's model, and the band of log perplexities kept is the
 median of the language's documents less `lower_width` and plus `width` robust deviations (1.4826
 times the median deviation on that side, `least_deviation` at least); documents above or below are
-rejected.  Copies count once when the band is set.
+rejected.  Rows alike in all features and the perplexity, as copies are, count once when the band is
+set.
 
 Null and empty texts have no words and fail the base rules; a null language is a language of its
 own; repeated rows count and are judged each; an empty table gives an empty result; other columns
