@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, repeats, secrets, simhash, token_files, toxicity, url_filter, wrapper
+from . import decontaminate, packing, pieces, prefix_trie, quality, repeats, secrets, simhash, token_files, toxicity, url_filter, whitening, wrapper
 from .common import scratch, tables
 
 # The rules and the listed hosts of op6.
@@ -85,8 +85,30 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.placed(packing.packed(tables(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, window=1024))
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = pieces.decode(pieces.encode(tables(spark, sf_dir, "documents"), path), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        "agrees",
+    )
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = tables(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie.prefix_trie(prefix_trie.with_shared_beginnings(prefix_trie.sequences(turns)))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(tables(spark, sf_dir, "embeddings"), leading=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_toxicity, op4_token_files, op5_secrets, op6_url_filter, op7_main_text, op8_simhash, op9_repeats, op10_packing)}
+    return {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_toxicity, op4_token_files, op5_secrets, op6_url_filter, op7_main_text, op8_simhash, op9_repeats, op10_packing, op11_pieces, op12_prefix_trie, op13_whitening)}
 
 
 OP6_SQL = """
@@ -121,6 +143,31 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT)
 FROM split LEFT JOIN counted USING (doc_id) LEFT JOIN left_over USING (doc_id)
 """
 
+# CRC-32 is computed bit by bit: a byte is mixed in, then eight steps (-1) follow.
+OP12_SQL = r"""
+WITH turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CASE WHEN a % 2 = 1 THEN 3988292384::BIGINT ELSE 0 END) END), 4294967295::BIGINT) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (SELECT c.conv_id, t.i, t.role, t.text, 0 AS own FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 20 AND t.i <= c.h
+  UNION ALL SELECT c.conv_id, t.i, t.role, t.text, 1 FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.i > c.h),
+placed AS (SELECT conv_id, text, row_number() OVER w AS d, list(sha256(length(role) || ':' || role || text)) OVER w AS prefix FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY own, i)),
+path AS (SELECT conv_id, d, text, prefix FROM placed UNION ALL SELECT conv_id, 0, '', CAST([] AS VARCHAR[]) FROM convs),
+ended AS (SELECT *, d = max(d) OVER (PARTITION BY conv_id) AS last FROM path),
+node AS (SELECT prefix, d, min(conv_id) AS conv_id, count(*) AS n, min(text) AS text,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends FROM ended GROUP BY prefix, d),
+linked AS (SELECT a.*, b.conv_id AS parent FROM node a LEFT JOIN node b ON a.d = b.d + 1 AND a.prefix[:a.d - 1] = b.prefix),
+own AS (SELECT *, (n - 1) * len(regexp_extract_all(text, '[^ 	-
+]+')) AS saved,
+  (SELECT count(*) FROM linked k WHERE k.parent = l.conv_id AND k.d = l.d + 1) AS children FROM linked l),
+below AS (SELECT m.conv_id AS top, m.d AS deep, own.* FROM own JOIN path p ON p.conv_id = own.conv_id AND p.d <= own.d JOIN node m ON m.d = p.d AND m.prefix = p.prefix),
+sums AS (SELECT top, deep, sum(saved) AS saved, count(*) FILTER (children = 0) AS leaves FROM below GROUP BY ALL)
+SELECT CAST(o.conv_id AS BIGINT) AS conv_id, CAST(o.d AS BIGINT) AS depth, CAST(o.parent AS BIGINT) AS parent_conv_id, CAST(o.n AS BIGINT) AS n_convs, CAST(o.children AS BIGINT) AS n_children,
+  CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, o.ends AS ends_sha256
+FROM own o JOIN sums s ON s.top = o.conv_id AND s.deep = o.d
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": OP6_SQL, "op9_repeats": OP9_SQL}
+    return {"op6_url_filter": OP6_SQL, "op9_repeats": OP9_SQL, "op12_prefix_trie": OP12_SQL}
