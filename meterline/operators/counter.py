@@ -19,6 +19,8 @@ from ..schema import COUNTERS, LONG
 
 TOTALS = tuple(f"tot_{c}" for c in COUNTERS)
 LASTS = tuple(f"last_{c}" for c in COUNTERS)
+#: The column with what was known of a file when it was read up to its cursor.
+SAVED = "saved"
 
 
 def _any(flags) -> Column:
@@ -56,10 +58,12 @@ def classify(df: DataFrame, order: list[str], forked: Column | None = None) -> D
 
     A snapshot without progress repeats the last accepted one (duplicate) or not (stale).  The
     request's usage is the stated one within the proven progress, else the progress.  The first
-    snapshot counts as stated or whole; in a forked file (`forked`) only as stated.
+    snapshot counts as stated or whole; in a forked file (`forked`) only as stated.  Rows of `resume`
+    that stand for what was read before give the start and are nothing themselves.
     """
+    saved = SAVED in df.columns
     forked = F.lit(False) if forked is None else forked
-    df = high_water(df, order).withColumn("is_snapshot", F.col("tot_input").isNotNull())
+    df = high_water(df, order).withColumn("is_snapshot", F.col("tot_input").isNotNull() & (F.col(SAVED).isNull() if saved else F.lit(True)))
     before = Window.partitionBy("path").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("hw_input").isNull()
     limit = {c: F.when(first, F.col(f"tot_{c}")).otherwise(positive_delta(c)) for c in COUNTERS}
@@ -76,7 +80,8 @@ def classify(df: DataFrame, order: list[str], forked: Column | None = None) -> D
             **{f"use_{c}": F.when(nothing, 0).when(explicit, fenced[c]).otherwise(limit[c]).cast("long") for c in COUNTERS},
         }
     )
-    known = F.last(F.when(F.col("accepted"), _key()), ignorenulls=True).over(before)
+    accepted = F.when(F.col("accepted"), _key())
+    known = F.last(F.coalesce(accepted, F.col(f"{SAVED}.key")) if saved else accepted, ignorenulls=True).over(before)
     status = F.when(F.col("accepted"), "accepted").when(_key().eqNullSafe(known), "duplicate").otherwise("stale")
     return df.withColumn("status", F.when(F.col("is_snapshot"), status))
 
@@ -108,6 +113,52 @@ def diagnostics(classified: DataFrame, order: list[str]) -> DataFrame:
     return found.select("path", F.coalesce("duplicates", F.lit(0)).alias("duplicates"), F.coalesce("stale", F.lit(0)).alias("stale"), reset.cast("long").alias("ambiguous_resets"))
 
 
+def state(classified: DataFrame, order: list[str]) -> DataFrame:
+    """(path, saved) of classified rows: all that a later read needs to go on from here, and the
+    diagnostics up to here.  saved: water, key (the last accepted snapshot), last (the last one's
+    totals), model, decreased, duplicates, stale."""
+    at = F.struct(*order)
+    before = SAVED in classified.columns
+    old = F.max(SAVED) if before else F.lit(None)
+
+    def kept(new: Column, field: str) -> Column:
+        return F.coalesce(new, F.col(f"_old.{field}")) if before else new
+
+    snapshot = F.col("is_snapshot")
+    found = classified.groupBy("path").agg(
+        old.alias("_old"),
+        F.struct(*[F.max(t).alias(t) for t in TOTALS]).alias("water"),
+        F.max_by(_key(), F.when(F.col("accepted"), at)).alias("key"),
+        F.max_by(F.struct(*TOTALS), F.when(snapshot, at)).alias("last"),
+        F.nullif(F.max_by("active_model", at), F.lit("unknown")).alias("model"),
+        F.coalesce(F.max("decreased"), F.lit(False)).alias("decreased"),
+        *[F.coalesce(F.sum((F.col("status") == s).cast("long")), F.lit(0)).alias(a) for s, a in (("duplicate", "duplicates"), ("stale", "stale"))],
+    )
+    fields = [
+        "water",
+        kept(F.col("key"), "key").alias("key"),
+        kept(F.col("last"), "last").alias("last"),
+        "model",
+        (F.col("decreased") | F.coalesce("_old.decreased", F.lit(False)) if before else F.col("decreased")).alias("decreased"),
+        *[(F.col(c) + F.coalesce(f"_old.{c}", F.lit(0)) if before else F.col(c)).alias(c) for c in ("duplicates", "stale")],
+    ]
+    return found.select("path", F.struct(*fields).alias(SAVED))
+
+
+def saved_diagnostics(saved: Column) -> list[Column]:
+    """duplicates, stale and ambiguous_resets of a state, as `diagnostics` gives them for whole files."""
+    fell = saved["decreased"] & ~saved["last"].eqNullSafe(saved["water"])
+    return [saved["duplicates"].alias("duplicates"), saved["stale"].alias("stale"), F.coalesce(fell, F.lit(False)).cast("long").alias("ambiguous_resets")]
+
+
+def resume(rows: DataFrame, states: DataFrame) -> DataFrame:
+    """`rows` past the cursors of `states` (path, cursor, saved), each file's preceded by a row for what
+    was read before; ordered by byte_offset they classify as in a read of the whole file."""
+    lasts = [F.lit(None).cast("long").alias(c) for c in LASTS]
+    seeds = states.select("path", (F.col("cursor") - 1).alias("byte_offset"), F.col(f"{SAVED}.model").alias("model"), *[F.col(f"{SAVED}.water.{t}").alias(t) for t in TOTALS], *lasts, SAVED)
+    return rows.unionByName(seeds, allowMissingColumns=True)
+
+
 def task_ownership(started: Column, turn: Column, created: Column, child: Column) -> Column:
     """own, copied or ambiguous: by the second a task started against the fork's, a tie by the
     order of version-7 ids (copied where there are none)."""

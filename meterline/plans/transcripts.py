@@ -15,8 +15,8 @@ from ..operators import counter as C
 from ..schema import COUNTERS
 from ..sources import lines as N
 from ..sources import transcripts as T
+from ..sources.buckets import BucketStore
 from ..sources.scratch import working_folder
-from ..sources.store import VersionedLedger
 from ..streaming import streams
 from . import views as W
 from .queries import query
@@ -182,11 +182,12 @@ def stream_upsert(spark, sf):
     the latest row of each stays."""
     rows = W.ledger(spark, sf).withColumn("id", F.col("message_id"))
     folder, state = working_folder(spark, "upserts"), working_folder(spark, "upsert-state")
-    ledger = VersionedLedger(spark, working_folder(spark, "ledger"))
+    store = BucketStore(spark, working_folder(spark, "ledger"))
+    table = store.table("ledger", rows.schema, "id", ("id",), buckets=16)
     for half in range(2):
         rows.where(F.pmod(F.xxhash64("source_path", "byte_offset"), F.lit(2)) == half).write.mode("append").parquet(folder)
-        streams.upsert(spark.readStream.schema(rows.schema).parquet(folder), ledger, state).awaitTermination()
-    return ledger.read().select("id", "byte_offset")
+        streams.upsert_buckets(spark.readStream.schema(rows.schema).parquet(folder), store, "ledger", state).awaitTermination()
+    return table.read().select("id", "byte_offset")
 
 
 @query(f"WITH {W.LEDGER_SQL} SELECT strftime(ts, '%Y-%m-%d') AS day, provider, model, CAST(count(*) AS BIGINT) AS events, CAST(sum(input + cached + cache_w5m + cache_w1h + output) AS BIGINT) AS tokens FROM ledger WHERE CAST(ts AS DATE) < (SELECT CAST(max(ts) AS DATE) FROM ledger) GROUP BY ALL")

@@ -28,9 +28,17 @@ def read_lines(spark: SparkSession, roots: list[str], pattern: str = "*.jsonl")
 
 
 def with_offsets(lines: DataFrame) -> DataFrame:
-    """Adds byte_offset: the bytes of all lines before, with their ends."""
-    before = Window.partitionBy("path").orderBy("block", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return lines.withColumn("byte_offset", F.coalesce(F.sum(F.octet_length("value") + 1).over(before), F.lit(0)).cast("long"))
+    """Adds byte_offset: the bytes of all lines before, with their ends.
+
+    Lines are added up inside their block, a task a block, and the few blocks of a file before each
+    other; `byte_ranges.read_ranges` has true offsets without any sum.
+    """
+    size = F.octet_length("value") + 1
+    earlier = [Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1) for by, at in ((["path", "block"], "seq"), (["path"], "block"))]
+    blocks = lines.groupBy("path", "block").agg(F.sum(size).alias("_size"))
+    starts = blocks.select("path", "block", F.coalesce(F.sum("_size").over(earlier[1]), F.lit(0)).alias("_start"))
+    inside = lines.withColumn("_inside", F.coalesce(F.sum(size).over(earlier[0]), F.lit(0)))
+    return inside.join(starts, ["path", "block"]).select(*lines.columns, (F.col("_start") + F.col("_inside")).cast("long").alias("byte_offset"))
 
 
 def candidates(lines: DataFrame, *markers: str) -> DataFrame:

@@ -30,10 +30,16 @@ timestamp string, type string, payload struct<
 _FIELDS = dict(zip(COUNTERS, ("input_tokens", "cached_input_tokens", "cache_write_input_tokens", "cache_write_input_tokens_1h", "output_tokens", "reasoning_output_tokens")))
 
 
-def scan_message(lines: DataFrame, source_id: str) -> DataFrame:
-    """Ledger rows of per-message lines (path, byte_offset, value), the latest copy inside each file."""
+def _source(source_id: str | Column) -> Column:
+    return F.lit(source_id) if isinstance(source_id, str) else source_id
+
+
+def scan_message(lines: DataFrame, source_id: str | Column) -> DataFrame:
+    """Ledger rows of per-message lines (path, byte_offset, value), the latest copy inside each file;
+    `source_id` is a name or a column of the lines."""
+    lines = lines.withColumn("source_id", _source(source_id))
     j = F.from_json("value", _MESSAGE)
-    rows = candidates(lines, '"usage"').where(F.contains("value", F.lit('"assistant"'))).select("path", "byte_offset", j.alias("j")).where("j.type = 'assistant' and j.message.id is not null and j.sessionId is not null and j.message.usage is not null")
+    rows = candidates(lines, '"usage"').where(F.contains("value", F.lit('"assistant"'))).select("path", "source_id", "byte_offset", j.alias("j")).where("j.type = 'assistant' and j.message.id is not null and j.sessionId is not null and j.message.usage is not null")
     u = "j.message.usage"
 
     def n(field: str) -> Column:
@@ -45,7 +51,7 @@ def scan_message(lines: DataFrame, source_id: str) -> DataFrame:
     rows = rows.select(
         F.col("j.message.id").alias("message_id"),
         F.lit("message").alias("provider"),
-        F.lit(source_id).alias("source_id"),
+        "source_id",
         U.effective_session(agent, F.col("j.sessionId")).alias("session_id"),
         F.when(child, F.col("j.sessionId")).alias("parent_session_id"),
         U.parse_instant(F.col("j.timestamp")).alias("ts"),
@@ -72,7 +78,7 @@ def as_ledger(rows: DataFrame) -> DataFrame:
     return rows.select(*[(F.col(f.name) if f.name in rows.columns else defaults.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in LEDGER.fields])
 
 
-def message_events(lines: DataFrame, source_id: str, accounts: DataFrame | None = None, has_config: bool = False) -> DataFrame:
+def message_events(lines: DataFrame, source_id: str | Column, accounts: DataFrame | None = None, has_config: bool = False) -> DataFrame:
     """Ledger rows of a message source; `accounts` as of `attribution.session_accounts`."""
     rows = scan_message(lines, source_id)
     if accounts is not None:
@@ -81,23 +87,24 @@ def message_events(lines: DataFrame, source_id: str, accounts: DataFrame | None
 
 
 def scan_counter(lines: DataFrame) -> DataFrame:
-    """Counter lines (path, block, seq, byte_offset, value): snapshots, and changes of model, which
-    win where a line is both."""
+    """Counter lines (path, byte_offset, value, and `ended` where they have it): snapshots, and changes
+    of model, which win where a line is both."""
     j = F.from_json("value", _EVENT)
-    rows = candidates(lines, "token_count", "turn_context").select("path", "block", "seq", "byte_offset", j.alias("j"))
+    ended = F.col("ended") if "ended" in lines.columns else F.lit(True)
+    rows = candidates(lines, "token_count", "turn_context").select("path", "byte_offset", ended.alias("ended"), j.alias("j"))
     turn = F.col("j.type") == "turn_context"
     total, last = "j.payload.info.total_token_usage", "j.payload.info.last_token_usage"
     snapshot = ~turn & F.col(total).isNotNull()
     columns = [F.when(snapshot, F.coalesce(F.col(f"{total}.{f}"), F.lit(0))).cast("long").alias(f"tot_{c}") for c, f in _FIELDS.items()]
     columns += [F.when(snapshot & F.col(last).isNotNull(), F.coalesce(F.col(f"{last}.{f}"), F.lit(0))).cast("long").alias(f"last_{c}") for c, f in _FIELDS.items()]
-    parsed = rows.select("path", "block", "seq", "byte_offset", U.parse_instant(F.col("j.timestamp")).alias("ts"), F.when(turn, F.col("j.payload.model")).alias("model"), *columns, turn.alias("_turn"))
+    parsed = rows.select("path", "byte_offset", "ended", U.parse_instant(F.col("j.timestamp")).alias("ts"), F.when(turn, F.col("j.payload.model")).alias("model"), *columns, turn.alias("_turn"))
     return parsed.where(F.col("_turn") | (F.col("tot_input").isNotNull() & F.col("ts").isNotNull())).drop("_turn")
 
 
 def scan_header(lines: DataFrame) -> DataFrame:
     """(path, header_id, origin_id, parent_id, is_spawned, created): the first line of each file, if
     it names the transcript that it was forked from."""
-    first = lines.groupBy("path").agg(F.min_by("value", F.struct("block", "seq")).alias("value"))
+    first = lines.where("byte_offset = 0").select("path", "value")
     j = first.select("path", F.from_json("value", _EVENT).alias("j"), "value")
     spawned = F.get_json_object("value", "$.payload.source.subagent.thread_spawn.parent_thread_id")
     header = j.select("path", F.col("j.payload.id").alias("header_id"), F.col("j.payload.forked_from_id").alias("origin_id"), F.coalesce("j.payload.parent_thread_id", spawned, "j.payload.forked_from_id").alias("parent_id"), (F.col("j.payload.parent_thread_id").isNotNull() | spawned.isNotNull()).alias("is_spawned"), F.floor(F.unix_micros(U.parse_instant(F.col("j.timestamp"))) / 1000000).alias("created"))
@@ -111,27 +118,31 @@ def scan_tasks(lines: DataFrame) -> DataFrame:
     return rows.select("path", "byte_offset", F.col("j.payload.started_at").alias("started_at"), F.col("j.payload.turn_id").alias("turn_id"))
 
 
-def counter_events(lines: DataFrame, source_id: str, threads: DataFrame, thresholds: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Ledger rows of a counter source, and its files' diagnostics.
+def counter_events(lines: DataFrame, source_id: str | Column, threads: DataFrame, thresholds: DataFrame, states: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Ledger rows of a counter source, and its files' diagnostics and states.
 
-    `lines` of read_lines; `threads` (id, path, model, parent_id, is_subagent); `thresholds` (model,
-    lc_threshold) of the card of today.
+    `lines` of read_lines or with byte_offset; `threads` (id, path, model, parent_id, is_subagent);
+    `thresholds` (model, lc_threshold) of the card of today.  Of files in `states` (path, cursor, saved,
+    as of the second result) `lines` holds only what lies past the cursor; such files are no forks.
     """
-    placed = with_offsets(lines)
+    placed = lines if "byte_offset" in lines.columns else with_offsets(lines)
     header = scan_header(placed)
     tasks = scan_tasks(placed).join(header.select("path", "header_id", "created"), "path")
     owned = tasks.withColumn("ownership", C.task_ownership(F.col("started_at"), F.col("turn_id"), F.col("created"), F.col("header_id")))
     own = C.exclude_inherited(scan_counter(placed), header, C.fork_boundary(owned))
-    files = _files(placed, threads, header)
-    rows = own.join(files, "path", "left")
-    order = ["block", "seq"]
+    if states is not None:
+        own = C.resume(own, states).withColumn("forked", F.coalesce("forked", F.lit(False)))
+    named = placed.select("path", _source(source_id).alias("source_id")).distinct()
+    files = _files(named, threads, header)
+    rows = own.join(files, "path")
+    order = ["byte_offset"]
     classified = C.classify(C.active_model(rows, order, F.col("thread_model")), order, F.col("forked"))
     used = C.long_context(C.requests(classified), thresholds)
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
     events = used.select(
-        U.event_id(F.lit("counter"), F.lit(source_id), F.col("path"), F.col("byte_offset").cast("string")).alias("id"),
+        U.event_id(F.lit("counter"), F.col("source_id"), F.col("path"), F.col("byte_offset").cast("string")).alias("id"),
         F.lit("counter").alias("provider"),
-        F.lit(source_id).alias("source_id"),
+        "source_id",
         F.coalesce("thread_id", "header_id", name).alias("session_id"),
         F.col("parent_id").alias("parent_session_id"),
         "ts",
@@ -142,16 +153,19 @@ def counter_events(lines: DataFrame, source_id: str, threads: DataFrame, thresho
         *COUNTERS,
         *LONG,
     )
-    counted = files.select("path", F.col("inherited").cast("long").alias("inherited")).join(C.diagnostics(classified, order), "path", "left").na.fill(0)
+    counts = files.select("path", "source_id", F.col("inherited").cast("long").alias("inherited"))
+    # a last line without an end will be read again: the state stops before it
+    states = C.state(classified.where(F.coalesce("ended", F.lit(True))), order)
+    counted = counts.join(states, "path", "left").select("*", *C.saved_diagnostics(F.col(C.SAVED))).na.fill(0)
     return as_ledger(events), counted
 
 
-def _files(placed: DataFrame, threads: DataFrame, header: DataFrame) -> DataFrame:
-    """What is known of each file: its thread's and its header's parent and kind."""
-    known = C.thread_lookup(placed.select("path").distinct(), threads)
+def _files(paths: DataFrame, threads: DataFrame, header: DataFrame) -> DataFrame:
+    """What is known of each file (path, source_id): its thread's and its header's parent and kind."""
+    known = C.thread_lookup(paths, threads)
     named = header.select("path", "header_id", F.col("parent_id").alias("_parent"), "is_spawned", F.lit(True).alias("_forked"))
     joined = known.join(named, "path", "left")
-    return joined.select("path", "thread_id", "thread_model", "header_id", F.coalesce("parent_id", "_parent").alias("parent_id"), (F.col("is_subagent") | F.coalesce("is_spawned", F.lit(False))).alias("is_subagent"), F.coalesce("_forked", F.lit(False)).alias("inherited"))
+    return joined.select("path", "source_id", "thread_id", "thread_model", "header_id", F.coalesce("parent_id", "_parent").alias("parent_id"), (F.col("is_subagent") | F.coalesce("is_spawned", F.lit(False))).alias("is_subagent"), F.coalesce("_forked", F.lit(False)).alias("inherited"))
 
 
 def final_snapshot(lines: DataFrame, source_id: str) -> DataFrame:

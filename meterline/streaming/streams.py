@@ -1,12 +1,13 @@
 """Continuous ingest, counter deltas, upserts and day totals (ST1-ST5).
 
-Spark's file stream never reads a file again that has grown, so it takes finished segments;
-growing files go through the manifest.  Late rows count in the stored ledger, which is the source
+Spark's file stream never reads a file again that has grown, so it takes finished segments; files that
+grow have a source of their own, `byte_ranges.stream_growing`.  Late rows count in the stored ledger, which is the source
 of truth; the watermark of `daily` only bounds its state.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ..functions.usage import total_tokens
 from ..operators import counter
 from ..schema import COUNTERS
+from ..sources.buckets import BucketStore
 from ..sources.store import VersionedLedger, filtered
 
 _TOTALS = list(counter.TOTALS)
@@ -139,6 +141,18 @@ def upsert(rows: DataFrame, ledger: VersionedLedger, checkpoint: str) -> Streami
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def upsert_buckets(rows: DataFrame, store: BucketStore, table: str, checkpoint: str) -> StreamingQuery:
+    """Keep the latest row of each key in a bucketed table: a micro-batch writes the buckets that its
+    keys fall into, and notes its number with the same commit, so that one that runs again is passed
+    over.  The checkpoint's name is the stream's."""
+    stream = re.sub(r"\W", "_", checkpoint.rstrip("/").rsplit("/", 1)[-1])
+
+    def write(batch: DataFrame, number: int) -> None:
+        store.upsert(table, batch, stream, number)
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def daily(ledger: DataFrame, late: str = "30 days") -> DataFrame:
     """Day totals as rows arrive."""
     days = ledger.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "provider", "model")
