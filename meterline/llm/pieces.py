@@ -30,8 +30,10 @@ from pyspark.sql.types import StringType, StructField, StructType
 from .common import steps
 
 _WIDE = 64
+#: Text bytes that are encoded at a time.
+ENCODE_BYTES = 2 << 20
 #: Ids that one vectorised step decodes at a time.
-DECODE_IDS = 1 << 20
+DECODE_IDS = 1 << 19
 _NONE = np.iinfo(np.int32).max
 _models: dict[str, Pieces] = {}
 
@@ -58,7 +60,7 @@ def _library(path: str):
 class Pieces:
     """A vocabulary, and the segments that are known under it: about twice `most_known` at most."""
 
-    def __init__(self, path: str, most_known: int = 300_000):
+    def __init__(self, path: str, most_known: int = 200_000):
         self.library, proto = _library(path)
         self.most = most_known
         self.known: dict[str, bytes] = {}
@@ -306,7 +308,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
-        for b in steps(batches):
+        for b in steps(batches, most=ENCODE_BYTES):
             ids, bounds, agrees = model.encode(b.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.view(np.int32)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists, pa.array(agrees)], ["doc_id", "ids", "agrees"])
