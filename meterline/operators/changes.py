@@ -101,8 +101,11 @@ def content_guard(lines: DataFrame, upto: Column, width: int = 65536) -> DataFra
 
 
 def metadata_fingerprint(listing: DataFrame) -> DataFrame:
-    """One hash of the dimension files' names, sizes and times, in any order of listing."""
-    return listing.agg(F.coalesce(F.sum(F.xxhash64("path", "size", "modified").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("fingerprint"))
+    """One number of the dimension files' names, sizes and times, in any order of listing: the sum of 60
+    bits of each entry's MD5."""
+    entry = F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in ("path", "size", "modified")]).cast("binary"))
+    bits = F.conv(F.substring(entry, 1, 15), 16, 10).cast("decimal(38,0)")
+    return listing.agg(F.coalesce(F.sum(bits), F.lit(0)).cast("string").alias("fingerprint"))
 
 
 def append_seed(rows: DataFrame, saved: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ _THREADS = "id string, path string, model string, parent_id string, is_subagent
 
 
 def _write_lines(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    """Sorted (file, value) rows as the lines of one file each; a file appears whole."""
+    """Sorted (file, bytes) rows as one file each, which appears whole."""
     local = "://" not in folder or folder.startswith("file:")
     system, base = (fs.LocalFileSystem(), B._bare(folder)) if local else fs.FileSystem.from_uri(folder)
     system.create_dir(base, recursive=True)
@@ -39,21 +39,23 @@ def _write_lines(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.
         system.move(f"{base}/.{name}", f"{base}/{name}.jsonl")
 
     for b in batches:
-        for file, value in zip(b.column("file").to_pylist(), b.column("value").to_pylist()):
+        for file, value in zip(b.column("file").to_pylist(), b.column("bytes").to_pylist()):
             if file != name:
                 if out:
                     close()
                 name, out = file, system.open_output_stream(f"{base}/.{file}")
-            out.write(value.encode() + b"\n")
+            out.write(value)
     if out:
         close()
     yield pa.RecordBatch.from_pydict({"file": pa.array([], pa.string())})
 
 
 def _write(rows: DataFrame, order: list[str], folder: str) -> str:
-    """`rows` (file, value, and `order`) as files below `folder`; those that are there are replaced."""
-    dealt = rows.select(F.col("file").cast("string").alias("file"), *order, "value").repartition("file").sortWithinPartitions("file", *order)
-    dealt.select("file", "value").mapInArrow(lambda batches: _write_lines(batches, folder), "file string").count()
+    """`rows` (file, value, and `order`) as files below `folder`, a line a row, or its bytes where `value`
+    is binary; files that are there are replaced."""
+    data = F.col("value") if dict(rows.dtypes)["value"] == "binary" else F.concat("value", F.lit("\n")).cast("binary")
+    dealt = rows.select(F.col("file").cast("string").alias("file"), *order, data.alias("bytes")).repartition("file").sortWithinPartitions("file", *order)
+    dealt.select("file", "bytes").mapInArrow(lambda batches: _write_lines(batches, folder), "file string").count()
     return folder
 
 

@@ -172,17 +172,30 @@ def compact_summary(spark, sf):
     return money(S.compact(deduped(spark, sf), W.rate_card(spark)))
 
 
-@query(f"{L} SELECT DISTINCT provider, true AS agrees FROM deduped")
+def _both_sides(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str], names: tuple[str, str]) -> DataFrame:
+    """Whether two summaries agree, beside what each of them says."""
+    out = S.reconcile(a, b, keys, columns)
+    for side, name in zip((a, b), names):
+        out = out.join(side.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in ("tokens", "usd")]), keys, "left")
+    return money(out)
+
+
+def _both_sql(keys: str, names: tuple[str, str]) -> str:
+    said = ", ".join(f"{_sum('total', f'{n}_tokens')}, round(coalesce(sum(usd), 0), 10) AS {n}_usd" for n in names)
+    return f"{LP} SELECT {keys}, true AS agrees, {said} FROM priced GROUP BY {keys}"
+
+
+@query(_both_sql("provider", ("compact", "whole")))
 def full_vs_compact_reconcile(spark, sf):
     rows, card = deduped(spark, sf), W.rate_card(spark)
     full = S.regroup(S.fine(rows, card, [*S.ACCOUNT_KEYS, "session_id"]), ["provider"])
-    return S.reconcile(S.compact(rows, card), full, ["provider"], ["usd_uncached", "usd_cached", "usd_output", "credits", "tokens"])
+    return _both_sides(S.compact(rows, card), full, ["provider"], ["usd_uncached", "usd_cached", "usd_output", "credits", "tokens"], ("compact", "whole"))
 
 
-@query(f"{L} SELECT DISTINCT provider, model, true AS agrees FROM deduped")
+@query(_both_sql("provider, model", ("direct", "indexed")))
 def direct_vs_indexed_reconcile(spark, sf):
     rows, card = deduped(spark, sf), W.rate_card(spark)
-    return S.reconcile(S.direct(rows, card, ["provider", "model"]), S.by_model(rows, card), ["provider", "model"], ["usd", "credits", "tokens"])
+    return _both_sides(S.direct(rows, card, ["provider", "model"]), S.by_model(rows, card), ["provider", "model"], ["usd", "credits", "tokens"], ("direct", "indexed"))
 
 
 _TOP = "SELECT provider, source_id, session_id, parent_session_id, CAST(sum(input + cached + cache_w5m + cache_w1h + output) AS BIGINT) AS tokens FROM deduped WHERE is_subagent GROUP BY ALL ORDER BY tokens DESC, provider, source_id, session_id, parent_session_id NULLS FIRST LIMIT 20"

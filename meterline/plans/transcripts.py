@@ -126,15 +126,18 @@ def content_guard(spark, sf):
     return both.select("file", (F.col("head") == F.col("later")).alias("same_head"), F.col("parsed_offset").alias("parsed"))
 
 
-@query("SELECT true AS same, true AS differs")
+def _fingerprint_sql(name: str, size: str) -> str:
+    entry = f"md5(concat_ws(chr(31), c_name, {size}, 0))"
+    return f"SELECT '{name}' AS version, CAST(coalesce(sum(CAST('0x' || substr({entry}, 1, 15) AS BIGINT)), 0) AS VARCHAR) AS fingerprint FROM customer"
+
+
+@query(" UNION ALL ".join(_fingerprint_sql(*x) for x in (("first", "c_custkey"), ("reordered", "c_custkey"), ("changed", "c_custkey + 1"))))
 def metadata_fingerprint(spark, sf):
+    """The same in any order of listing, another one where a size has changed."""
     rows = W.table(spark, sf, "customer").select(F.col("c_name").alias("path"), F.col("c_custkey").alias("size"), F.lit(0).alias("modified"))
-    a = K.metadata_fingerprint(rows).select(F.col("fingerprint").alias("a"))
-    b = K.metadata_fingerprint(rows.orderBy(F.desc("path"))).select(F.col("fingerprint").alias("b"))
-    c = K.metadata_fingerprint(rows.withColumn("size", F.col("size") + 1)).select(F.col("fingerprint").alias("c"))
-    one = F.lit(1).alias("one")
-    joined = a.select(one, "a").join(b.select(one, "b"), "one").join(c.select(one, "c"), "one")
-    return joined.select((F.col("a") == F.col("b")).alias("same"), (F.col("a") != F.col("c")).alias("differs"))
+    versions = {"first": rows, "reordered": rows.orderBy(F.desc("path")), "changed": rows.withColumn("size", F.col("size") + 1)}
+    found = [K.metadata_fingerprint(v).select(F.lit(name).alias("version"), "fingerprint") for name, v in versions.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @query(f"WITH {_PLAIN} SELECT file, conv_id, turn, CAST(sum(bytes) OVER (PARTITION BY file ORDER BY conv_id, turn) - bytes AS BIGINT) AS byte_offset FROM plain")
@@ -214,13 +217,14 @@ def natural_keys(spark, sf):
     return W.table(spark, sf, "customer").select("c_custkey", shown.alias("shown")).orderBy(natural_key(F.col("shown")), "c_custkey")
 
 
-@query("""WITH p AS (SELECT '/root/subagents/c' || o_custkey || '.jsonl' AS path FROM orders UNION SELECT '/root/x/c' || o_custkey || '.jsonl' FROM orders),
-t AS (SELECT '/root/x/c' || c_custkey || '.jsonl' AS path, 'c' || c_custkey || '.jsonl' AS name, 't' || c_custkey AS id, c_custkey % 3 = 0 AS child FROM customer WHERE c_custkey % 2 = 0)
+@query("""WITH p AS (SELECT '/root/subagents/c' || o_custkey || '.jsonl' AS path FROM orders UNION SELECT '/root/x/c' || o_custkey || '.jsonl' FROM orders UNION SELECT '/root/subagents/n' || o_custkey || '.jsonl' FROM orders),
+t AS (SELECT '/root/x/c' || c_custkey || '.jsonl' AS path, 'c' || c_custkey || '.jsonl' AS name, 't' || c_custkey AS id, c_custkey % 3 = 0 AS child FROM customer)
 SELECT p.path, t.id AS thread_id, coalesce(t.child, contains(p.path, '/subagents/')) AS is_subagent FROM p LEFT JOIN t ON string_split(p.path, '/')[-1] = t.name""")
 def thread_lookup(spark, sf):
-    name = F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit(".jsonl"))
+    """Paths of known threads, of files that have a known one's name, and of files that no thread has."""
+    name = F.concat(F.col("o_custkey").cast("string"), F.lit(".jsonl"))
     orders = W.table(spark, sf, "orders")
-    paths = orders.select(F.concat(F.lit("/root/subagents/"), name).alias("path")).union(orders.select(F.concat(F.lit("/root/x/"), name))).distinct()
+    paths = orders.select(F.explode(F.array(*[F.concat(F.lit(root), name) for root in ("/root/subagents/c", "/root/x/c", "/root/subagents/n")])).alias("path")).distinct()
     key = F.col("c_custkey").cast("string")
-    threads = W.table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.concat(F.lit("t"), key).alias("id"), F.concat(F.lit("/root/x/c"), key, F.lit(".jsonl")).alias("path"), F.lit("m").alias("model"), F.lit(None).cast("string").alias("parent_id"), (F.col("c_custkey") % 3 == 0).alias("is_subagent"))
+    threads = W.table(spark, sf, "customer").select(F.concat(F.lit("t"), key).alias("id"), F.concat(F.lit("/root/x/c"), key, F.lit(".jsonl")).alias("path"), F.lit("m").alias("model"), F.lit(None).cast("string").alias("parent_id"), (F.col("c_custkey") % 3 == 0).alias("is_subagent"))
     return C.thread_lookup(paths, threads).select("path", "thread_id", "is_subagent")

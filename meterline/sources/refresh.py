@@ -15,13 +15,15 @@ it again.  A source of which no folder is there keeps all it has.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import counter as C
+from ..operators.attribution import enrich_threads, reattribute
 from ..operators.dedup import latest
 from ..schema import LEDGER
 from .buckets import BucketStore, exists
@@ -45,6 +47,8 @@ MANIFEST = T.StructType(
         T.StructField("saved", STATE),
     ]
 )
+ACCOUNTS = T.StructType([T.StructField(c, _text) for c in ("source_id", "session_id", "account_id", "confidence", "basis")])
+THREADS = T.StructType([*[T.StructField(c, _text) for c in ("source_id", "path", "id", "model", "parent_id")], T.StructField("is_subagent", T.BooleanType())])
 _MARKERS = ("token_count", "turn_context", "task_started", '"usage"')
 
 
@@ -65,12 +69,27 @@ class Refreshed(NamedTuple):
 
 
 class LedgerStore(BucketStore):
-    """The ledger and its manifest, both in buckets of the transcript's path."""
+    """The ledger and its manifest, both in buckets of the transcript's path, and the metadata that was
+    applied to it, a version a source."""
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 256):
         super().__init__(spark, root)
         self.ledger = self.table("ledger", LEDGER, "id", ("source_path",), buckets)
         self.manifest = self.table("manifest", MANIFEST, "path", ("path",), buckets)
+        self.accounts = self.table("accounts", ACCOUNTS, "session_id", ("session_id",), 8)
+        self.threads = self.table("threads", THREADS, "path", ("path",), 8)
+
+    def cursors(self) -> DataFrame:
+        """(source_id, path, state) of every file: `reconciled` after a whole read, `pending` after an
+        append until a full refresh, `retry` where the last read failed."""
+        state = F.when(F.col("size").isNull(), "retry").when(F.col("pending"), "pending").otherwise("reconciled")
+        return self.manifest.read().select("source_id", "path", state.alias("state"))
+
+    def provisional(self, source_ids: list[str] | None = None) -> DataFrame:
+        """One row: whether a file of the sources (all: None) is pending."""
+        rows = self.manifest.read()
+        rows = rows if source_ids is None else rows.where(F.col("source_id").isin(source_ids))
+        return rows.agg(F.coalesce(F.max("pending"), F.lit(False)).alias("provisional"))
 
     def remove_sources(self, source_ids: list[str]) -> None:
         """Drop all rows and cursors of sources."""
@@ -199,6 +218,51 @@ def refresh(
         places = store.manifest.parts_of(touched)
         others = store.manifest.parts(places).join(touched.select("source_id", "path"), ["source_id", "path"], "left_anti")
         store.commit({"ledger": (merged, parts), "manifest": (others.unionByName(entries).unionByName(cursorless), places)})
-    waiting = not store.manifest.read().where("pending").isEmpty()
+    waiting = store.provisional().first().provisional
     counts = {k: kinds.get(k, 0) for k in ("new", "changed", "appended", "removed", "unchanged")}
     return Refreshed(**counts, failed=failed, missing_sources=missing, line_bytes=line_bytes.value, guard_bytes=guard_bytes.value, provisional=waiting)
+
+
+def _differences(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """(key) of rows that only one side has, or that differ."""
+    columns = [c for c in new.columns if c != key]
+    a, b = (d.select(key, F.struct(*columns).alias(n)) for d, n in ((old, "_a"), (new, "_b")))
+    return a.join(b, key, "full_outer").where(~F.col("_a").eqNullSafe(F.col("_b"))).select(key).distinct()
+
+
+def apply_accounts(store: LedgerStore, source_id: str, accounts: DataFrame, has_config: bool = False) -> int:
+    """Make `accounts` (as of `session_accounts`) those of a message source: only rows of sessions whose
+    entry differs from the stored version are attributed anew, only their buckets are written, and no
+    transcript is read.  Gives the number of sessions that differ."""
+    new = accounts.where("session_id is not null").select(F.lit(source_id).alias("source_id"), "session_id", "account_id", "confidence", "basis")
+    base = F.coalesce("parent_session_id", "session_id")
+    return _rewrite(store, source_id, "message", "accounts", new, base, lambda rows: reattribute(rows, accounts, has_config))
+
+
+def apply_threads(store: LedgerStore, source_id: str, threads: DataFrame) -> int:
+    """The same for `threads` (path, id, model, parent_id, is_subagent) of a counter source: rows of the
+    paths whose thread differs."""
+    known = threads.where("path is not null").groupBy("path").agg(F.max_by(F.struct("id", "model", "parent_id", "is_subagent"), "id").alias("t"))
+    new = known.select(F.lit(source_id).alias("source_id"), "path", "t.*")
+    return _rewrite(store, source_id, "counter", "threads", new, F.col("source_path"), lambda rows: enrich_threads(rows, threads))
+
+
+def _rewrite(store: LedgerStore, source_id: str, provider: str, name: str, new: DataFrame, on: Column, change: Callable[[DataFrame], DataFrame]) -> int:
+    """Put a new version of a metadata table in place, with `change` made to the source's rows for which
+    `on` is a key that differs from the stored version."""
+    store.recover()
+    table, ledger = store.tables[name], store.ledger
+    old = table.read().where(F.col("source_id") == source_id)
+    changed = _materialised(_differences(old, new, table.key), f"changed-{name}").withColumnRenamed(table.key, "_changed")
+    n = changed.count()
+    if n:
+        mine = F.coalesce((F.col("source_id") == source_id) & (F.col("provider") == provider), F.lit(False))
+        parts = ledger.parts_of(ledger.read().where(mine).join(changed, on == F.col("_changed"), "left_semi"))
+        held = ledger.parts(parts)
+        hit = held.where(mine).join(changed, on == F.col("_changed"), "left_semi")
+        rest = held.where(~mine).unionByName(held.where(mine).join(changed, on == F.col("_changed"), "left_anti"))
+        merged = rest.select(LEDGER.names).unionByName(change(hit.select(LEDGER.names)).select(LEDGER.names))
+        # partitions are by source, so those of the metadata hold this source's entries only
+        places = sorted({*table.parts_of(old), *table.parts_of(new)})
+        store.commit({"ledger": (merged, parts), name: (new.select(table.schema.names), places)})
+    return n

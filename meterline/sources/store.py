@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -90,6 +90,34 @@ def export_report(accounts: DataFrame, models: DataFrame, path: str, version: in
     rows[0].unionByName(rows[1]).write.mode("overwrite").json(path)
 
 
+def export_document(path: str, head: dict[str, object], sources: DataFrame, totals: DataFrame, **breakdowns: DataFrame) -> None:
+    """A portable report as one nested JSON document: schema_version, the fields of `head`, sources and
+    a summary of totals and breakdowns.
+
+    `sources` (source_id, provider, enabled, monthly_usd) are numbered by id; in every breakdown their
+    numbers stand in place of ids, ordinals in order of first appearance in place of accounts, and no
+    path is told.  Breakdowns are what a summary shows, a few rows each, and become arrays of one row.
+    """
+    numbered = sources.select("source_id", F.row_number().over(Window.orderBy("source_id")).alias("_n"), "provider", "enabled", "monthly_usd")
+    alias = F.concat(F.lit("source-"), F.col("_n").cast("string"))
+    doc = totals.limit(1).select(F.struct(*totals.columns).alias("totals"))
+    shown = numbered.agg(F.sort_array(F.collect_list(F.struct("_n", F.struct(alias.alias("id"), "provider", "enabled", "monthly_usd").alias("s")))).alias("s"))
+    doc = doc.crossJoin(shown.select(F.col("s.s").alias("sources")))  # one row each
+    for name, rows in breakdowns.items():
+        order = [c for c in rows.columns if c in ("provider", "source_id", "account_id", "current_auth_account_id", "attribution_confidence", "attribution_basis", "model", "day", "session_id")]
+        placed = rows.withColumn("_order", F.struct(*order))
+        for column, prefix in (("account_id", "account"), ("current_auth_account_id", "current-auth")):
+            if column in rows.columns:
+                placed = anonymise(placed, column, prefix, ["_order"])
+        if "source_id" in rows.columns:
+            placed = placed.join(numbered.select("source_id", "_n"), "source_id", "left").withColumn("source_id", F.coalesce(alias, F.lit("unknown-source")))
+        listed = placed.agg(F.sort_array(F.collect_list(F.struct("_order", F.struct(*rows.columns).alias("r")))).alias("l"))
+        doc = doc.crossJoin(listed.select(F.col("l.r").alias(name)))
+    summary = F.struct("totals", *breakdowns)
+    fields = [F.lit(1).alias("schema_version"), *[F.lit(v).alias(k) for k, v in head.items()], "sources", summary.alias("summary")]
+    doc.select(*fields).coalesce(1).write.mode("overwrite").json(path)
+
+
 def save_headline(totals: DataFrame, sources: list[str], priced_on: str, path: str) -> None:
     totals.withColumns({"sources": F.lit("|".join(sorted(sources))), "priced_on": F.lit(priced_on)}).write.mode("overwrite").parquet(path)
 

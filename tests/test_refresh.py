@@ -247,3 +247,65 @@ def test_growing_files_give_each_line_once(spark, tmp_path):
     put(folder / "c.jsonl", [" and ended"], mode="a")
     assert drain() == whole()
     assert drain() == whole()
+
+
+def files_of(root):
+    return {str(p): p.stat().st_mtime_ns for p in root.rglob("part-*")}
+
+
+def test_metadata_rewrites_only_what_differs(spark, tmp_path, run):
+    from meterline.sources.refresh import apply_accounts, apply_threads
+
+    for i in range(12):
+        put(tmp_path / "m" / f"{i}.jsonl", [message(f"x{i}", 3, session=f"s{i}")])
+    put(tmp_path / "c" / "live" / "rollout.jsonl", [total(60, 30, 15, 0)])
+    put(tmp_path / "c" / "live" / "other.jsonl", [total(6, 3, 1, 0)])
+    _, store = run()
+    schema = "session_id string, account_id string, confidence string, basis string"
+    rows = [(f"s{i}", "acct", "session-verified", "telemetry") for i in range(11)]
+    assert apply_accounts(store, "m", spark.createDataFrame(rows, schema)) == 11
+    before = files_of(tmp_path / "store" / "ledger")
+    moved = [("s3", "moved", "session-verified", "telemetry"), *(r for r in rows if r[0] != "s3")]
+    assert apply_accounts(store, "m", spark.createDataFrame(moved, schema)) == 1
+    assert apply_accounts(store, "m", spark.createDataFrame(moved, schema)) == 0
+    assert len(files_of(tmp_path / "store" / "ledger").items() - before.items()) == 1
+    got = {r.session_id: r.account_id for r in store.ledger.read().where("source_id = 'm'").collect()}
+    assert got == {f"s{i}": "moved" if i == 3 else "acct" if i < 11 else "unattributed" for i in range(12)}
+
+    path = next(r.path for r in store.manifest.read().where("path like '%rollout%'").collect())
+    threads = spark.createDataFrame([("t1", path, "sol", "p", True)], THREADS)
+    assert apply_threads(store, "c", threads) == 1 and apply_threads(store, "c", threads) == 0
+    got = {r.source_path[-9:]: (r.session_id, r.model, r.parent_session_id) for r in store.ledger.read().where("source_id = 'c'").collect()}
+    assert got == {"out.jsonl": ("t1", "sol", "p"), "her.jsonl": ("other", "unknown", None)}
+    quiet, _ = run()
+    assert quiet.line_bytes == 0 and quiet.unchanged == 14
+
+
+def test_cursors_wait_and_are_tried_again(spark, tmp_path, run):
+    put(tmp_path / "m" / "a.jsonl", [message("x", 3)])
+    (tmp_path / "m" / "b.jsonl").write_bytes(b"\xff\n")
+    _, store = run()
+    states = lambda: {r.path[-7:]: r.state for r in store.cursors().collect()}
+    assert states() == {"a.jsonl": "reconciled", "b.jsonl": "retry"} and not store.provisional().first().provisional
+    put(tmp_path / "m" / "a.jsonl", [message("y", 3)], mode="a")
+    run()
+    assert states()["a.jsonl"] == "pending" and store.provisional(["m"]).first().provisional and not store.provisional(["c"]).first().provisional
+    run()  # an append waits through refreshes that find nothing
+    assert states()["a.jsonl"] == "pending"
+    run(full=True)
+    assert states() == {"a.jsonl": "reconciled", "b.jsonl": "retry"}
+
+
+def test_report_is_one_document(spark, tmp_path):
+    from meterline.sources.store import export_document
+
+    sources = spark.createDataFrame([("src-b", "message", True, 20.0), ("src-a", "counter", False, 0.0)], "source_id string, provider string, enabled boolean, monthly_usd double")
+    accounts = spark.createDataFrame([("message", "src-b", "kim@x", None, 5), ("counter", "src-a", "unattributed", "kim@x", 6), ("message", "gone", "kim@x", None, 7)], "provider string, source_id string, account_id string, current_auth_account_id string, tokens bigint")
+    totals = spark.createDataFrame([(18,)], "tokens bigint")
+    export_document(f"{tmp_path}/r", {"timezone": "UTC"}, sources, totals, accounts=accounts, models=accounts.where("false").select("tokens"))
+    (text,) = (r.value for r in spark.read.text(f"{tmp_path}/r").collect())
+    doc = json.loads(text)
+    assert "kim" not in text and "src-" not in text
+    assert [s["id"] for s in doc["sources"]] == ["source-1", "source-2"] and [s["provider"] for s in doc["sources"]] == ["counter", "message"]
+    assert doc["schema_version"] == 1 and doc["summary"]["totals"] == {"tokens": 18} and doc["summary"]["models"] == []
+    assert [(a["source_id"], a["account_id"], a.get("current_auth_account_id")) for a in doc["summary"]["accounts"]] == [("source-1", "unattributed", "current-auth-1"), ("unknown-source", "account-1", None), ("source-2", "account-1", None)]
