@@ -14,6 +14,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import counter as C
 from ..sources import byte_ranges as B
 from ..sources import lines as N
 from ..sources import refresh as R
@@ -235,6 +236,26 @@ def scan_both_providers(spark, sf):
     return _grouped(T.scan_sources([T.message_events(lines("message"), "message-source"), counters]))
 
 
+@query(
+    f"WITH f AS (SELECT conv_id // {_EACH} AS file, max(conv_id) FILTER (conv_id > conv_id // {_EACH} * {_EACH} + 2) IS NOT NULL AS owns FROM conversations GROUP BY 1) "
+    "SELECT file, CASE WHEN owns THEN 'found' ELSE 'none' END AS boundary FROM f WHERE file % 3 = 1 AND file % 7 <> 3"
+)
+def fork_boundary_from_end(spark, sf):
+    """Forked files' own beginnings, read from their ends until inherited tasks are met; they are those
+    that all lines give."""
+    root = working_folder(spark, "forks")
+    _write(_counter_lines(_turns(spark, sf, later=True), later=True), _ORDER, root)
+    listing = N.file_listing(spark, [root])
+    heads = T.scan_header(B.read_ranges(B.whole_files(listing)))  # of such short files, all lines
+    forks = R.materialised(heads.join(listing.select("path", "size"), "path").select("path", "size", "header_id", "created"), "forks")
+    ends = T.boundaries_from_end(forks, R.materialised, first_bytes=1000)
+    tasks = T.scan_tasks(B.read_ranges(B.whole_files(listing))).join(forks.select("path", "header_id", "created"), "path")
+    whole = C.fork_boundary(tasks.withColumn("ownership", C.task_ownership(F.col("started_at"), F.col("turn_id"), F.col("created"), F.col("header_id"))))
+    both = ends.join(whole.select("path", F.col("boundary").alias("_b"), F.col("own_start").alias("_s")), "path")
+    same = F.col("boundary").eqNullSafe(F.col("_b")) & F.col("own_start").eqNullSafe(F.col("_s"))
+    return both.select(_file().alias("file"), F.when(same, F.col("boundary")).otherwise("differs").alias("boundary"))
+
+
 @query(f"WITH {_BOTH} {_GROUPED}")
 def refresh_ledger(spark, sf):
     """Two refreshes of one store, before and after the files have changed: the ledger is that of a scan

@@ -104,18 +104,18 @@ def _batch(path: str, place: int, block: bytes, ended: bool, keep: list[pa.Scala
     return [pa.repeat(pa.scalar(path, pa.string()), len(values)), pa.array(offsets, pa.int64()), text, pa.repeat(pa.scalar(ended), len(values)), valid, *repeated]
 
 
-def read_ranges(ranges: DataFrame, keep: tuple[str, ...] = (), split_bytes: int = SPLIT_BYTES, meter: Accumulator | None = None) -> DataFrame:
+def read_ranges(ranges: DataFrame, keep: tuple[str, ...] = (), split_bytes: int = SPLIT_BYTES, meter: Accumulator | None = None, aligned: bool = True) -> DataFrame:
     """(path, byte_offset, value, ended, valid) of the lines in `ranges` (path, start, stop), and the
     columns of `keep`, the same on all lines of a part.
 
     `ended` is false for a last line without an end, `valid` for one that is no UTF-8.  Only these bytes
     are read, and where a split begins up to one line more; `meter` adds them up.  An empty part has
-    no lines.
+    no lines.  Without `aligned` a part may begin anywhere, and has the line that ends in it.
     """
     spark = ranges.sparkSession
     full = ranges.where("stop > start")
     cuts = full.withColumn("at", F.explode(F.expr(f"sequence(start, stop - 1, {int(split_bytes)}L)")))
-    splits = cuts.select("path", "at", F.least(F.col("at") + int(split_bytes), F.col("stop")).alias("upto"), (F.col("at") == F.col("start")).alias("begins"), (F.col("at") + int(split_bytes) >= F.col("stop")).alias("tail"), *keep)
+    splits = cuts.select("path", "at", F.least(F.col("at") + int(split_bytes), F.col("stop")).alias("upto"), (F.col("at") == (F.col("start") if aligned else F.lit(0))).alias("begins"), (F.col("at") + int(split_bytes) >= F.col("stop")).alias("tail"), *keep)
     n, size = splits.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("upto") - F.col("at")), F.lit(0))).first()
     tasks = max(1, min(n, max(spark.sparkContext.defaultParallelism, -(-size // split_bytes))))
     types = splits.select(*keep).schema

@@ -98,7 +98,8 @@ class LedgerStore(BucketStore):
         self.commit({name: (t.read().where(F.lit(False)), parts[t.root]) for name, t in self.tables.items()})
 
 
-def _materialised(df: DataFrame, name: str) -> DataFrame:
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to the working folder and read back."""
     spark, folder = df.sparkSession, working_folder(df.sparkSession, name)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
@@ -132,7 +133,7 @@ def plan(store: LedgerStore, listing: DataFrame, listed: list[str], full: bool =
     again = F.lit(full) & F.col("_pending")
     kind = F.when(F.col("_new").isNull(), "removed").when(F.col("_old").isNull(), "new").when(again, "changed").when(same, "unchanged").otherwise("changed")
     grew = ~F.lit(full) & (F.col("size") > F.col("_size")) & (F.col("_parsed_offset") > 0) & ~F.col("_forked") & F.col("_head").isNotNull() & F.col("_tail").isNotNull()
-    compared = _materialised(both.withColumn("kind", kind).withColumn("_grew", (F.col("kind") == "changed") & F.coalesce(grew, F.lit(False))), "compared")
+    compared = materialised(both.withColumn("kind", kind).withColumn("_grew", (F.col("kind") == "changed") & F.coalesce(grew, F.lit(False))), "compared")
     asked = compared.where("_grew").select("source_id", "path", F.col("_parsed_offset").alias("upto"))
     now = guards(asked, meter=meter).select("source_id", "path", "head", "tail")
     checked = compared.join(now, ["source_id", "path"], "left")
@@ -141,7 +142,7 @@ def plan(store: LedgerStore, listing: DataFrame, listed: list[str], full: bool =
     start = F.when(F.col("kind") == "appended", F.col("_parsed_offset")).otherwise(0).cast("long")
     planned = checked.withColumn("kind", kind).withColumn("start", start)
     shown = ["source_id", F.coalesce("provider", "_provider").alias("provider"), "path", "size", "modified", "kind", "start", F.when(F.col("kind") == "appended", F.col("_saved")).alias("saved")]
-    return _materialised(planned.select(*shown), "plan")
+    return materialised(planned.select(*shown), "plan")
 
 
 def scan(planned: DataFrame, threads: DataFrame, thresholds: DataFrame, accounts: DataFrame | None = None, meter=None) -> tuple[DataFrame, DataFrame]:
@@ -154,13 +155,13 @@ def scan(planned: DataFrame, threads: DataFrame, thresholds: DataFrame, accounts
     for m in _MARKERS:
         matters = matters | F.contains("value", F.lit(m))
     end = F.when(F.col("ended"), F.col("byte_offset") + F.octet_length("value") + 1)
-    lines = _materialised(lines.select("source_id", "provider", "path", "byte_offset", "ended", "valid", end.alias("end"), F.when(matters, F.col("value")).alias("value")), "lines")
+    lines = materialised(lines.select("source_id", "provider", "path", "byte_offset", "ended", "valid", end.alias("end"), F.when(matters, F.col("value")).alias("value")), "lines")
     ends = lines.groupBy("source_id", "path").agg(F.max("end").alias("_end"), F.min("valid").alias("valid"))
 
     held = lines.where("value is not null").drop("end", "valid")
     messages = message_events(held.where("provider = 'message'"), F.col("source_id"), accounts)
     states = reading.where("kind = 'appended' and provider = 'counter' and saved is not null").select("path", F.col("start").alias("cursor"), "saved")
-    counters, files = counter_events(held.where("provider = 'counter'"), F.col("source_id"), threads, thresholds, states)
+    counters, files = counter_events(held.where("provider = 'counter'"), F.col("source_id"), threads, thresholds, states, materialised)
     state = files.select("path", "source_id", "inherited", (F.col("inherited") > 0).alias("forked"), F.col("saved").alias("_saved"))
     per_file = reading.join(ends, ["source_id", "path"], "left").join(state, ["source_id", "path"], "left")
     per_file = per_file.select(
@@ -199,7 +200,7 @@ def refresh(
     failed = 0
     if kinds.keys() - {"unchanged"}:
         rows, per_file = scan(planned, threads, thresholds, accounts, line_bytes)
-        per_file = _materialised(per_file, "files")
+        per_file = materialised(per_file, "files")
         failed = per_file.where("not valid").count()
         paths = touched.select("source_id", F.col("path").alias("source_path"), "path", "kind", "start")
         good = per_file.where("valid").select("source_id", F.col("path").alias("source_path"))
@@ -253,7 +254,7 @@ def _rewrite(store: LedgerStore, source_id: str, provider: str, name: str, new:
     store.recover()
     table, ledger = store.tables[name], store.ledger
     old = table.read().where(F.col("source_id") == source_id)
-    changed = _materialised(_differences(old, new, table.key), f"changed-{name}").withColumnRenamed(table.key, "_changed")
+    changed = materialised(_differences(old, new, table.key), f"changed-{name}").withColumnRenamed(table.key, "_changed")
     n = changed.count()
     if n:
         mine = F.coalesce((F.col("source_id") == source_id) & (F.col("provider") == provider), F.lit(False))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.accumulators import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from ..operators import counter as C
 from ..operators.attribution import attribute_accounts
 from ..operators.dedup import dedup_file, dedup_scan
 from ..schema import COUNTERS, LEDGER, LONG
+from .byte_ranges import read_ranges
 from .lines import candidates, with_offsets
 
 _MESSAGE = """
@@ -118,12 +122,37 @@ def scan_tasks(lines: DataFrame) -> DataFrame:
     return rows.select("path", "byte_offset", F.col("j.payload.started_at").alias("started_at"), F.col("j.payload.turn_id").alias("turn_id"))
 
 
-def counter_events(lines: DataFrame, source_id: str | Column, threads: DataFrame, thresholds: DataFrame, states: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def boundaries_from_end(forks: DataFrame, stored: Callable[[DataFrame, str], DataFrame], first_bytes: int = 1 << 20, meter: Accumulator | None = None) -> DataFrame:
+    """(path, boundary, own_start) of forked files (path, size, header_id, created), from their ends.
+
+    Rounds read the last `first_bytes` of every file, then twice as much before that, and so on; a file
+    is done when a copied task is met, since the tasks before it are copied, too.  So what was inherited
+    is not read but for the part around its end.  Where that holds the result is that of
+    `counter.fork_boundary` over all tasks; a file of which a task before the last copied one is its own
+    is ambiguous there, but found here if that task has not been read.
+    """
+    empty = forks.sparkSession.createDataFrame([], "path string, byte_offset bigint, ownership string")
+    open_, seen, width = forks.withColumn("upto", F.col("size")), empty, first_bytes
+    while not open_.isEmpty():
+        start = F.greatest(F.col("upto") - width, F.lit(0))
+        part = open_.select("path", start.cast("long").alias("start"), F.col("upto").alias("stop"))
+        tasks = scan_tasks(read_ranges(part, meter=meter, aligned=False)).join(forks.select("path", "header_id", "created"), "path")
+        owned = tasks.select("path", "byte_offset", C.task_ownership(F.col("started_at"), F.col("turn_id"), F.col("created"), F.col("header_id")).alias("ownership"))
+        seen = stored(seen.unionByName(owned), "tasks-seen")
+        copied = seen.where("ownership = 'copied'").select("path").distinct()
+        open_ = stored(open_.withColumn("upto", start).where("upto > 0").join(copied, "path", "left_anti"), "forks-open")
+        width *= 2
+    found = C.fork_boundary(seen)
+    return forks.select("path").join(found, "path", "left").withColumn("boundary", F.coalesce("boundary", F.lit("none")))
+
+
+def counter_events(lines: DataFrame, source_id: str | Column, threads: DataFrame, thresholds: DataFrame, states: DataFrame | None = None, stored: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Ledger rows of a counter source, and its files' diagnostics and states.
 
     `lines` of read_lines or with byte_offset; `threads` (id, path, model, parent_id, is_subagent);
     `thresholds` (model, lc_threshold) of the card of today.  Of files in `states` (path, cursor, saved,
     as of the second result) `lines` holds only what lies past the cursor; such files are no forks.
+    `stored` (frame, name) writes a frame and reads it back, so that both results share one pass.
     """
     placed = lines if "byte_offset" in lines.columns else with_offsets(lines)
     header = scan_header(placed)
@@ -137,6 +166,8 @@ def counter_events(lines: DataFrame, source_id: str | Column, threads: DataFrame
     rows = own.join(files, "path")
     order = ["byte_offset"]
     classified = C.classify(C.active_model(rows, order, F.col("thread_model")), order, F.col("forked"))
+    if stored is not None:
+        classified = stored(classified, "classified")
     used = C.long_context(C.requests(classified), thresholds)
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
     events = used.select(

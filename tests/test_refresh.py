@@ -309,3 +309,28 @@ def test_report_is_one_document(spark, tmp_path):
     assert [s["id"] for s in doc["sources"]] == ["source-1", "source-2"] and [s["provider"] for s in doc["sources"]] == ["counter", "message"]
     assert doc["schema_version"] == 1 and doc["summary"]["totals"] == {"tokens": 18} and doc["summary"]["models"] == []
     assert [(a["source_id"], a["account_id"], a.get("current_auth_account_id")) for a in doc["summary"]["accounts"]] == [("source-1", "unattributed", "current-auth-1"), ("unknown-source", "account-1", None), ("source-2", "account-1", None)]
+
+
+def test_boundaries_from_the_end_read_little(spark, tmp_path):
+    from meterline.sources import transcripts as T
+    from meterline.sources.refresh import materialised
+
+    from .test_transcripts import CREATED, header, task
+
+    old = [header("p"), *[x for i in range(400) for x in (task(CREATED - 900 + i), total(i, 0, i, 0))]]
+    own = [x for i in range(6) for x in (task(CREATED + 5 + i), total(900 + i, 0, 900, 0))]
+    put(tmp_path / "own.jsonl", [*old, *own])
+    put(tmp_path / "none.jsonl", old)
+    put(tmp_path / "all.jsonl", [header("p"), *own])
+    put(tmp_path / "odd.jsonl", [*old, {"timestamp": "x", "payload": {"type": "task_started"}}, *own])
+    put(tmp_path / "mixed.jsonl", [*old, *own, task(CREATED - 1)])
+    listing = N.file_listing(spark, [str(tmp_path)])
+    lines = B.read_ranges(B.whole_files(listing))
+    forks = T.scan_header(lines).join(listing.select("path", "size"), "path").select("path", "size", "header_id", "created")
+    meter = spark.sparkContext.accumulator(0)
+    got = {r.path.rsplit("/", 1)[1]: (r.boundary, r.own_start) for r in T.boundaries_from_end(forks, materialised, 500, meter).collect()}
+    start = lines.where("path like '%own.jsonl' and value like '%task_started%'").orderBy("byte_offset").collect()[400].byte_offset
+    assert got["own.jsonl"] == ("found", start) and got["none.jsonl"] == ("none", None)
+    assert got["all.jsonl"][0] == "found" and got["odd.jsonl"] == ("ambiguous", None)
+    assert got["mixed.jsonl"] == ("ambiguous", None)
+    assert meter.value < 0.2 * sum(f.stat().st_size for f in tmp_path.iterdir())
