@@ -5,8 +5,8 @@ written as Arrow files, each a run of ascending keys with the full strings besid
 memory-map the files, probe the keys with a vectorised binary search and confirm the full string of
 every hit, so that colliding keys do no harm.
 
-A url asks for each suffix of its host joined with each prefix of its path of a length that some
-entry has; the longest rule that fits decides, else a listed host blocks, else the url is allowed.
+A url asks for each suffix of its host of no more labels than some entry has, joined with each prefix
+of its path of a length that some entry has; the longest rule that fits decides, else a listed host blocks, else the url is allowed.
 Null urls and urls without `://` have an empty host and path and are allowed; repeated rows are
 judged alike; an empty table gives an empty result; other columns are not read.
 """
@@ -19,11 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import filesystem, materialise, open_mapped
+from .common import filesystem, materialise, open_mapped, steps
 
 _HOST = re.compile(r"[^/?#]*")
 _PATH = re.compile(r"[^?#]*")
@@ -73,13 +74,15 @@ def build(entries: DataFrame, folder: str) -> tuple[list[str], list[int]]:
 
 
 class DigestArray:
-    """Memory-mapped digest files."""
+    """Memory-mapped digest files, and the most labels that an entry's host has in them."""
 
     def __init__(self, uris: list[str]):
-        self.parts = []
+        self.parts, self.labels = [], 0
         for uri in uris:
             batches = pa.ipc.open_file(open_mapped(uri)).read_all().combine_chunks()
             self.parts.append((batches["key"].to_numpy(), batches["entry"], batches["says"]))
+            hosts = pc.list_element(pc.split_pattern(batches["entry"], "/", max_splits=1), 0)
+            self.labels = max(self.labels, pc.max(pc.count_substring(hosts, ".")).as_py() + 1)
 
     def look_up(self, wanted: list[str]) -> list[str | None]:
         """What the array says of each string; None for strings it does not hold."""
@@ -102,12 +105,14 @@ def judge(pages: DataFrame, uris: list[str], lengths: list[int], key: str = "pag
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         array = DigestArray(uris)
-        for b in batches:
+        for b in steps(batches, "url"):
             parsed = [host_and_path(u) for u in b.column("url").to_pylist()]
             wanted, of = [], []
             for row, (host, path) in enumerate(parsed):
-                labels = host.split(".") if host else []
-                for i in range(len(labels)):
+                labels = host.rsplit(".", array.labels) if host else []
+                if len(labels) > array.labels:
+                    labels[0] = None  # what stands before the most labels that an entry has
+                for i in range(labels[:1] == [None], len(labels)):
                     suffix = ".".join(labels[i:])
                     asked = [suffix + path[:n] for n in lengths if n <= len(path)]
                     wanted += asked

@@ -137,3 +137,15 @@ def test_empty_list(spark):
     uris, lengths = url_filter.build(spark.createDataFrame([], "entry string, says string"), scratch(spark, "d"))
     pages = spark.createDataFrame([(1, "http://a.org/x")], "page_id bigint, url string")
     assert url_filter.judge(pages, uris, lengths).first().verdict == "allow"
+
+
+def test_long_hosts_and_a_long_list(spark, tmp_path):
+    """A url of a megabyte asks for few strings; a list of a million entries lies in several files."""
+    long = spark.range(1_000_000).selectExpr("concat('h', id, '.', 'x', id % 7, '.org') as entry", "'listed' as says")
+    rules = spark.createDataFrame([("a.b.c.d.net/p", "block")], "entry string, says string")
+    uris, lengths = url_filter.build(long.unionByName(rules), scratch(spark, "d"))
+    assert len(uris) > 1 and url_filter.DigestArray(uris).labels == 5
+    urls = ["http://" + "a." * 500_000 + "b.c.d.net/p", "http://" + "a." * 500_000 + "h7.x0.org/", "http://" + "x" * 1_000_000, "http://h8.x0.org/", "http://q.a.b.c.d.net/p/q", "http://b.c.d.net/p"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").coalesce(1)
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages, uris, lengths).collect()}
+    assert got == {0: ("a.b.c.d.net/p", "block"), 1: (None, "block"), 2: (None, "allow"), 3: (None, "allow"), 4: ("a.b.c.d.net/p", "block"), 5: (None, "allow")}
