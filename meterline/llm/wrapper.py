@@ -2,15 +2,21 @@
 
 The pages of a host are folded into one template tree: simple tree matching (Yang, 1991) aligns a
 page's elements with the template's, elements that match add to its counts and others are inserted
-where they stand.  Neighbours of the same kind (tag, role and class, digits aside) count as one
+where they stand.  Long lists of elements are first aligned at those that both sides have once, with the
+same text.  Neighbours of the same kind (tag, role and class, digits aside) count as one
 repeated slot.  An element whose text never changes is constant and belongs to the template,
 whatever its tag or class; the others are slots whose content is the page's own.  Tasks fold their
-pages, partial templates are merged with the same matching, first by (host, salt) and then by host,
-so that a large host is spread; slots that few pages have are left out of what is passed on.
+pages, partial templates are merged with the same matching, in three steps by ever fewer salts of a
+host, so that a large host is spread.  Slots are counted as in lossy counting (Manku and Motwani, 2002):
+every ten pages those go that fewer than one page in ten since they came may have had, so a template
+holds what a share of pages has, however many slots a page has, and in whatever order pages come.
+Templates look 60 levels deep; an element at that depth is compared whole.
 
 Of the page's own content, the text is that of the `article` elements, else `main`, else the body,
 without menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments that change
-from page to page: no alignment tells these from an article, so tag, role and class words do.
+from page to page: no alignment tells these from an article, so tag, role and class words do.  Within
+`article` and `main` headings, paragraphs, items and cells stay although they are constant, and so do
+constant elements that hold some, unless links make up half of their text.
 Constancy counts only with `least_pages` pages, in most of which the text differs: a host of copies
 has no template.  A repeated slot is never constant in part, so a paragraph shared by pages stays.
 
@@ -25,7 +31,9 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from heapq import merge
 
 import pandas as pd
 import pyarrow as pa
@@ -41,9 +49,12 @@ _NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 _STOP = re.compile(r"[>\"']")
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
-#: Nesting to which templates look into pages, and slots of an element that they tell apart; deeper
-#: or more crowded elements are compared whole.
-_DEEPEST, _WIDEST = 60, 128
+#: Nesting to which templates look into pages; deeper elements are compared whole.
+_DEEPEST = 60
+#: Pairs of elements that are compared with each other; lists of more are cut at anchors first.
+_PAIRS = 1 << 14
+#: Pages after which slots that few have go.
+_BUCKET = 10
 
 # Elements of HTML and what they are for.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -64,6 +75,9 @@ _WORDS = frozenset(
     " notices overlay pager pagination popup promo promotion recommended related replies reply respond search share sharing sidebar"
     " signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+# those that also tell an element's purpose as the first part of a compound
+_FIRST = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs consent cookie cookies disqus gdpr nav navbar newsletter pagination promo sidebar social sponsor sponsored topbar widget".split())
+_PROSE = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd blockquote pre figcaption caption td th".split())
 
 
 class Element:
@@ -181,12 +195,37 @@ def _is_boilerplate(e: Element, inside: bool) -> bool:
     if e.tag in ("html", "body", "main", "article") and not inside or not e.named:
         return False
     for item in re.findall(r"(\w+)=([^=]*)(?= \w+=|$)", e.named):
-        words = set(re.split(r"[^a-z0-9]+", item[1]))
-        if item[0] == "role" and words & _ROLES or item[0] != "role" and words & _WORDS:
+        if item[0] == "role":
+            if set(item[1].split()) & _ROLES:
+                return True
+        elif any(map(_purpose, item[1].split())):
             return True
     return False
 
 
+def _purpose(name: str) -> bool:
+    """Whether an id or a class, whole or by its last part (of some words by the first), names a thing
+    beside the text."""
+    parts = re.findall(r"[a-z]+", name)
+    return bool(parts) and ("".join(parts) in _WORDS or parts[-1] in _WORDS or parts[0] in _FIRST)
+
+
+def _is_prose(e: Element) -> bool:
+    """Whether an element is, or has inside, a heading, paragraph, item or cell, and links and buttons
+    make up less than half of its text."""
+    whole = linked = 0
+    prose, waiting = False, [(e, False)]
+    while waiting:
+        x, inside = waiting.pop()
+        if isinstance(x, str):
+            n = len("".join(x.split()))
+            whole, linked = whole + n, linked + n * inside
+        else:
+            prose |= x.tag in _PROSE
+            waiting += [(k, inside or x.tag in ("a", "button")) for k in x.kids]
+    return prose and 2 * linked < whole
+
+
 def _raw_text(elements: list[Element]) -> str:
     out, waiting = [], list(reversed(elements))
     while waiting:
@@ -199,20 +238,20 @@ def _raw_text(elements: list[Element]) -> str:
 
 
 class Slot:
-    """A template's element: `n` pages have it, its text's hash while constant, and its elements."""
+    """A template's element: `n` pages have it, `late` is how many more may have had it before it was
+    last counted anew, then its text's hash while constant, and its elements."""
 
-    __slots__ = ("kind", "n", "text", "kids", "of")
+    __slots__ = ("kind", "n", "late", "text", "kids", "of")
 
-    def __init__(self, kind: str, n: int, text: int | None, kids: list[Slot], of: list[Element] | None = None):
-        self.kind, self.n, self.text, self.kids, self.of = kind, n, text, kids, of
+    def __init__(self, kind: str, n: int, text: int | None, kids: list[Slot], of: list[Element] | None = None, late: int = 0):
+        self.kind, self.n, self.late, self.text, self.kids, self.of = kind, n, late, text, kids, of
 
-    def packed(self, least: float) -> list:
-        """As lists, without the slots of fewer than `least` pages."""
-        return [self.kind, self.n, self.text, [k.packed(least) for k in self.kids if k.n >= least]]
+    def packed(self) -> list:
+        return [self.kind, self.n, self.late, self.text, [k.packed() for k in self.kids]]
 
     @classmethod
     def unpacked(cls, x: list) -> Slot:
-        return cls(x[0], x[1], x[2], [cls.unpacked(k) for k in x[3]])
+        return cls(x[0], x[1], x[3], [cls.unpacked(k) for k in x[4]], late=x[2])
 
 
 def _shape(elements: list[Element], inside: bool = False, depth: int = 0) -> Slot:
@@ -227,8 +266,7 @@ def _shape(elements: list[Element], inside: bool = False, depth: int = 0) -> Slo
                 runs[-1].append(k)
             else:
                 runs.append([k])
-        if len(runs) <= _WIDEST:
-            kids = [_shape(run, inside, depth + 1) for run in runs]
+        kids = [_shape(run, inside, depth + 1) for run in runs]
     return Slot(first.kind, 1, xxh64_intdigest(_raw_text(elements)), kids, elements)
 
 
@@ -236,6 +274,69 @@ def match(a: list[Slot], b: list[Slot]) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching of two element lists: the matches' number and the aligned pairs."""
     if len(a) == len(b) and all(x.kind == y.kind for x, y in zip(a, b)):
         return sum(1 + match(x.kids, y.kids)[0] for x, y in zip(a, b)), [(i, i) for i in range(len(a))]
+    if len(a) * len(b) <= _PAIRS:
+        return _match_all(a, b)
+    score, pairs, i, j = 0, [], 0, 0
+    for x, y in [*_anchors(a, b), (len(a), len(b))]:
+        left, right = a[i:x], b[j:y]
+        n, between = _match_all(left, right) if len(left) * len(right) <= _PAIRS else _match_in_turn(left, right)
+        score += n
+        pairs += [(i + k, j + m) for k, m in between]
+        if x < len(a):
+            score += 1 + match(a[x].kids, b[y].kids)[0]
+            pairs.append((x, y))
+        i, j = x + 1, y + 1
+    return score, pairs
+
+
+def _anchors(a: list[Slot], b: list[Slot]) -> list[tuple[int, int]]:
+    """Elements of one kind and text that both lists have once, as many as keep their order."""
+    once: list[dict] = []
+    for slots in (a, b):
+        places: dict[tuple, list[int]] = {}
+        for i, s in enumerate(slots):
+            if s.text is not None:
+                places.setdefault((s.kind, s.text), []).append(i)
+        once.append({k: p[0] for k, p in places.items() if len(p) == 1})
+    both = [(i, once[1][k]) for k, i in once[0].items() if k in once[1]]  # in the order of a
+    # the longest run of them that ascends in b, too
+    ends: list[int] = []
+    last: list[int] = []
+    before = [-1] * len(both)
+    for at, (_, j) in enumerate(both):
+        place = bisect_left(ends, j)
+        before[at] = last[place - 1] if place else -1
+        if place == len(ends):
+            ends.append(j)
+            last.append(at)
+        else:
+            ends[place], last[place] = j, at
+    out, at = [], last[-1] if last else -1
+    while at >= 0:
+        out.append(both[at])
+        at = before[at]
+    return out[::-1]
+
+
+def _match_in_turn(a: list[Slot], b: list[Slot]) -> tuple[int, list[tuple[int, int]]]:
+    """Each element of `a` with the next of its kind in `b`, if that passes over no more of `b` than are
+    left of `a`: for long stretches without an anchor."""
+    places: dict[str, list[int]] = {}
+    for j, y in enumerate(b):
+        places.setdefault(y.kind, []).append(j)
+    score, pairs, j = 0, [], 0
+    for i, x in enumerate(a):
+        of = places.get(x.kind, [])
+        k = bisect_left(of, j)
+        if k < len(of) and of[k] - j <= len(a) - i:
+            score += 1 + match(x.kids, b[of[k]].kids)[0]
+            pairs.append((i, of[k]))
+            j = of[k] + 1
+    return score, pairs
+
+
+def _match_all(a: list[Slot], b: list[Slot]) -> tuple[int, list[tuple[int, int]]]:
+    """The best of all alignments, over all pairs of elements."""
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     own: dict[tuple[int, int], int] = {}
     for i, x in enumerate(a, 1):
@@ -259,22 +360,36 @@ def match(a: list[Slot], b: list[Slot]) -> tuple[int, list[tuple[int, int]]]:
 
 def fold(template: Slot, other: Slot) -> None:
     """Add another page or template of the same kind to `template`."""
-    template.n += other.n
-    if template.text != other.text:
-        template.text = None
     pairs = dict((j, i) for i, j in match(template.kids, other.kids)[1])
-    out, at = [], 0
+    missed = template.n // _BUCKET, other.n // _BUCKET  # what either side may have let go of a slot
+    out: list[Slot] = []
+    at, new = 0, []
+
+    def pass_over(upto: int) -> None:
+        """What either side has alone before the next pair, in the order of kinds, so that pages of
+        several layouts give one template in whatever order they come."""
+        old = template.kids[at:upto]
+        for x in old:
+            x.late += missed[1]
+        for x in new:
+            x.late += missed[0]
+        out.extend(merge(old, new, key=lambda x: x.kind))
+
     for j, k in enumerate(other.kids):
         if j in pairs:
-            out += template.kids[at : pairs[j] + 1]
-            at = pairs[j] + 1
+            pass_over(pairs[j])
+            at, new = pairs[j] + 1, []
             fold(template.kids[pairs[j]], k)
+            out.append(template.kids[pairs[j]])
         else:
-            out.append(k)
-    template.kids = out + template.kids[at:]
-    if len(template.kids) > _WIDEST:  # the rarest go
-        least = sorted((k.n for k in template.kids), reverse=True)[_WIDEST]
-        template.kids = [k for k in template.kids if k.n > least]
+            new.append(k)
+    pass_over(len(template.kids))
+    buckets = template.n // _BUCKET, (template.n + other.n) // _BUCKET
+    template.n += other.n
+    template.late += other.late
+    if template.text != other.text:
+        template.text = None
+    template.kids = [k for k in out if k.n + k.late > buckets[1]] if buckets[1] > buckets[0] else out
 
 
 #: Least hashes of a host's page texts that are kept to tell how many of them differ.
@@ -299,9 +414,8 @@ class Template:
         return len(self.least) if len(self.least) < _KEPT else (_KEPT - 1) * 2.0**64 / self.least[-1]
 
     def packed(self) -> str:
-        """As text; slots that are far from constant in ten pages or more are left out, so a template
-        is about as large as a page whatever the number of pages."""
-        return json.dumps([self.least, self.root.packed(0.2 * self.root.n if self.root.n >= 10 else 0)], separators=(",", ":"))
+        """As text, about as large as some pages whatever their number."""
+        return json.dumps([self.least, self.root.packed()], separators=(",", ":"))
 
     @classmethod
     def unpacked(cls, x: str) -> Template:
@@ -362,7 +476,7 @@ def extract(page: str | None, template: Template | None = None, least_pages: int
                 inline.append(k)
             elif k.tag == "br":
                 inline.append(" ")
-            elif not _is_boilerplate(k, inside) and id(k) not in dropped:
+            elif not _is_boilerplate(k, inside) and (id(k) not in dropped or inside and _is_prose(k)):
                 if k.tag in _BLOCKS:
                     flush()
                     waiting.append(None)  # the block's end
@@ -374,8 +488,9 @@ def extract(page: str | None, template: Template | None = None, least_pages: int
 _PARTIAL = "host string, salt bigint, template string"
 
 
-def induce(pages: DataFrame, salts: int = 32) -> DataFrame:
-    """(host, template) of `pages` (host, html)."""
+def induce(pages: DataFrame, salts: int = 1024) -> DataFrame:
+    """(host, template) of `pages` (host, html).  A host's partial templates, one a task, meet by `salts`,
+    then by a thirty-second of them, then all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Template] = {}
@@ -400,15 +515,16 @@ def induce(pages: DataFrame, salts: int = 32) -> DataFrame:
         if held:
             yield send()
 
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+    def joined(rows: pd.DataFrame) -> pd.DataFrame:
         template = Template.unpacked(rows["template"].iloc[0])
         for x in rows["template"].iloc[1:]:
             template.add(Template.unpacked(x))
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "salt": [0], "template": [template.packed()]})
+        return pd.DataFrame({"host": [rows["host"].iloc[0]], "salt": [rows["salt"].iloc[0] % 32], "template": [template.packed()]})
 
     partial = pages.select("host", "html").mapInArrow(run, _PARTIAL)
-    salted = partial.groupBy("host", "salt").applyInPandas(merge, _PARTIAL)
-    return salted.groupBy("host").applyInPandas(merge, _PARTIAL).select("host", "template")
+    for _ in range(2):
+        partial = partial.groupBy("host", "salt").applyInPandas(joined, _PARTIAL)
+    return partial.groupBy("host").applyInPandas(joined, _PARTIAL).select("host", "template")
 
 
 def main_text(pages: DataFrame, least_pages: int = 5, share: float = 0.8) -> DataFrame:

@@ -349,6 +349,60 @@ def test_template_does_not_grow_with_the_pages():
     assert max(sizes[50:]) < 6000 and sizes[-1] < 1.5 * sizes[60]
 
 
+@pytest.mark.parametrize("blocks", [10, 130, 300])
+def test_hosts_with_many_blocks(spark, blocks):
+    """A body of constant blocks of many kinds around the text, in two layouts on one host."""
+
+    def plain(i):
+        name = "uv"[i % 2]
+        menu = "".join(f"<{t} class={name}><i>{name} menu {k}</i></{t}>" for k in range(blocks) for t in [("div", "section")[k % 2]])
+        return f"<html><body>{menu}<table><tr><td>{prose(i, 30)}</td></tr></table><ul><li>foot</li></ul></body></html>"
+
+    rows = [(i, "http://many.org/", plain(i)) for i in range(24)]
+    got = {r.page_id: r.text for r in wrapper.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3), share=0.4).collect()}
+    assert all(got[i] == prose(i, 30) for i in range(24))
+    assert all("menu 0" in wrapper.extract(plain(i)) and "foot" in wrapper.extract(plain(i)) for i in range(2))  # templates decide
+
+
+def test_constant_parts_of_an_article_stay(spark):
+    def plain(i):
+        return (
+            f"<body><article><h1>Title {i}</h1><div><h2>Introduction</h2></div><p>{prose(i, 20)}</p><h2>Method</h2><p class='search-engines'>engines {i}</p>"
+            f"<p>Thanks to all.</p><div><p><a>Share this</a></p></div></article><div class='site-footer'>imprint {i}</div></body>"
+        )
+
+    rows = [(i, "http://heads.org/", plain(i)) for i in range(12)]
+    got = {r.page_id: r.text for r in wrapper.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i}\n\nIntroduction\n\n{prose(i, 20)}\n\nMethod\n\nengines {i}\n\nThanks to all." for i in range(12))
+
+
+def test_a_slot_that_comes_late_is_counted():
+    """In whatever order: a block of most pages is constant although the first pages lack it."""
+    pages = [f"<body>{'<div>menu</div>' * (i >= 20)}<p>text {i}</p><ul><li>{i}</li></ul></body>" for i in range(120)]
+    held = wrapper.Template.of_page(pages[0])
+    for x in pages[1:]:
+        held.add(wrapper.Template.of_page(x))
+    held = wrapper.Template.unpacked(held.packed())
+    assert wrapper.extract(pages[50], held) == "text 50\n\n50" and "menu" in wrapper.extract(pages[50])
+
+
+def test_anchors_and_alignment_in_turn():
+    def slots(kinds, texts):
+        return [wrapper.Slot(k, 1, t, []) for k, t in zip(kinds, texts)]
+
+    n = 400
+    a = slots(["p", "div"] * (n // 2), range(n))
+    b = slots(["p", "div"] * (n // 2) + ["ul"], [*range(3, n), *[None] * 4])
+    assert len(a) * len(b) > wrapper._PAIRS
+    score, pairs = wrapper.match(a, b)
+    assert wrapper._anchors(a, b)[:2] == [] or all(a[i].text == b[j].text for i, j in wrapper._anchors(a, b))
+    assert score == len(pairs) > n * 0.9 and all(x < y and u < v for (x, u), (y, v) in zip(pairs, pairs[1:]))
+    plain = slots(["p", "div"] * (n // 2), [None] * n)
+    more = slots(["ul", *["p", "div"] * (n // 2)], [None] * (n + 1))
+    score, pairs = wrapper.match(plain, more)
+    assert score == n and pairs[0] == (0, 1)
+
+
 def test_tree_matching():
     def tree(x):
         return wrapper.Slot(x[0], 1, None, [tree(k) for k in x[1:]])
