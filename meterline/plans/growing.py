@@ -20,6 +20,7 @@ from ..sources import lines as N
 from ..sources import refresh as R
 from ..sources import transcripts as T
 from ..sources.scratch import working_folder
+from ..streaming import streams
 from . import views as W
 from .queries import query
 
@@ -145,6 +146,28 @@ def stream_growing_lines(spark, sf):
     return spark.read.schema(B.LINES).parquet(out).select(_file().alias("file"), parts[1].cast("long").alias("conv_id"), parts[2].cast("long").alias("turn"), "byte_offset")
 
 
+_LIVE = f"""
+turns AS (SELECT conv_id, turn, coalesce(length(text), 0) AS n, conv_id // {_EACH} AS file FROM conversations),
+cum AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn) AS total FROM turns WHERE file % 7 <> 6),
+water AS (SELECT *, max(total) OVER (PARTITION BY file ORDER BY conv_id, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hw FROM cum)
+SELECT file, 'm' || ((conv_id + turn) % 3) AS model, strftime(TIMESTAMP '2024-01-01' + to_seconds(conv_id * 3600 + turn * 60), '%Y-%m-%d %H:%M:%S') AS at,
+  CAST(greatest(0, (total - coalesce(hw, 0)) - (total // 2 - coalesce(hw, 0) // 2)) AS BIGINT) AS input, CAST((total - coalesce(hw, 0)) * 3 AS BIGINT) AS output FROM water WHERE total > coalesce(hw, 0)"""
+
+
+@query(f"WITH {_LIVE}")
+def stream_live_ledger(spark, sf):
+    """Transcripts that grow, as a stream of requests upserted into a bucketed ledger: two runs of the
+    query over an earlier and a later state of the files."""
+    folder, state = working_folder(spark, "live-in"), working_folder(spark, "live-state")
+    store = R.LedgerStore(spark, working_folder(spark, "live"), buckets=8)
+    for later in (False, True):
+        turns = _turns(spark, sf, later).where("kind <> 6")
+        _write(_counter_lines(turns, later).where("turn >= 0"), _ORDER, folder)
+        rows = streams.live_ledger(B.stream_growing(spark, [folder]), "live")
+        streams.upsert_buckets(rows, store, "ledger", state).awaitTermination()
+    return store.ledger.read().select(_file("source_path").alias("file"), "model", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "input", "output")
+
+
 # ---------------------------------------------------------------------- both providers
 
 

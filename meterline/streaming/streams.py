@@ -16,17 +16,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..functions.usage import total_tokens
+from ..functions.usage import event_id, total_tokens
 from ..operators import counter
 from ..schema import COUNTERS
 from ..sources.buckets import BucketStore
 from ..sources.store import VersionedLedger, filtered
+from ..sources.transcripts import as_ledger, scan_counter
 
 _TOTALS = list(counter.TOTALS)
 _KEY = [*counter.TOTALS, *counter.LASTS]
 _WATER = [f"hw_{c}" for c in COUNTERS]
 CLASSIFIED = (
-    "path string, byte_offset bigint, active_model string, is_snapshot boolean, "
+    "path string, byte_offset bigint, at bigint, active_model string, is_snapshot boolean, "
     + ", ".join(f"{c} bigint" for c in _TOTALS)
     + ", accepted boolean, decreased boolean, explicit boolean, status string, "
     + ", ".join(f"use_{c} bigint" for c in COUNTERS)
@@ -103,7 +104,8 @@ def _classified(path, snapshots: pd.DataFrame, keys: np.ndarray, water: np.ndarr
     use = np.where((first & forked & ~stated)[:, None], 0, np.where(explicit[:, None], fenced, limit))
     known, own = keys[_last_accepted(keys, water)[:-1]], keys[1:]
     same = ((known == own) | (np.isnan(known) & np.isnan(own))).all(axis=1)
-    out = pd.DataFrame({"path": path, "byte_offset": snapshots["byte_offset"].to_numpy(), "active_model": snapshots["active_model"].to_numpy(), "is_snapshot": True}, index=range(len(now)))
+    at = snapshots["at"].astype("Int64") if "at" in snapshots else pd.Series([pd.NA] * len(now), dtype="Int64")
+    out = pd.DataFrame({"path": path, "byte_offset": snapshots["byte_offset"].to_numpy(), "at": at.to_numpy(), "active_model": snapshots["active_model"].to_numpy(), "is_snapshot": True}, index=range(len(now)))
     out[_TOTALS] = now
     out["accepted"], out["decreased"] = accepted, (now < before).any(axis=1)
     out["explicit"], out["status"] = explicit, np.select([accepted, same], ["accepted", "duplicate"], "stale")
@@ -112,8 +114,8 @@ def _classified(path, snapshots: pd.DataFrame, keys: np.ndarray, water: np.ndarr
 
 
 def classified(rows: DataFrame) -> DataFrame:
-    """Streaming rows (path, byte_offset, model, tot_*, and where there are any last_* and forked)
-    as classified snapshots: the columns that `counter.requests`, `counter.long_context` and
+    """Streaming rows (path, byte_offset, model, tot_*, and where there are any last_*, forked and `at`,
+    an instant in microseconds that is passed on) as classified snapshots: the columns that `counter.requests`, `counter.long_context` and
     `counter.diagnostics` read.
 
     Only new rows are handled, in offset order inside a batch; a batch must not hold rows before
@@ -131,6 +133,31 @@ def counter_deltas(rows: DataFrame) -> DataFrame:
     return counter.requests(classified(rows)).select("path", "byte_offset", F.col("active_model").alias("model"), *COUNTERS)
 
 
+def live_ledger(lines: DataFrame, source_id: str) -> DataFrame:
+    """Ledger rows of counter transcripts as they grow: streaming lines (path, byte_offset, value, of
+    `byte_ranges.stream_growing`) to requests, by each transcript's state.
+
+    A session is named by its file; forks' inherited parts are not told apart, nor long contexts, so the
+    rows are those of files without a header, until a refresh puts its own in their place (their ids are
+    the same).
+    """
+    used = counter.requests(classified(scan_counter(lines).withColumn("at", F.unix_micros("ts")).drop("ts", "ended")))
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    rows = used.select(
+        event_id(F.lit("counter"), F.lit(source_id), F.col("path"), F.col("byte_offset").cast("string")).alias("id"),
+        F.lit("counter").alias("provider"),
+        F.lit(source_id).alias("source_id"),
+        name.alias("session_id"),
+        F.timestamp_micros("at").alias("ts"),
+        F.col("active_model").alias("model"),
+        F.col("path").alias("source_path"),
+        "byte_offset",
+        F.lit(False).alias("is_subagent"),
+        *COUNTERS,
+    )
+    return as_ledger(rows)
+
+
 def upsert(rows: DataFrame, ledger: VersionedLedger, checkpoint: str) -> StreamingQuery:
     """Keep the latest row of each id across micro-batches; a batch that runs again changes nothing."""
 
