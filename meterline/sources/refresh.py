@@ -15,7 +15,9 @@ it again.  A source of which no folder is there keeps all it has.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +27,7 @@ from pyspark.sql import types as T
 from ..operators import counter as C
 from ..operators.attribution import enrich_threads, reattribute
 from ..operators.dedup import latest
-from ..schema import LEDGER
+from ..schema import LEDGER, PROVIDERS
 from .buckets import BucketStore, exists
 from .byte_ranges import guards, read_ranges
 from .lines import file_listing
@@ -145,8 +147,8 @@ def plan(store: LedgerStore, listing: DataFrame, listed: list[str], full: bool =
     return materialised(planned.select(*shown), "plan")
 
 
-def scan(planned: DataFrame, threads: DataFrame, thresholds: DataFrame, accounts: DataFrame | None = None, meter=None) -> tuple[DataFrame, DataFrame]:
-    """Both providers' ledger rows of the bytes to be read, and a row a file: parsed_offset, valid,
+def scan(planned: DataFrame, threads: DataFrame, thresholds: DataFrame, accounts: DataFrame | None = None, meter=None, providers: set[str] = frozenset(PROVIDERS)) -> tuple[DataFrame, DataFrame]:
+    """The providers' ledger rows of the bytes to be read, and a row a file: parsed_offset, valid,
     inherited, forked and saved.  Every byte is read once; lines that matter stay as written files
     for the passes over them."""
     reading = planned.where(F.col("kind").isin("new", "changed", "appended"))
@@ -159,9 +161,13 @@ def scan(planned: DataFrame, threads: DataFrame, thresholds: DataFrame, accounts
     ends = lines.groupBy("source_id", "path").agg(F.max("end").alias("_end"), F.min("valid").alias("valid"))
 
     held = lines.where("value is not null").drop("end", "valid")
-    messages = message_events(held.where("provider = 'message'"), F.col("source_id"), accounts)
+    rows = [message_events(held.where("provider = 'message'"), F.col("source_id"), accounts)] if "message" in providers else []
     states = reading.where("kind = 'appended' and provider = 'counter' and saved is not null").select("path", F.col("start").alias("cursor"), "saved")
-    counters, files = counter_events(held.where("provider = 'counter'"), F.col("source_id"), threads, thresholds, states, materialised)
+    if "counter" in providers:
+        counters, files = counter_events(held.where("provider = 'counter'"), F.col("source_id"), threads, thresholds, states, materialised)
+        rows.append(counters)
+    else:
+        files = reading.sparkSession.createDataFrame([], T.StructType([T.StructField("path", _text), T.StructField("source_id", _text), T.StructField("inherited", _long), T.StructField("saved", STATE)]))
     state = files.select("path", "source_id", "inherited", (F.col("inherited") > 0).alias("forked"), F.col("saved").alias("_saved"))
     per_file = reading.join(ends, ["source_id", "path"], "left").join(state, ["source_id", "path"], "left")
     per_file = per_file.select(
@@ -172,7 +178,7 @@ def scan(planned: DataFrame, threads: DataFrame, thresholds: DataFrame, accounts
         F.coalesce("forked", F.lit(False)).alias("forked"),
         F.coalesce("_saved", "saved").alias("saved"),
     )
-    return messages.unionByName(counters), per_file
+    return reduce(DataFrame.unionByName, rows), per_file
 
 
 def refresh(
@@ -195,11 +201,16 @@ def refresh(
     line_bytes, guard_bytes = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
     listing, missing, listed = _listed(spark, sources, pattern)
     planned = plan(store, listing, listed, full, guard_bytes)
-    kinds = {r.kind: r["count"] for r in planned.groupBy("kind").count().collect()}
+    found = planned.groupBy("kind", "provider").count().collect()
+    kinds = Counter()
+    for r in found:
+        kinds[r.kind] += r["count"]
     touched = planned.where("kind <> 'unchanged'")
     failed = 0
     if kinds.keys() - {"unchanged"}:
-        rows, per_file = scan(planned, threads, thresholds, accounts, line_bytes)
+        # where files have only gone, either provider's empty scan will do
+        providers = {r.provider for r in found if r.kind in ("new", "changed", "appended")} or {"message"}
+        rows, per_file = scan(planned, threads, thresholds, accounts, line_bytes, providers)
         per_file = materialised(per_file, "files")
         failed = per_file.where("not valid").count()
         paths = touched.select("source_id", F.col("path").alias("source_path"), "path", "kind", "start")
