@@ -3,18 +3,21 @@
 A window is `window` consecutive words.  Its anchor is the least hash of its `gram`-word grams, so
 equal windows have equal anchors (winnowing), and neighbouring windows mostly share one.
 
-1. Seed: documents are joined on their anchors; anchors of one document only drop out.
-2. Extend: around each seed, a document's match is grown to both sides as far as windows have the
-   seed's anchor.  The matches are not grown pair by pair: which earlier document a window matches
-   differs from window to window, and the least document with an anchor need not hold the whole
-   window, so an exact answer from pairs would take all pairs of the documents with an anchor.
-   Instead each of the at most nine windows around a seed is compared, by a 64-bit hash of all its
-   words, with those of all documents at once.
-3. A window that starts in a document of a smaller id is removed; runs of removed windows form the
-   maximal repeats.
-
-Each step is a grouped minimum (combined before the shuffle) and an equi-join that Spark can split
-where a key is hot; no step pairs the documents of a group, so a passage costs a row a document.
+1. Seed: documents are joined on their anchors; anchors of one document only drop out.  The least
+   document with an anchor need not hold the whole window, so the windows around shared anchors
+   choose by a 64-bit hash the least document that has them, and a place in it.  A document thus
+   meets one partner a window, never all documents with the anchor.  Windows of one pair on one
+   diagonal and in one block of the partner are one seed.
+2. Extend: the partner's block (`_BLOCK` words and as many as a window needs beyond) goes to the
+   document, and both are compared word by word along the diagonal, to both sides of the seed.
+   Runs of `window` or more equal words are matches; equal hashes of different words give none.
+3. Matches of neighbouring blocks join to one.  A match ends where the words differ, or at a block
+   from which on all windows have another (smaller) partner.  Words in matches are removed; joined
+   over all partners they are the maximal repeats.
+
+Each grouping is combined before its shuffle, and each join is an equi-join that Spark can split
+where a key is hot; no step pairs the documents of a group, so a passage costs a row a document and
+block.  A document's seeds and blocks are bounded by its own windows.
 
 Null and empty texts have no words; texts under `window` words keep all; equal windows inside one
 document, or in rows of the same id, remove nothing from each other; rows with a null id keep all;
@@ -23,16 +26,19 @@ an empty table gives an empty result; other columns of the input are not read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, encode_words, hash_words, materialise, steps
 
+#: Window starts in a block of the partner.
+_BLOCK = 32
+
 _POWER = 0x9E3779B97F4A7C15
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
@@ -104,77 +110,161 @@ def _shared(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select(key, "least")
 
 
-def repeats(docs: DataFrame, window: int = 13, gram: int = 5) -> DataFrame:
-    """(doc_id, windows): the hashes of the windows to remove from each document that has any."""
+def _gathered(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """The same rows in fewer batches."""
+    held, rows = [], 0
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows > most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def seeds(docs: DataFrame, window: int = 13, gram: int = 5) -> DataFrame:
+    """(doc_id, source, block, shift): a row a document, least document with some of its windows,
+    block of that one's words and diagonal (place in doc_id less place in source)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     anchors = materialise(_anchors(docs, window, gram), "anchors")
     seeded = anchors.join(_shared(anchors, "anchor"), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("seeds"))
     seeded = materialise(seeded, "seeds")
     discard(anchors)
 
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
             w = Windows(b.column("text"), window, gram)
             for i in range(b.num_rows):
                 own = w.of_row(i)
-                content = w.content[own][np.isin(w.anchor[own], b.column("seeds")[i].values.to_numpy())]
-                if len(content):
-                    content = np.unique(content)
-                    yield pa.RecordBatch.from_arrays([pa.array(content), b.column("doc_id").take(pa.array(np.full(len(content), i)))], ["content", "doc_id"])
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for b in extend(batches):
-            held.append(b)
-            rows += b.num_rows
-            if rows > 1 << 18:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, rows = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                near = np.isin(w.anchor[own], b.column("seeds")[i].values.to_numpy())
+                if near.any():
+                    at = (w.at[own][near] - w.offsets[i]).astype(np.int32)
+                    ids = b.column("doc_id").take(pa.array(np.full(len(at), i)))
+                    yield pa.RecordBatch.from_arrays([pa.array(w.content[own][near]), ids, pa.array(at)], ["content", "doc_id", "at"])
+
+    near = _docs(docs).join(seeded, "doc_id").select("doc_id", "text", "seeds")
+    near = near.mapInArrow(lambda batches: _gathered(around(batches)), f"content bigint, doc_id {kind}, at int")
+    near = materialise(near, "windows")
+    least = near.groupBy("content").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("most"), F.min_by("at", "doc_id").alias("place"))
+    met = near.join(least.where("source < most").drop("most"), "content").where("doc_id > source")
+    pairs = met.selectExpr("doc_id", "source", f"CAST(place div {_BLOCK} AS INT) AS block", "at - place AS shift").distinct()
+    pairs = materialise(pairs, "pairs")
+    discard(seeded, near)
+    return pairs
+
+
+def _blocks(docs: DataFrame, pairs: DataFrame, window: int) -> DataFrame:
+    """(source, block, words): the words of the blocks in which pairs have a seed."""
+    width = _BLOCK + window - 1
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in steps(batches):
+            out = [], [], []
+            for i, (text, blocks) in enumerate(zip(b.column("text"), b.column("blocks").to_pylist())):
+                words = (text.as_py() or "").encode().split()
+                for k in blocks:
+                    part = words[k * _BLOCK : k * _BLOCK + width]
+                    if len(part) >= window:
+                        for column, value in zip(out, (i, k, b" ".join(part).decode())):
+                            column.append(value)
+            row, block, words = out
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(block, pa.int32()), pa.array(words, pa.string())], ["source", "block", "words"])
 
-    grown = _docs(docs).join(seeded, "doc_id").select("doc_id", "text", "seeds").mapInArrow(joined, f"content bigint, doc_id {kind}")
-    grown = materialise(grown, "windows")
-    removed = grown.join(_shared(grown, "content"), "content").where("doc_id > least").groupBy("doc_id").agg(F.collect_set("content").alias("windows"))
-    removed = materialise(removed, "removed")
-    discard(seeded, grown)
-    return removed
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    wanted = pairs.groupBy(F.col("source").alias("doc_id")).agg(F.collect_set("block").alias("blocks"))
+    found = _docs(docs).join(wanted, "doc_id").select("doc_id", "text", "blocks")
+    # rows of one id may have the same block
+    return found.mapInArrow(cut, f"source {kind}, block int, words string").distinct()
+
+
+def extend(texts: pa.Array, owner: np.ndarray, block: np.ndarray, shift: np.ndarray, words: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seeds compared word by word with their texts, along their diagonals.
+
+    Seed k is of text `owner[k]`.  Returns, for every `window` words that are equal, the seed and the
+    place in its text where they start, and the texts' lengths in words.
+    """
+    _, index, offsets = encode_words(pa.concat_arrays([texts, words]))
+    n = len(texts)
+    step = np.arange(_BLOCK + window - 1)
+    size = np.diff(offsets)
+    at = (block.astype(np.int64) * _BLOCK + shift)[:, None] + step
+    inside = (step < size[n:][:, None]) & (at >= 0) & (at < size[:n][owner][:, None])
+    row, k = np.nonzero(inside)
+    equal = np.zeros(inside.shape, bool)
+    equal[row, k] = index[offsets[:n][owner][row] + at[row, k]] == index[offsets[n:-1][row] + k]
+    full = equal[:, :_BLOCK].copy()
+    for j in range(1, window):
+        full &= equal[:, j : j + _BLOCK]
+    seed, k = np.nonzero(full)
+    return seed, at[seed, k], size[:n]
+
+
+def _joined(seed: np.ndarray, at: np.ndarray, owner: np.ndarray, source: np.ndarray, shift: np.ndarray, window: int) -> np.ndarray:
+    """Equal windows as matches: rows of (owner, source, start, end, start in source)."""
+    if not len(seed):
+        return np.empty((0, 5), np.int64)
+    rows = np.unique(np.stack([owner[seed], source[seed], shift[seed], at], axis=1), axis=0)
+    same = (rows[1:, :3] == rows[:-1, :3]).all(axis=1) & (rows[1:, 3] == rows[:-1, 3] + 1)
+    first = np.flatnonzero(np.concatenate(([True], ~same)))
+    last = np.append(first[1:], len(rows)) - 1
+    start = rows[first, 3]
+    return np.stack([rows[first, 0], rows[first, 1], start, rows[last, 3] + window, start - rows[first, 2]], axis=1)
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 5) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept, spans) for every row of `docs` (doc_id, text).
+    """(doc_id, n_words, n_removed, kept, spans, matches) for every row of `docs` (doc_id, text).
 
     kept: the kept words joined by one space; spans: the maximal repeats taken out, as (start, end)
-    in words, end exclusive.
+    in words, end exclusive; matches: the matches behind them, with the other document (source) and
+    the place of their first word there.
     """
-    removed = repeats(docs, window, gram)
-    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    pairs = seeds(docs, window, gram)
+    blocks = materialise(_blocks(docs, pairs, window), "blocks")
+    parts = pairs.join(blocks, ["source", "block"]).groupBy("doc_id").agg(F.collect_list(F.struct("source", "block", "shift", "words")).alias("parts"))
+    parts = materialise(parts, "parts")
+    discard(pairs, blocks)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
-            texts, out = b.column("text"), [None] * b.num_rows
-            hit = [i for i, held in enumerate(b.column("windows").is_valid().to_pylist()) if held]
-            w = Windows(texts.take(pa.array(hit, pa.int64())), window, gram) if hit else None
-            for k, i in enumerate(hit):
-                own = w.of_row(k)
-                first, n = w.offsets[k], w.offsets[k + 1] - w.offsets[k]
-                starts = w.at[own][np.isin(w.content[own], b.column("windows")[i].values.to_numpy())] - first
-                edge = np.zeros(n + 1, np.int64)
-                np.add.at(edge, starts, 1)
-                np.add.at(edge, starts + window, -1)
-                covered = np.cumsum(edge[:-1]) > 0
-                turns = np.flatnonzero(np.diff(np.concatenate(([0], covered, [0])).astype(np.int8)))
-                words = texts[i].as_py().encode().split()
-                spans = [{"start": s, "end": e} for s, e in turns.reshape(-1, 2).tolist()]
-                out[i] = (int(n), int(covered.sum()), b" ".join([x for x, gone in zip(words, covered.tolist()) if not gone]).decode(), spans)
+            texts, ids, lists = b.column("text"), b.column("doc_id"), b.column("parts")
+            hit = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))
+            out: list = [None] * b.num_rows
+            source_type = ids.type
+            if len(hit):
+                held = lists.take(pa.array(hit))
+                owner = pc.list_parent_indices(held).to_numpy()
+                flat = pc.list_flatten(held)
+                source, block, shift, words = (pc.struct_field(flat, c) for c in ("source", "block", "shift", "words"))
+                named = source.dictionary_encode()
+                block, shift = block.to_numpy(), shift.to_numpy().astype(np.int64)
+                mine = texts.take(pa.array(hit))
+                seed, at, size = extend(mine, owner, block, shift, words, window)
+                found = _joined(seed, at, owner, named.indices.to_numpy().astype(np.int64), shift, window)
+                of = np.searchsorted(found[:, 0], np.arange(len(hit) + 1))
+                names = named.dictionary.to_pylist()
+                for k, i in enumerate(hit.tolist()):
+                    matches, n = found[of[k] : of[k + 1]], int(size[k])
+                    edge = np.zeros(n + 1, np.int64)
+                    np.add.at(edge, matches[:, 2], 1)
+                    np.add.at(edge, matches[:, 3], -1)
+                    covered = np.cumsum(edge[:-1]) > 0
+                    turns = np.flatnonzero(np.diff(np.concatenate(([0], covered, [0])).astype(np.int8)))
+                    own = (mine[k].as_py() or "").encode().split()
+                    spans = [{"start": s, "end": e} for s, e in turns.reshape(-1, 2).tolist()]
+                    listed = [{"start": s, "end": e, "source": names[x], "source_start": p} for _, x, s, e, p in matches.tolist()]
+                    out[i] = (n, int(covered.sum()), b" ".join([x for x, gone in zip(own, covered.tolist()) if not gone]).decode(), spans, listed)
             for i, done in enumerate(out):
                 if done is None:
-                    words = (texts[i].as_py() or "").encode().split()
-                    out[i] = (len(words), 0, b" ".join(words).decode(), [])
-            n, gone, kept, spans = zip(*out)
-            columns = [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, spans_type)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "n_words", "n_removed", "kept", "spans"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = _docs(docs).join(removed, "doc_id", "left").select("doc_id", "text", "windows")
-    return rows.mapInArrow(cut, f"doc_id {kind}, n_words bigint, n_removed bigint, kept string, spans array<struct<start:bigint,end:bigint>>")
+                    own = (texts[i].as_py() or "").encode().split()
+                    out[i] = (len(own), 0, b" ".join(own).decode(), [], [])
+            n, gone, kept, spans, matches = zip(*out)
+            span = [("start", pa.int64()), ("end", pa.int64())]
+            types = pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct(span)), pa.list_(pa.struct([*span, ("source", source_type), ("source_start", pa.int64())]))
+            columns = [pa.array(c, t) for c, t in zip((n, gone, kept, spans, matches), types)]
+            yield pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", "n_words", "n_removed", "kept", "spans", "matches"])
+
+    rows = _docs(docs).join(parts, "doc_id", "left").select("doc_id", "text", "parts")
+    span = "start:bigint,end:bigint"
+    return rows.mapInArrow(cut, f"doc_id {kind}, n_words bigint, n_removed bigint, kept string, spans array<struct<{span}>>, matches array<struct<{span},source:{kind},source_start:bigint>>")

@@ -135,6 +135,30 @@ def test_repeats_equal_brute_force(spark, docs, crowded, empty):
     assert spans and all(sum(s.end - s.start for s in r.spans) == r.n_removed and all(s.end - s.start >= 13 for s in r.spans) for r in spans)
 
 
+def test_matches_name_the_least_document_and_the_place_there(spark):
+    passage = prose(60, 40)
+    rows = [(1, prose(61, 200)), (2, prose(62, 33) + " " + passage + " " + prose(63, 70)), (3, "x " + passage), (4, passage + " y " + passage), (5, passage.replace(" ", "\n", 3))]
+    got = {r.doc_id: r for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1].matches == got[2].matches == []
+    assert [tuple(m) for m in got[3].matches] == [(1, 41, 2, 33)]
+    assert [tuple(m) for m in got[4].matches] == [(0, 40, 2, 33), (41, 81, 2, 33)]
+    assert [tuple(m) for m in got[5].matches] == [(0, 40, 2, 33)]
+    assert got[3].kept == "x" and got[4].kept == "y" and got[5].kept == ""
+
+
+def test_seeds_of_different_words_match_nothing():
+    """What equal hashes of different words would give: the words decide."""
+    import pyarrow as pa
+
+    text, other = prose(70, 30), prose(71, 30)
+    zero, one = np.array([0]), np.array([1])
+    for words, found in ((other, 0), (" ".join(text.split()[:12]), 0), (text, 18)):
+        seed, at, size = repeats.extend(pa.array([text]), zero, zero, one, pa.array([words]), 13)
+        assert (len(seed), size.tolist()) == (0, [30])  # one word beside the diagonal
+        seed, at, size = repeats.extend(pa.array([text]), zero, zero, zero, pa.array([words]), 13)
+        assert at.tolist() == list(range(found))
+
+
 # quality
 
 
