@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, encode_words, hash_words, materialise, steps
+from .common import discard, encode_words, materialise, steps
 
 #: Window starts in a block of the partner.
 _BLOCK = 32
@@ -49,6 +49,23 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def _word_hashes(distinct: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word's bytes: its lanes of eight bytes, mixed by their place, and its length."""
+    distinct = distinct.cast(pa.large_binary())
+    bounds = np.frombuffer(distinct.buffers()[1], np.int64)[distinct.offset : distinct.offset + len(distinct) + 1]
+    size = np.diff(bounds)
+    if not len(size):
+        return np.empty(0, np.uint64)
+    data = np.frombuffer(distinct.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+    lanes = -(-size // 8)
+    first = np.cumsum(lanes) - lanes
+    filled = np.zeros(int(lanes.sum()) * 8, np.uint8)
+    filled[np.arange(len(data)) + np.repeat(first * 8 - (bounds[:-1] - bounds[0]), size)] = data
+    place = np.arange(len(filled) // 8) - np.repeat(first, lanes)
+    mixed = _mixed(filled.view(np.uint64) ^ _mixed((place.astype(np.uint64) + np.uint64(1)) * np.uint64(_POWER)))
+    return _mixed(np.add.reduceat(mixed, first) + size.astype(np.uint64) * np.uint64(_POWER))
+
+
 def _gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """A hash of every n consecutive words."""
     k = len(words) - n + 1
@@ -66,11 +83,12 @@ def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
 
 
 class Windows:
-    """Windows of a batch of texts: their anchors, hashes and rows."""
+    """Windows of a batch of texts: their anchors, places and rows."""
 
     def __init__(self, text: pa.Array, window: int, gram: int):
         distinct, index, self.offsets = encode_words(text)
-        words = hash_words(distinct)[index]
+        self.words = words = _word_hashes(distinct)[index]
+        self.window = window
         n = np.diff(self.offsets)
         k = max(0, len(words) - window + 1)
         self.start = np.zeros(len(words), bool)  # of words that start a window of one text
@@ -81,12 +99,19 @@ class Windows:
         self.row, self.at = row[at], at
         if len(at):
             self.anchor = _sliding_min(_gram_hashes(words, gram), window - gram + 1)[at].view(np.int64)
-            self.content = _gram_hashes(words, window)[at].view(np.int64)
         else:
-            self.anchor = self.content = np.empty(0, np.int64)
+            self.anchor = np.empty(0, np.int64)
+        # the first window of every run of one row with one anchor
+        self.first = np.ones(len(at), bool)
+        self.first[1:] = (self.anchor[1:] != self.anchor[:-1]) | (self.row[1:] != self.row[:-1])
 
-    def of_row(self, i: int) -> slice:
-        return slice(*np.searchsorted(self.row, [i, i + 1]))
+    def around(self, seeds: np.ndarray) -> np.ndarray:
+        """The windows whose anchor is among `seeds`."""
+        return np.flatnonzero(np.isin(self.anchor[self.first], seeds)[np.cumsum(self.first) - 1])
+
+    def content(self, which: np.ndarray) -> np.ndarray:
+        """Hashes of all words of windows."""
+        return _gram_hashes(self.words, self.window)[self.at[which]].view(np.int64)
 
 
 def _docs(docs: DataFrame) -> DataFrame:
@@ -98,8 +123,7 @@ def _anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
         for b in steps(batches):
             w = Windows(b.column("text"), window, gram)
             if len(w.anchor):
-                new = np.concatenate(([True], (w.anchor[1:] != w.anchor[:-1]) | (w.row[1:] != w.row[:-1])))
-                yield pa.RecordBatch.from_arrays([pa.array(w.anchor[new]), b.column("doc_id").take(pa.array(w.row[new]))], ["anchor", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(w.anchor[w.first]), b.column("doc_id").take(pa.array(w.row[w.first]))], ["anchor", "doc_id"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return _docs(docs).where("doc_id is not null").mapInArrow(run, f"anchor bigint, doc_id {kind}")
@@ -110,19 +134,6 @@ def _shared(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select(key, "least")
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    """The same rows in fewer batches."""
-    held, rows = [], 0
-    for b in batches:
-        held.append(b)
-        rows += b.num_rows
-        if rows > most:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held, rows = [], 0
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-
 def seeds(docs: DataFrame, window: int = 13, gram: int = 5) -> DataFrame:
     """(doc_id, source, block, shift): a row a document, least document with some of its windows,
     block of that one's words and diagonal (place in doc_id less place in source)."""
@@ -135,16 +146,15 @@ def seeds(docs: DataFrame, window: int = 13, gram: int = 5) -> DataFrame:
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
             w = Windows(b.column("text"), window, gram)
-            for i in range(b.num_rows):
-                own = w.of_row(i)
-                near = np.isin(w.anchor[own], b.column("seeds")[i].values.to_numpy())
-                if near.any():
-                    at = (w.at[own][near] - w.offsets[i]).astype(np.int32)
-                    ids = b.column("doc_id").take(pa.array(np.full(len(at), i)))
-                    yield pa.RecordBatch.from_arrays([pa.array(w.content[own][near]), ids, pa.array(at)], ["content", "doc_id", "at"])
+            # an anchor that is shared is a seed of every document that has it
+            near = w.around(pc.list_flatten(b.column("seeds")).to_numpy())
+            if len(near):
+                row = w.row[near]
+                columns = [pa.array(w.content(near)), b.column("doc_id").take(pa.array(row)), pa.array((w.at[near] - w.offsets[row]).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["content", "doc_id", "at"])
 
     near = _docs(docs).join(seeded, "doc_id").select("doc_id", "text", "seeds")
-    near = near.mapInArrow(lambda batches: _gathered(around(batches)), f"content bigint, doc_id {kind}, at int")
+    near = near.mapInArrow(around, f"content bigint, doc_id {kind}, at int")
     near = materialise(near, "windows")
     least = near.groupBy("content").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("most"), F.min_by("at", "doc_id").alias("place"))
     met = near.join(least.where("source < most").drop("most"), "content").where("doc_id > source")
@@ -178,17 +188,19 @@ def _blocks(docs: DataFrame, pairs: DataFrame, window: int) -> DataFrame:
     return found.mapInArrow(cut, f"source {kind}, block int, words string").distinct()
 
 
-def extend(texts: pa.Array, owner: np.ndarray, block: np.ndarray, shift: np.ndarray, words: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def extend(texts: pa.Array, owner: np.ndarray, source: np.ndarray, block: np.ndarray, shift: np.ndarray, words: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Seeds compared word by word with their texts, along their diagonals.
 
-    Seed k is of text `owner[k]`.  Returns, for every `window` words that are equal, the seed and the
-    place in its text where they start, and the texts' lengths in words.
+    Seed k is of text `owner[k]`.  Returns the matches, rows of (owner, source, start, end, start in
+    source) by owner, and the texts' lengths in words.
     """
-    _, index, offsets = encode_words(pa.concat_arrays([texts, words]))
+    order = np.lexsort((block, shift, source, owner))
+    owner, source, block, shift = (x[order].astype(np.int64) for x in (owner, source, block, shift))
+    _, index, offsets = encode_words(pa.concat_arrays([texts, words.take(pa.array(order))]))
     n = len(texts)
-    step = np.arange(_BLOCK + window - 1)
     size = np.diff(offsets)
-    at = (block.astype(np.int64) * _BLOCK + shift)[:, None] + step
+    step = np.arange(_BLOCK + window - 1)
+    at = (block * _BLOCK + shift)[:, None] + step
     inside = (step < size[n:][:, None]) & (at >= 0) & (at < size[:n][owner][:, None])
     row, k = np.nonzero(inside)
     equal = np.zeros(inside.shape, bool)
@@ -196,20 +208,18 @@ def extend(texts: pa.Array, owner: np.ndarray, block: np.ndarray, shift: np.ndar
     full = equal[:, :_BLOCK].copy()
     for j in range(1, window):
         full &= equal[:, j : j + _BLOCK]
-    seed, k = np.nonzero(full)
-    return seed, at[seed, k], size[:n]
-
-
-def _joined(seed: np.ndarray, at: np.ndarray, owner: np.ndarray, source: np.ndarray, shift: np.ndarray, window: int) -> np.ndarray:
-    """Equal windows as matches: rows of (owner, source, start, end, start in source)."""
-    if not len(seed):
-        return np.empty((0, 5), np.int64)
-    rows = np.unique(np.stack([owner[seed], source[seed], shift[seed], at], axis=1), axis=0)
-    same = (rows[1:, :3] == rows[:-1, :3]).all(axis=1) & (rows[1:, 3] == rows[:-1, 3] + 1)
+    if not full.any():
+        return np.empty((0, 5), np.int64), size[:n]
+    # blocks of several rows of the source's id count as one
+    keys = np.stack([owner, source, shift, block])
+    new = np.flatnonzero(np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(axis=0))))
+    seed, k = np.nonzero(np.logical_or.reduceat(full, new, axis=0))
+    seed, start = new[seed], at[new[seed], k]
+    same = (start[1:] == start[:-1] + 1) & (keys[:3, seed[1:]] == keys[:3, seed[:-1]]).all(axis=0)
     first = np.flatnonzero(np.concatenate(([True], ~same)))
-    last = np.append(first[1:], len(rows)) - 1
-    start = rows[first, 3]
-    return np.stack([rows[first, 0], rows[first, 1], start, rows[last, 3] + window, start - rows[first, 2]], axis=1)
+    last = np.append(first[1:], len(start)) - 1
+    of, start, end = seed[first], start[first], start[last] + window
+    return np.stack([owner[of], source[of], start, end, start - shift[of]], axis=1), size[:n]
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 5) -> DataFrame:
@@ -238,10 +248,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 5) -> DataFram
                 flat = pc.list_flatten(held)
                 source, block, shift, words = (pc.struct_field(flat, c) for c in ("source", "block", "shift", "words"))
                 named = source.dictionary_encode()
-                block, shift = block.to_numpy(), shift.to_numpy().astype(np.int64)
                 mine = texts.take(pa.array(hit))
-                seed, at, size = extend(mine, owner, block, shift, words, window)
-                found = _joined(seed, at, owner, named.indices.to_numpy().astype(np.int64), shift, window)
+                found, size = extend(mine, owner, named.indices.to_numpy(), block.to_numpy(), shift.to_numpy(), words, window)
                 of = np.searchsorted(found[:, 0], np.arange(len(hit) + 1))
                 names = named.dictionary.to_pylist()
                 for k, i in enumerate(hit.tolist()):

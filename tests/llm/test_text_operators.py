@@ -152,11 +152,21 @@ def test_seeds_of_different_words_match_nothing():
 
     text, other = prose(70, 30), prose(71, 30)
     zero, one = np.array([0]), np.array([1])
-    for words, found in ((other, 0), (" ".join(text.split()[:12]), 0), (text, 18)):
-        seed, at, size = repeats.extend(pa.array([text]), zero, zero, one, pa.array([words]), 13)
-        assert (len(seed), size.tolist()) == (0, [30])  # one word beside the diagonal
-        seed, at, size = repeats.extend(pa.array([text]), zero, zero, zero, pa.array([words]), 13)
-        assert at.tolist() == list(range(found))
+    for words, found in ((other, []), (" ".join(text.split()[:12]), []), (text, [[0, 0, 0, 30, 0]])):
+        matches, size = repeats.extend(pa.array([text]), zero, zero, zero, one, pa.array([words]), 13)
+        assert (len(matches), size.tolist()) == (0, [30])  # one word beside the diagonal
+        matches, size = repeats.extend(pa.array([text]), zero, zero, zero, zero, pa.array([words]), 13)
+        assert matches.tolist() == found
+
+
+def test_word_hashes_differ_where_words_do():
+    import pyarrow as pa
+
+    words = ["a", "b", "ab", "ba", "a" * 8, "a" * 9, "a" * 16, "a" * 8 + "b" * 8, "b" * 8 + "a" * 8, "é", "a\0", "a\0\0"] + [str(i) for i in range(20000)]
+    whole = repeats._word_hashes(pa.array(words))
+    assert len(set(whole.tolist())) == len(words)
+    assert (repeats._word_hashes(pa.array(["x", *words]).slice(1)) == whole).all()
+    assert len(repeats._word_hashes(pa.array([], pa.string()))) == 0
 
 
 # quality
