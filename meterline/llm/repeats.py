@@ -38,6 +38,8 @@ from .common import discard, encode_words, materialise, steps
 
 #: Window starts in a block of the partner.
 _BLOCK = 32
+#: Seeds that are compared in one vectorised step.
+_SEEDS = 1 << 14
 
 _POWER = 0x9E3779B97F4A7C15
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -200,21 +202,26 @@ def extend(texts: pa.Array, owner: np.ndarray, source: np.ndarray, block: np.nda
     n = len(texts)
     size = np.diff(offsets)
     step = np.arange(_BLOCK + window - 1)
-    at = (block * _BLOCK + shift)[:, None] + step
-    inside = (step < size[n:][:, None]) & (at >= 0) & (at < size[:n][owner][:, None])
-    row, k = np.nonzero(inside)
-    equal = np.zeros(inside.shape, bool)
-    equal[row, k] = index[offsets[:n][owner][row] + at[row, k]] == index[offsets[n:-1][row] + k]
-    full = equal[:, :_BLOCK].copy()
-    for j in range(1, window):
-        full &= equal[:, j : j + _BLOCK]
+    begin = block * _BLOCK + shift
+    full = np.empty((len(owner), _BLOCK), bool)
+    for low in range(0, len(owner), _SEEDS):  # memory is bounded by a slice of seeds
+        part = slice(low, low + _SEEDS)
+        at = begin[part, None] + step
+        inside = (step < size[n:][part, None]) & (at >= 0) & (at < size[:n][owner[part]][:, None])
+        row, k = np.nonzero(inside)
+        equal = np.zeros(inside.shape, bool)
+        equal[row, k] = index[offsets[:n][owner[part]][row] + at[row, k]] == index[offsets[n:-1][part][row] + k]
+        full[part] = equal[:, :_BLOCK]
+        for j in range(1, window):
+            full[part] &= equal[:, j : j + _BLOCK]
     if not full.any():
         return np.empty((0, 5), np.int64), size[:n]
     # blocks of several rows of the source's id count as one
     keys = np.stack([owner, source, shift, block])
     new = np.flatnonzero(np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(axis=0))))
     seed, k = np.nonzero(np.logical_or.reduceat(full, new, axis=0))
-    seed, start = new[seed], at[new[seed], k]
+    seed = new[seed]
+    start = begin[seed] + k
     same = (start[1:] == start[:-1] + 1) & (keys[:3, seed[1:]] == keys[:3, seed[:-1]]).all(axis=0)
     first = np.flatnonzero(np.concatenate(([True], ~same)))
     last = np.append(first[1:], len(start)) - 1
