@@ -4,13 +4,12 @@ Spark counts the bigrams of all documents, language by language: tasks count the
 packed counts to shards by the hash of the first word, and a shard sums them.  As Kneser-Ney asks
 below the highest order, a bigram counts by the different words before it, so passages that are
 copied from document to document count once; a 16-bit sketch beside the plain count tells how many
-there are, and once it is full the plain count stands.  The model is kept in sorted hash arrays
-(Arrow files, memory-mapped by the tasks that score): bigram to count, history to its total and its
-counts of counts, word to its number of different histories.  The three discounts of either order
-come from the language's counts of counts (Chen and Goodman, 1999).  Bigrams with a count of one are
-left out of the arrays and their mass goes to the lower order (a discount of one), and words with
-one history share one probability; this keeps the model a fraction of the text while it still grows
-with the corpus.
+there are, and once it is full the plain count stands.  The model is kept whole in sorted hash
+arrays (Arrow files, memory-mapped by the tasks that score): bigram to count, history to its total
+and its counts of counts, word to its number of different histories.  The three discounts of either
+order come from the language's counts of counts (Chen and Goodman, 1999).  An array has a directory
+by the leading bits of its keys, about one entry in sixteen keys, and of each key the 32 bits after
+them, so a bigram takes about five bytes and two keys are alike once in some 10^8.
 
 A document is scored by its own language's model, and the band of log perplexities kept is the
 median of the language's documents less `lower_width` and plus `width` robust deviations (1.4826
@@ -53,6 +52,16 @@ def _bigram_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _id_key(ids: np.ndarray) -> np.ndarray:
+    """Ids of words with their 40 bits in front, as keys of an array."""
+    return ids << _BITS
+
+
+def _history_key(v: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """Keys of histories; all languages have the start, whose key is its language's."""
+    return np.where(v == _START, salt * _MUL, _id_key(v))
+
+
 def _pack(*columns: tuple[np.ndarray, int]) -> bytes:
     """Columns as byte planes, compressed."""
     planes = b"".join(np.ascontiguousarray(c.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :n].T.tobytes() for c, n in columns)
@@ -70,12 +79,15 @@ def _unpack(blob: bytes, rows: list[int], widths: list[int]) -> list[np.ndarray]
     return out
 
 
+def _salt(langs: list[str | None]) -> np.ndarray:
+    return hash_words(pa.array(["" if x is None else f"l{x}" for x in langs], pa.string()))
+
+
 def _word_ids(text: pa.Array, langs: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all words, the texts' offsets, the words' rows and their indices among the step's words."""
     distinct, index, offsets = encode_words(text)
     row = np.repeat(np.arange(len(langs)), np.diff(offsets))
-    salt = hash_words(pa.array(["" if x is None else f"l{x}" for x in langs]))
-    return ((hash_words(distinct)[index] ^ salt[row]) * _MUL) >> _BITS, offsets, row, index
+    return ((hash_words(distinct)[index] ^ _salt(langs)[row]) * _MUL) >> _BITS, offsets, row, index
 
 
 def _histories(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -160,17 +172,45 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint32)
 
 
-def _write_array(folder: str, kind: str, shard: int, key: np.ndarray, **values: np.ndarray) -> str:
+def _bucketed(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The leading `bits` bits of keys, and the 32 bits after them."""
+    return (key >> np.uint64(64 - bits)).astype(np.int64), (key >> np.uint64(32 - bits)).astype(np.uint32)
+
+
+def _write_array(folder: str, kind: str, shard: int, key: np.ndarray, values: dict[str, np.ndarray]) -> str:
     system, path = filesystem(folder)
     system.create_dir(path, recursive=True)
     order = np.argsort(key)
-    table = pa.table({"key": key[order], **{k: x[order] for k, x in values.items()}})
+    bits = max(1, (len(key) // 16).bit_length() - 1)
+    bucket, low = _bucketed(key[order], bits)
+    columns = {"directory": np.searchsorted(bucket, np.arange((1 << bits) + 1)), "key": low, **{k: x[order] for k, x in values.items()}}
+    # one row, as the columns differ in length
+    table = pa.table({k: pa.LargeListArray.from_arrays(pa.array([0, len(x)], pa.int64()), pa.array(x)) for k, x in columns.items()})
     name = f"{kind}-{shard:05d}-{uuid.uuid4().hex}.arrow"
     with system.open_output_stream(f"{path}/{name}") as sink, pa.ipc.new_file(sink, table.schema) as out:
         out.write_table(table)
     return f"{folder}/{name}"
 
 
+def _write_arrays(folder: str, kind: str, shard: int, key: np.ndarray, **values: np.ndarray) -> list[tuple[str, str]]:
+    """(kind, file) of the rows whose values fit in a byte, and of the others."""
+    narrow = np.all([x < 256 for x in values.values()], axis=0)
+    parts = [(kind, narrow, np.uint8), (f"large_{kind}", ~narrow, np.uint64)]
+    return [(name, _write_array(folder, name, shard, key[rows], {k: x[rows].astype(t) for k, x in values.items()})) for name, rows, t in parts if rows.any()]
+
+
+def _found(directory: np.ndarray, low: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key stands in an array, and whether it is there."""
+    bucket, wanted = _bucketed(key, (len(directory) - 1).bit_length() - 1)
+    at, end = directory[bucket], directory[bucket + 1]
+    stop = end
+    for _ in range(int((end - at).max(initial=0)).bit_length()):
+        middle = (at + stop) >> 1
+        less = (at < stop) & (low[np.minimum(middle, len(low) - 1)] < wanted)
+        at, stop = np.where(less, middle + 1, at), np.where(less, stop, np.minimum(middle, stop))
+    return at, (at < end) & (low[np.minimum(at, len(low) - 1)] == wanted)
+
+
 _FILES = "kind string, shard bigint, uri string, lang string, n1 bigint, n2 bigint, n3 bigint, n4 bigint, total bigint, distinct bigint, n bigint, data binary"
 
 
@@ -189,20 +229,18 @@ def _merge_bigrams(folder: str, shards: int):
             c = _different(c, before)
             first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
             sums = [np.add.reduceat(x.astype(np.int64), first) for x in (c, c == 1, c == 2, c >= 3)]
-            kept = sums[2] + sums[3] > 0  # elsewhere everything goes to the lower order
-            histories.append((v[first][kept], *(x[kept] for x in sums)))
-            often = c >= 2
-            bigrams.append((_bigram_key(v[often], w[often]), c[often]))
+            histories.append((_history_key(v[first], _salt([lang])), *sums))
+            bigrams.append((_bigram_key(v, w), c))
             out.append(("bigram", shard, None, lang, *_counts_of_counts(c), int(c.sum()), len(c), 0, None))
             u, n = np.unique(w, return_counts=True)
             for s in np.unique(u % np.uint64(shards)):
                 pick = u % np.uint64(shards) == s
                 out.append(("word", int(s), None, lang, 0, 0, 0, 0, 0, 0, int(pick.sum()), _pack((np.diff(u[pick], prepend=np.uint64(0)), 5), (n[pick], 4))))
         key, c = (np.concatenate(x) for x in zip(*bigrams))
-        out.append(("bigrams", shard, _write_array(folder, "bigrams", shard, key, c=_small(c)), None, 0, 0, 0, 0, 0, 0, 0, None))
+        files = _write_arrays(folder, "bigrams", shard, key, c=c)
         key, total, n1, n2, n3 = (np.concatenate(x) for x in zip(*histories))
-        uri = _write_array(folder, "histories", shard, key, total=total.astype(np.uint64), n1=_small(n1), n2=_small(n2), n3=_small(n3))
-        out.append(("histories", shard, uri, None, 0, 0, 0, 0, 0, 0, 0, None))
+        files += _write_arrays(folder, "histories", shard, key, total=total, n1=n1, n2=n2, n3=n3)
+        out += [(kind, shard, uri, None, 0, 0, 0, 0, 0, 0, 0, None) for kind, uri in files]
         return pd.DataFrame(out, columns=[f.split()[0] for f in _FILES.split(", ")])
 
     return run
@@ -220,21 +258,21 @@ def _merge_words(folder: str):
             new = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
             w, c = w[new], np.add.reduceat(c, new)
             out.append(("unigram", shard, None, lang, *_counts_of_counts(c), int(c.sum()), len(c), 0, None))
-            words.append((w[c >= 2], c[c >= 2]))
+            words.append((_id_key(w), c))
         key, c = (np.concatenate(x) for x in zip(*words))
-        out.append(("words", shard, _write_array(folder, "words", shard, key, c=_small(c)), None, 0, 0, 0, 0, 0, 0, 0, None))
+        out += [(kind, shard, uri, None, 0, 0, 0, 0, 0, 0, 0, None) for kind, uri in _write_arrays(folder, "words", shard, key, c=c)]
         return pd.DataFrame(out, columns=[f.split()[0] for f in _FILES.split(", ")])
 
     return run
 
 
-def _discounts(n: list[int], once: float | None = None) -> np.ndarray:
+def _discounts(n: list[int]) -> np.ndarray:
     """Discounts of counts 0, 1, 2 and 3 or more."""
     n1, n2, n3, n4 = n
     y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
     d = [0.0, 1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
     d = [min(max(x, 0.0), float(i)) for i, x in enumerate(d)]
-    return np.array([d[0], d[1] if once is None else once, d[2], d[3]])
+    return np.array(d)
 
 
 class Model:
@@ -247,7 +285,7 @@ class Model:
             (*n, _, _), (*u, histories, vocabulary) = of["bigram"], of["unigram"]
             low = _discounts(u)
             spare = float(low[1] * u[0] + low[2] * u[1] + low[3] * (vocabulary - u[0] - u[1])) / histories
-            self.languages[lang] = (_discounts(n, once=1.0), low, histories, spare / (vocabulary + 1))
+            self.languages[lang] = (_discounts(n), low, histories, spare / (vocabulary + 1))
         self.opened: dict[tuple[str, int], list[np.ndarray] | None] = {}
 
     def __getstate__(self) -> dict:
@@ -257,7 +295,7 @@ class Model:
         if (kind, shard) not in self.opened:
             uri = self.files.get(kind, {}).get(shard)
             table = pa.ipc.open_file(open_mapped(uri)).read_all() if uri else None
-            self.opened[kind, shard] = [c.combine_chunks().to_numpy() if c.num_chunks != 1 else c.chunk(0).to_numpy() for c in table.columns] if table and table.num_rows else None
+            self.opened[kind, shard] = [c.chunk(0).values.to_numpy() for c in table.columns] if table else None
         return self.opened[kind, shard]
 
     def _look_up(self, kind: str, shard: np.ndarray, key: np.ndarray, missing: list[int]) -> list[np.ndarray]:
@@ -267,13 +305,14 @@ class Model:
         cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
         for s in range(self.shards):
             rows = order[cuts[s] : cuts[s + 1]]
-            held = self._array(kind, s) if len(rows) else None
-            if held is None:
-                continue
-            at = np.minimum(np.searchsorted(held[0], key[rows]), len(held[0]) - 1)
-            hit = held[0][at] == key[rows]
-            for o, values in zip(out, held[1:]):
-                o[rows[hit]] = values[at[hit]]
+            for name in (kind, f"large_{kind}"):
+                held = self._array(name, s) if len(rows) else None
+                if held is None:
+                    continue
+                at, hit = _found(*held[:2], key[rows])
+                for o, values in zip(out, held[2:]):
+                    o[rows[hit]] = values[at[hit]]
+                rows = rows[~hit]
         return out
 
     def log_probabilities(self, v: np.ndarray, w: np.ndarray, lang: list[str | None], row: np.ndarray) -> np.ndarray:
@@ -282,8 +321,8 @@ class Model:
         pairs, back = np.unique(_bigram_key(v, w), return_index=True, return_inverse=True)[1:]
         v, w, of = v[pairs], w[pairs], row[pairs]
         (c,) = self._look_up("bigrams", (v % n).astype(np.int64), _bigram_key(v, w), [0])
-        total, n1, n2, n3 = self._look_up("histories", (v % n).astype(np.int64), v, [0, 0, 0, 0])
-        (cont,) = self._look_up("words", (w % n).astype(np.int64), w, [1])
+        total, n1, n2, n3 = self._look_up("histories", (v % n).astype(np.int64), _history_key(v, _salt(lang)[of]), [0, 0, 0, 0])
+        (cont,) = self._look_up("words", (w % n).astype(np.int64), _id_key(w), [0])
         default = (np.array([0.0, 1.0, 1.0, 1.5]), np.array([0.0, 0.5, 1.0, 1.5]), 1, 0.5)
         table = [self.languages.get(x, default) for x in lang]
         high, low = np.stack([t[0] for t in table]), np.stack([t[1] for t in table])

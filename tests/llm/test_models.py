@@ -2,6 +2,7 @@
 
 import collections
 import math
+import random
 import re
 
 import numpy as np
@@ -50,7 +51,6 @@ def brute_perplexities(rows):
         for (v, _), c in count.items():
             of_history[v].append(c)
         high = brute_discounts(collections.Counter(count.values()))
-        high[1] = 1.0  # bigrams with a count of one go to the lower order
         low = brute_discounts(collections.Counter(histories.values()))
         n = sum(histories.values())
         floor = sum(low[min(c, 3)] for c in histories.values()) / n / (len(histories) + 1)
@@ -58,8 +58,6 @@ def brute_perplexities(rows):
         def log_p(v, w):
             lower = max(histories[w] - low[min(histories[w], 3)], 0) / n + floor
             counts = of_history[v]
-            if max(counts) < 2:
-                return math.log(lower)
             spare = sum(high[min(c, 3)] for c in counts)
             return math.log((max(count[v, w] - high[min(count[v, w], 3)], 0) + spare * lower) / sum(counts))
 
@@ -78,7 +76,8 @@ def test_verdicts_equal_a_plain_model(spark):
     rows = [(i, "en" if i % 3 else None, f"{prose(i, 60 + i % 40, 25 if i % 3 else 200)} a{i} b{i // 4} c{i // 7} d{i // 10} e{i // 13}") for i in range(150)]
     rows += [(500 + i, rows[4][1], rows[4][2]) for i in range(60)]  # copies count once in the band
     rows += [(600 + i, "en", prose(700 + i, 80, 4 + i % 5)) for i in range(8)]  # too predictable
-    rows += [(700 + i, "en", " ".join(f"zz{i}q{k}" for k in range(70))) for i in range(4)]  # no known word
+    rows += [(700 + i, "en", " ".join(f"zz{i}q{k}" for k in range(70))) for i in range(4)]  # foretold by nothing but itself
+    rows += [(710 + i, "en", " ".join(random.Random(i).choices([f"yy{i}q{k}" for k in range(80)], k=3000))) for i in range(4)]  # any word after any
     rows += [(800, "en", "too short"), (801, None, None), (802, "en", ""), (803, "en", "a b c " * 40)]
     score = brute_perplexities(rows)
     base = {i: brute_base(t) for i, _, t in rows}
