@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -42,6 +43,8 @@ _START = 0
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _SYMBOLS = np.zeros(256, np.uint8)
 _SYMBOLS[list(b"#*$%&|<>")] = 1
+#: Values of what was counted once: a count, or a history's total and its counts of 1, 2 and more.
+_ONCE = (1, 1, 0, 0)
 #: Different bigrams that a task holds before it sends them on.
 _MOST_HELD = 3_000_000
 
@@ -96,8 +99,10 @@ def _histories(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return v
 
 
-def _count(docs: DataFrame, shards: int) -> DataFrame:
-    """(shard, lang, n, m, u, data): packed bigram counts, the rows of a blob in order of the history."""
+def _count(docs: DataFrame, shards: int, some: range | None = None) -> DataFrame:
+    """(shard, lang, n, m, u, data): packed bigram counts of the shards `some` (all if None), the rows
+    of a blob in order of the history."""
+    some = range(shards) if some is None else some
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str | None, list[tuple[np.ndarray, ...]]] = {}
@@ -119,8 +124,10 @@ def _count(docs: DataFrame, shards: int) -> DataFrame:
             ids, offsets, row, _ = _word_ids(b.column("text"), langs)
             v = _histories(ids, offsets)
             before = np.uint64(1) << (_bigram_key(_histories(v, offsets), v) & np.uint64(15))
+            of = v % np.uint64(shards)
+            asked = (of >= some.start) & (of < some.stop)
             for lang in set(langs):
-                pick = np.array([x == lang for x in langs])[row]
+                pick = np.array([x == lang for x in langs])[row] & asked
                 if pick.any():
                     part = _summed([(v[pick], ids[pick], np.ones(int(pick.sum()), np.int64), before[pick])])
                     held.setdefault(lang, []).append(part)
@@ -150,19 +157,23 @@ def _different(c: np.ndarray, before: np.ndarray) -> np.ndarray:
 
 
 def _packed_counts(v: np.ndarray, w: np.ndarray, c: np.ndarray, before: np.ndarray) -> tuple[int, int, int, bytes]:
-    """Rows, histories and words of a blob, and the blob: ascending ids as steps, rows by the words' places."""
+    """Rows, histories and words of a blob, and the blob: ascending ids as steps, rows by the words'
+    places, which ascend within a history and are steps there."""
     first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
     runs = np.diff(np.append(first, len(v)))
     words, place = np.unique(w, return_inverse=True)
     _small(c)  # packed in four bytes below
     steps_of = [(np.diff(x, prepend=np.uint64(0)), 5) for x in (v[first], words)]
-    return len(v), len(first), len(words), _pack(steps_of[0], (runs, 4), steps_of[1], (place, 4), (c, 4), (before, 2))
+    further = np.diff(place, prepend=0)
+    further[first] = place[first]
+    return len(v), len(first), len(words), _pack(steps_of[0], (runs, 4), steps_of[1], (further, 4), (c, 4), (before, 2))
 
 
 def _unpacked_counts(n: int, m: int, u: int, data: bytes) -> tuple[np.ndarray, ...]:
-    v, runs, words, place, c, before = _unpack(data, [m, m, u, n, n, n], [5, 4, 5, 4, 4, 2])
-    w = np.cumsum(words, dtype=np.uint64)[place.astype(np.int64)]
-    return np.repeat(np.cumsum(v, dtype=np.uint64), runs.astype(np.int64)), w, c.astype(np.int64), before
+    v, runs, words, further, c, before = _unpack(data, [m, m, u, n, n, n], [5, 4, 5, 4, 4, 2])
+    runs, upto = runs.astype(np.int64), np.concatenate(([0], np.cumsum(further, dtype=np.int64)))
+    place = upto[1:] - np.repeat(upto[np.cumsum(runs) - runs], runs)
+    return np.repeat(np.cumsum(v, dtype=np.uint64), runs), np.cumsum(words, dtype=np.uint64)[place], c.astype(np.int64), before
 
 
 def _small(x: np.ndarray) -> np.ndarray:
@@ -183,7 +194,7 @@ def _write_array(folder: str, kind: str, shard: int, key: np.ndarray, values: di
     order = np.argsort(key)
     bits = max(1, (len(key) // 16).bit_length() - 1)
     bucket, low = _bucketed(key[order], bits)
-    columns = {"directory": np.searchsorted(bucket, np.arange((1 << bits) + 1)), "key": low, **{k: x[order] for k, x in values.items()}}
+    columns = {"directory": _small(np.searchsorted(bucket, np.arange((1 << bits) + 1))), "key": low, **{k: x[order] for k, x in values.items()}}
     # one row, as the columns differ in length
     table = pa.table({k: pa.LargeListArray.from_arrays(pa.array([0, len(x)], pa.int64()), pa.array(x)) for k, x in columns.items()})
     name = f"{kind}-{shard:05d}-{uuid.uuid4().hex}.arrow"
@@ -193,16 +204,20 @@ def _write_array(folder: str, kind: str, shard: int, key: np.ndarray, values: di
 
 
 def _write_arrays(folder: str, kind: str, shard: int, key: np.ndarray, **values: np.ndarray) -> list[tuple[str, str]]:
-    """(kind, file) of the rows whose values fit in a byte, and of the others."""
+    """(kind, file) of the rows of `_ONCE`, as keys alone, those whose values fit in a byte, and the others."""
+    once = np.all([x == v for x, v in zip(values.values(), _ONCE)], axis=0)
     narrow = np.all([x < 256 for x in values.values()], axis=0)
-    parts = [(kind, narrow, np.uint8), (f"large_{kind}", ~narrow, np.uint64)]
-    return [(name, _write_array(folder, name, shard, key[rows], {k: x[rows].astype(t) for k, x in values.items()})) for name, rows, t in parts if rows.any()]
+    out = []
+    for name, rows, kept, width in ((f"once_{kind}", once, {}, None), (kind, narrow & ~once, values, np.uint8), (f"large_{kind}", ~narrow, values, np.uint64)):
+        if rows.any():
+            out.append((name, _write_array(folder, name, shard, key[rows], {k: x[rows].astype(width) for k, x in kept.items()})))
+    return out
 
 
 def _found(directory: np.ndarray, low: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each key stands in an array, and whether it is there."""
     bucket, wanted = _bucketed(key, (len(directory) - 1).bit_length() - 1)
-    at, end = directory[bucket], directory[bucket + 1]
+    at, end = (directory[x].astype(np.int64) for x in (bucket, bucket + 1))
     stop = end
     for _ in range(int((end - at).max(initial=0)).bit_length()):
         middle = (at + stop) >> 1
@@ -305,13 +320,13 @@ class Model:
         cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
         for s in range(self.shards):
             rows = order[cuts[s] : cuts[s + 1]]
-            for name in (kind, f"large_{kind}"):
+            for name in (f"once_{kind}", kind, f"large_{kind}"):
                 held = self._array(name, s) if len(rows) else None
                 if held is None:
                     continue
                 at, hit = _found(*held[:2], key[rows])
-                for o, values in zip(out, held[2:]):
-                    o[rows[hit]] = values[at[hit]]
+                for k, o in enumerate(out):
+                    o[rows[hit]] = held[2 + k][at[hit]] if held[2:] else _ONCE[k]
                 rows = rows[~hit]
         return out
 
@@ -335,16 +350,19 @@ class Model:
         return np.log(p)[back]
 
 
-def train(docs: DataFrame, shard_bytes: int = 64 << 20) -> Model:
+def train(docs: DataFrame, shard_bytes: int = 64 << 20, passes: int = 2) -> Model:
     """Count the bigrams of `docs` (lang, text) and write the model's arrays to the shared folder.
 
-    A shard has the bigrams of about `shard_bytes` of text or less, so that it fits in a task.
+    A shard has the bigrams of about `shard_bytes` of text or less, so that it fits in a task.  The
+    shards are counted in `passes` over the texts, so that not all counts are on disk at a time.
     """
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
     folder = scratch(spark, "language-model")
-    merged = materialise(_count(docs, shards).groupBy("shard").applyInPandas(_merge_bigrams(folder, shards), _FILES), "bigrams")
+    cuts = [shards * k // passes for k in range(passes + 1)]
+    parts = [_count(docs, shards, range(a, b)).groupBy("shard").applyInPandas(_merge_bigrams(folder, shards), _FILES) for a, b in zip(cuts, cuts[1:])]
+    merged = reduce(DataFrame.unionByName, [materialise(part, "bigrams") for part in parts])
     words = merged.where("kind = 'word'").groupBy("shard").applyInPandas(_merge_words(folder), _FILES)
     words = materialise(words, "words").select("kind", "shard", "uri", "lang", "n1", "n2", "n3", "n4", "total", "distinct")
     both = merged.where("kind <> 'word'").select(*words.columns).unionByName(words)
