@@ -242,7 +242,7 @@ def test_odd_texts_are_rejected_and_copies_are_not(spark):
     rows += [(2000 + i, "en", " ".join(f"zz{i}q{k}" for k in range(200))) for i in range(3)]  # no word known
     got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id bigint, lang string, text string")).collect()}
     assert all(got[i].kept for i in range(200)) and all(got[1000 + i].kept for i in range(50))
-    assert not any(got[2000 + i].kept for i in range(3)) and got[2000].perplexity > got[2000].upper
+    assert not any(got[2000 + i].kept for i in range(3)) and got[2000].perplexity < got[2000].lower  # its model has its own words
     assert not any(math.isnan(r.perplexity) for r in got.values())
 
 
