@@ -3,7 +3,8 @@
 A part is (path, start, stop) in bytes, where `start` begins a line: the cursor of the last read, or 0.
 Parts are cut into splits, and a line belongs to the split that holds its end.  Whoever reads a split
 looks back from its first byte for the beginning of the line that ends there; so any cut will do,
-a file's splits go to different tasks, and no line is counted in order to place another.
+a file's splits may go to different tasks, and no line is counted in order to place another.  A task
+takes as many splits as make `SPLIT_BYTES` of work, so small files and small splits share one.
 
 Batches take parts as a DataFrame, so the driver sees two sums and no list of files.  `GrowingLines` is
 the streaming source of files that grow: its offset is the size up to which each file has been read.
@@ -28,6 +29,8 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 SPLIT_BYTES = 64 << 20
 #: Bytes of one read, and of one step back in search of a line's beginning.
 CHUNK, STEP_BACK = 4 << 20, 64 << 10
+#: What a split costs besides its bytes, in bytes, and how many splits of a file stay together at most.
+SPLIT_COST, TOGETHER = 64 << 10, 1024
 
 LINES = "path string, byte_offset bigint, value string, ended boolean, valid boolean"
 _FIELDS = pa.schema([("path", pa.string()), ("byte_offset", pa.int64()), ("value", pa.string()), ("ended", pa.bool_()), ("valid", pa.bool_())])
@@ -60,12 +63,14 @@ class _Reader:
 
     def line_start(self, place: int) -> int:
         """Where the line that goes on at `place` begins."""
+        step = 256
         while place > 0:
-            n = min(STEP_BACK, place)
+            n = min(step, STEP_BACK, place)
             found = self.at(place - n, n).rfind(b"\n")
             if found >= 0:
                 return place - n + found + 1
             place -= n
+            step *= 4
         return 0
 
     def lines(self, start: int, stop: int, begins: bool, tail: bool) -> Iterator[tuple[int, bytes, bool]]:
@@ -89,6 +94,30 @@ class _Reader:
         if tail and rest:
             yield place, rest, False
 
+    def split_lines(self, start: int, stop: int, begins: bool, tail: bool, split_bytes: int) -> Iterator[tuple[int, bytes, bool]]:
+        """The same for [start, stop) cut into splits, each read by itself; lines of neighbours that
+        follow each other come together."""
+        held, place, size = [], 0, 0
+        for at in range(start, stop, split_bytes):
+            upto = min(at + split_bytes, stop)
+            for began, block, ended in self.lines(at, upto, begins and at == start, tail and upto == stop):
+                if held and (not ended or began != place + size or size + len(block) > CHUNK):
+                    yield place, b"".join(held), True
+                    held, size = [], 0
+                if not ended:
+                    yield began, block, False
+                    continue
+                place = place if held else began
+                held.append(block)
+                size += len(block)
+        if held:
+            yield place, b"".join(held), True
+
+
+def _together(split_bytes: int) -> int:
+    """Bytes of a file's neighbouring splits that one task reads."""
+    return split_bytes * max(1, min(TOGETHER, SPLIT_BYTES // split_bytes))
+
 
 def _batch(path: str, place: int, block: bytes, ended: bool, keep: list[pa.Scalar] = ()) -> list[pa.Array]:
     """A block of lines as columns; lines that are no UTF-8 have their bad bytes replaced."""
@@ -114,10 +143,12 @@ def read_ranges(ranges: DataFrame, keep: tuple[str, ...] = (), split_bytes: int
     """
     spark = ranges.sparkSession
     full = ranges.where("stop > start")
-    cuts = full.withColumn("at", F.explode(F.expr(f"sequence(start, stop - 1, {int(split_bytes)}L)")))
-    splits = cuts.select("path", "at", F.least(F.col("at") + int(split_bytes), F.col("stop")).alias("upto"), (F.col("at") == (F.col("start") if aligned else F.lit(0))).alias("begins"), (F.col("at") + int(split_bytes) >= F.col("stop")).alias("tail"), *keep)
-    n, size = splits.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("upto") - F.col("at")), F.lit(0))).first()
-    tasks = max(1, min(n, max(spark.sparkContext.defaultParallelism, -(-size // split_bytes))))
+    piece = _together(int(split_bytes))
+    cuts = full.withColumn("at", F.explode(F.expr(f"sequence(start, stop - 1, {piece}L)")))
+    splits = cuts.select("path", "at", F.least(F.col("at") + piece, F.col("stop")).alias("upto"), (F.col("at") == (F.col("start") if aligned else F.lit(0))).alias("begins"), (F.col("at") + piece >= F.col("stop")).alias("tail"), *keep)
+    size = F.col("upto") - F.col("at")
+    n, cost = splits.agg(F.count(F.lit(1)), F.coalesce(F.sum(size + F.ceil(size / int(split_bytes)) * SPLIT_COST), F.lit(0))).first()
+    tasks = max(1, min(n, max(spark.sparkContext.defaultParallelism, -(-cost // SPLIT_BYTES))))
     types = splits.select(*keep).schema
     schema = LINES + "".join(f", {f.name} {f.dataType.simpleString()}" for f in types)
 
@@ -126,7 +157,7 @@ def read_ranges(ranges: DataFrame, keep: tuple[str, ...] = (), split_bytes: int
             kept = [b.column(k) for k in keep]
             for i, (path, at, upto, begins, tail) in enumerate(zip(*(b.column(c).to_pylist() for c in ("path", "at", "upto", "begins", "tail")))):
                 reader = _Reader(path)
-                for place, block, ended in reader.lines(at, upto, begins, tail):
+                for place, block, ended in reader.split_lines(at, upto, begins, tail, int(split_bytes)):
                     yield pa.RecordBatch.from_arrays(_batch(path, place, block, ended, [k[i] for k in kept]), [*_FIELDS.names, *keep])
                 if meter is not None:
                     meter.add(reader.taken)

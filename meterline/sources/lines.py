@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def file_listing(spark: SparkSession, roots: list[str], pattern: str = "*.jsonl") -> DataFrame:
-    """(path, size, modified) of the files below `roots`; no content is read."""
+    """(path, size, modified) of the files below `roots`; no content is read, so a task takes many files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(roots)
-    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified")).coalesce(spark.sparkContext.defaultParallelism)
 
 
 def limit_files(listing: DataFrame, n: int) -> DataFrame:

@@ -61,6 +61,17 @@ def test_any_cut_gives_each_line_once(spark, tmp_path, split):
     assert all(r.valid for r in got.collect())
 
 
+def test_small_splits_and_small_files_share_tasks(spark, tmp_path):
+    """The tasks follow the bytes, not the number of splits or files."""
+    for k in range(40):
+        put(tmp_path / f"{k}.jsonl", [f"line {i}" for i in range(50)])
+    sizes = {f"file:{f}": f.stat().st_size for f in tmp_path.iterdir()}
+    got = B.read_ranges(parts(spark, *[(p, 0, n) for p, n in sizes.items()]), split_bytes=20)
+    assert got.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert got.count() == got.select("path", "byte_offset").distinct().count() == 2000
+    assert N.file_listing(spark, [str(tmp_path)]).rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+
+
 def test_only_the_part_is_read(spark, tmp_path):
     put(tmp_path / "a.jsonl", [f"line {i}" for i in range(10_000)])
     size = (tmp_path / "a.jsonl").stat().st_size
