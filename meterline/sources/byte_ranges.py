@@ -213,10 +213,9 @@ def _tasks(files: DataFrame) -> int:
 
 @dataclass
 class _Part(InputPartition):
-    path: str
-    start: int
-    stop: int
-    begins: bool
+    """What one task reads: (path, start, stop, begins), a file's neighbouring splits each."""
+
+    pieces: list[tuple[str, int, int, bool]]
 
 
 class _GrowingReader(DataSourceStreamReader):
@@ -224,6 +223,7 @@ class _GrowingReader(DataSourceStreamReader):
         self.roots = json.loads(options["roots"])
         self.pattern = options.get("pattern", "*.jsonl")
         self.split = int(options.get("split_bytes", SPLIT_BYTES))
+        self.tasks = int(options.get("tasks", 16))
 
     def initialOffset(self) -> dict:
         return {}
@@ -242,16 +242,23 @@ class _GrowingReader(DataSourceStreamReader):
         return sizes
 
     def partitions(self, start: dict, end: dict) -> list[_Part]:
-        parts = []
-        for path, stop in end.items():
-            begin = start.get(path, 0)
-            parts += [_Part(path, at, min(at + self.split, stop), at == 0) for at in range(begin, stop, self.split)]
+        piece = _together(self.split)
+        pieces = [(path, at, min(at + piece, stop), at == 0) for path, stop in end.items() for at in range(start.get(path, 0), stop, piece)]
+        costs = [upto - at - (at - upto) // self.split * SPLIT_COST for _, at, upto, _ in pieces]
+        room = min(SPLIT_BYTES, -(-sum(costs) // self.tasks))
+        parts, left = [], 0
+        for p, cost in zip(pieces, costs):
+            if left <= 0:
+                parts.append(_Part([]))
+                left = room
+            parts[-1].pieces.append(p)
+            left -= cost
         return parts
 
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
-        reader = _Reader(partition.path)
-        for place, block, ended in reader.lines(partition.start, partition.stop, partition.begins, tail=False):
-            yield pa.RecordBatch.from_arrays(_batch(partition.path, place, block, ended), schema=_FIELDS)
+        for path, start, stop, begins in partition.pieces:
+            for place, block, ended in _Reader(path).split_lines(start, stop, begins, False, self.split):
+                yield pa.RecordBatch.from_arrays(_batch(path, place, block, ended), schema=_FIELDS)
 
 
 class GrowingLines(DataSource):
@@ -259,8 +266,9 @@ class GrowingLines(DataSource):
 
     The offset holds each file's size at a trigger, so it grows with the number of files, not of lines.
     What stands below a file's size must not change: a file that was cut shorter goes on from its new
-    size (the manifest's refresh finds rewritten files).  Options: `roots` (a JSON list), `pattern`,
-    `split_bytes`.
+    size (the manifest's refresh finds rewritten files).  A trigger has about `tasks` tasks, more where
+    these would read over `SPLIT_BYTES` each.  Options: `roots` (a JSON list), `pattern`, `split_bytes`,
+    `tasks`.
     """
 
     @classmethod
@@ -277,4 +285,4 @@ class GrowingLines(DataSource):
 def stream_growing(spark: SparkSession, roots: list[str], pattern: str = "*.jsonl", split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """(path, byte_offset, value, ended, valid) of the lines that files below `roots` grow by."""
     spark.dataSource.register(GrowingLines)
-    return spark.readStream.format("growing_lines").option("roots", json.dumps(roots)).option("pattern", pattern).option("split_bytes", split_bytes).load()
+    return spark.readStream.format("growing_lines").option("roots", json.dumps(roots)).option("pattern", pattern).option("split_bytes", split_bytes).option("tasks", spark.sparkContext.defaultParallelism).load()

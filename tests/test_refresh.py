@@ -70,6 +70,10 @@ def test_small_splits_and_small_files_share_tasks(spark, tmp_path):
     assert got.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
     assert got.count() == got.select("path", "byte_offset").distinct().count() == 2000
     assert N.file_listing(spark, [str(tmp_path)]).rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    reader = B._GrowingReader({"roots": "[]", "split_bytes": 20, "tasks": 4})
+    planned = reader.partitions({}, sizes)
+    assert len(planned) <= 5
+    assert sum(b.num_rows for p in planned for b in reader.read(p)) == 2000
 
 
 def test_only_the_part_is_read(spark, tmp_path):
