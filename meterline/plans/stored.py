@@ -238,15 +238,16 @@ def ordered_ledger(spark, sf):
 
     path = working_folder(spark, "ordered")
     store.write_ledger(W.ledger(spark, sf), path)
-    rows = store.read_ledger(spark, path).select(stamp("ts").alias("at"), F.monotonically_increasing_id().alias("read"))
+    # read once: another run of the sort may draw other bounds between the partitions
+    rows = R.materialised(store.read_ledger(spark, path).select(stamp("ts").alias("at"), F.monotonically_increasing_id().alias("read")), "read")
     # partitions follow each other in the range order of the sort: each one's rows, and those before it
-    part = F.shiftright("read", 33)
-    sizes = {r.p: r["count"] for r in rows.groupBy(part.alias("p")).count().collect()}
-    before, so_far = {}, 0
-    for p in sorted(sizes):
-        before[p], so_far = so_far, so_far + sizes[p]
-    start = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[part]
-    return rows.select("at", (start + F.col("read").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("long").alias("place"))
+    rows = rows.select("at", F.shiftright("read", 33).alias("part"), F.col("read").bitwiseAND(F.lit((1 << 33) - 1)).alias("nth"))
+    before, so_far = [], 0
+    for r in sorted(rows.groupBy("part").count().collect()):
+        before.append((r.part, so_far))
+        so_far += r["count"]
+    starts = spark.createDataFrame(before, "part bigint, start bigint")
+    return rows.join(F.broadcast(starts), "part").select("at", (F.col("start") + F.col("nth") + 1).alias("place"))
 
 
 @query(f"{L} SELECT id FROM ledger WHERE source_id IN ('source-0', 'source-2')")

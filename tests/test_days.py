@@ -116,3 +116,17 @@ def test_no_rows(spark, stored, tmp_path):
     table.write(rows.where("false"), card, [date(2024, 1, 1)])
     assert Y.range_summary(table.sums(), rows.where("false"), card, *BOUNDS[0], ["provider"]).count() == 0
     assert Y.range_sessions_estimate(table.sums(), rows.where("false"), *BOUNDS[0]).first().sessions == 0
+
+
+def test_places_of_an_order_over_several_partitions(spark):
+    """Every instant has the place that the whole order gives it, where the sort has many partitions."""
+    from meterline.plans.stored import ordered_ledger
+
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted((r.place, r.at) for r in ordered_ledger(spark, "/root/testdata/sf0.01").collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+    assert [p for p, _ in got] == list(range(1, 10_001))
+    assert [at for _, at in got] == sorted(at for _, at in got)
