@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -43,88 +44,128 @@ def stream_lines(spark: SparkSession, folder: str, max_files: int = 1000) -> Dat
 
 class CounterState(StatefulProcessor):
     """Per transcript the component-wise high water, the last accepted snapshot and the model, from
-    batch to batch.  A batch's rows of one transcript are handled at once, as arrays."""
+    batch to batch.  A key is a group of transcripts: a batch's rows of all of them are handled at once,
+    as arrays, and their states are one value."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", ", ".join(f"{c} bigint" for c in (*_WATER, *_KEY)) + ", model string")
+        self.seen = handle.getValueState("seen", "states binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("byte_offset", kind="stable")
-        *held, model = self.seen.get() if self.seen.exists() else (*[None] * len((*_WATER, *_KEY)), "unknown")
-        held = np.array(held, float)
-        water, known = held[: len(_WATER)], held[len(_WATER) :]
-        named = batch["model"].astype("string")
-        batch["active_model"] = named.mask(named == "").ffill().fillna(model)
-        model = batch["active_model"].iloc[-1]
-        snapshots = batch[batch["tot_input"].notna()]
-        if len(snapshots):
-            keys = np.vstack([known, snapshots.reindex(columns=_KEY).astype(float)])
-            yield _classified(key[0], snapshots, keys, water)
-            known = keys[_last_accepted(keys, water)[-1]]
-            now, before = _before(keys, water)
-            water = np.maximum(now[-1], before[-1])
-        self.seen.update((*[None if np.isnan(x) else int(x) for x in (*water, *known)], model))
+        batch = pd.concat(list(rows), ignore_index=True)
+        names, models, numbers = _unpacked(self.seen.get()[0]) if self.seen.exists() else ([], [], np.empty((0, _WIDTH), np.int64))
+        code, found = pd.factorize(batch["path"], use_na_sentinel=False)
+        paths = [p if isinstance(p, str) else None for p in found]
+        place = {p: i for i, p in enumerate(names)}
+        for p in paths:
+            place.setdefault(p, len(place))
+        own = np.array([place[p] for p in paths])
+        models = np.array(models + ["unknown"] * (len(place) - len(models)), object)
+        numbers = np.vstack([numbers, np.full((len(place) - len(numbers), _WIDTH), _NONE)])
+
+        order = np.lexsort((batch["byte_offset"].to_numpy(), code))
+        batch, code = batch.iloc[order], code[order]
+        first = np.searchsorted(code, np.arange(len(paths)))
+        named = batch["model"].to_numpy(object)
+        latest = np.maximum.accumulate(np.where(batch["model"].notna() & (batch["model"] != ""), np.arange(len(code)), -1))
+        active = np.where(latest >= first[code], named[latest], models[own][code])
+        models[own] = active[np.append(first[1:], len(code)) - 1]
+
+        taken = batch["tot_input"].notna().to_numpy(bool)
+        if taken.any():
+            snapshots = batch[taken].assign(active_model=active[taken])
+            out, numbers[own] = _classified(snapshots, code[taken], numbers[own])
+            yield out
+        self.seen.update((_packed(list(place), models, numbers),))
 
     def close(self) -> None:
         pass
 
 
-def _before(keys: np.ndarray, water: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each snapshot's totals and the high water before it; the first one's are its own totals."""
-    now = np.nan_to_num(keys[1:, : len(_WATER)]).astype(np.int64)
-    start = now[:1] if np.isnan(water).all() else water.astype(np.int64)
-    return now, np.maximum.accumulate(np.vstack([start, now]))[:-1]
+#: A state's numbers: the high water, and the last accepted snapshot; what is null.
+_WIDTH, _NONE = len(_WATER) + len(_KEY), -(1 << 62)
 
 
-def _progress(keys: np.ndarray, water: np.ndarray) -> np.ndarray:
-    now, before = _before(keys, water)
-    progress = (now > before).any(axis=1)
-    progress[0] |= np.isnan(water).all()
-    return progress
+def _packed(paths: list, models: np.ndarray, numbers: np.ndarray) -> bytes:
+    held = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * _WIDTH), len(paths), [None, pa.py_buffer(numbers.tobytes())])
+    states = pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(models, pa.string()), held], ["path", "model", "numbers"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, states.schema) as out:
+        out.write_batch(states)
+    return sink.getvalue().to_pybytes()
 
 
-def _last_accepted(keys: np.ndarray, water: np.ndarray) -> np.ndarray:
-    """Up to each row of `keys`, of which the first is the state's, the last accepted one's place."""
-    progress = _progress(keys, water)
-    return np.maximum.accumulate(np.concatenate(([0], np.where(progress, np.arange(1, len(keys)), 0))))
+def _unpacked(states: bytes) -> tuple[list, list, np.ndarray]:
+    held = pa.ipc.open_stream(states).read_next_batch()
+    numbers = np.frombuffer(held["numbers"].buffers()[1], np.int64)[: held.num_rows * _WIDTH]
+    return held["path"].to_pylist(), held["model"].to_pylist(), numbers.reshape(-1, _WIDTH)
 
 
-def _classified(path, snapshots: pd.DataFrame, keys: np.ndarray, water: np.ndarray) -> pd.DataFrame:
-    """The rules of `operators.counter.classify`, from the state on."""
-    now, before = _before(keys, water)
-    accepted = _progress(keys, water)
-    first = np.zeros(len(now), bool)
-    first[0] = np.isnan(water).all()
+def _longs(rows: pd.DataFrame, columns: list[str]) -> np.ndarray:
+    out = np.full((len(rows), len(columns)), _NONE)
+    for i, c in enumerate(columns):
+        if c in rows:
+            there = rows[c].notna().to_numpy(bool)
+            out[there, i] = rows[c].to_numpy()[there].astype(np.int64)
+    return out
+
+
+def _classified(snapshots: pd.DataFrame, code: np.ndarray, states: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
+    """The rules of `operators.counter.classify`, from the transcripts' states on, and their new states.
+
+    `snapshots` are in the order of `code`, their transcript's place in `states`, and of their offsets.
+    """
+    n, width = len(states), len(_WATER)
+    # each transcript's state stands before its snapshots
+    of = np.concatenate([np.arange(n), code])
+    order = np.argsort(of, kind="stable")
+    of, row = of[order], np.flatnonzero(order >= n)
+    keys = np.vstack([states[:, width:], _longs(snapshots, _KEY)])[order]
+    totals = keys[:, :width].copy()
+    totals[order < n] = states[:, :width]
+    totals[row] = np.where(totals[row] == _NONE, 0, totals[row])
+    water = pd.DataFrame(totals).groupby(of).cummax().to_numpy()
+
+    now, before = totals[row], water[row - 1]
+    first = before[:, 0] == _NONE
+    before = np.where(first[:, None], now, before)
+    accepted = (now > before).any(axis=1) | first
+    marks = np.arange(len(of))
+    marks[row[~accepted]] = 0
+    last_accepted = np.maximum.accumulate(marks)
+
     forked = snapshots["forked"].eq(True).to_numpy(bool) if "forked" in snapshots else np.zeros(len(now), bool)
     limit = np.where(first[:, None], now, np.maximum(0, now - before))
-    last = np.nan_to_num(keys[1:, len(_WATER) :]).astype(np.int64)
+    own, known = keys[row], keys[last_accepted[row - 1]]
+    last = np.where(own[:, width:] == _NONE, 0, own[:, width:])
     fenced = np.minimum(np.maximum(0, last), limit)
     stated = (last > 0).any(axis=1)
     explicit = stated & ((fenced > 0).any(axis=1) | (first & forked))
     use = np.where((first & forked & ~stated)[:, None], 0, np.where(explicit[:, None], fenced, limit))
-    known, own = keys[_last_accepted(keys, water)[:-1]], keys[1:]
-    same = ((known == own) | (np.isnan(known) & np.isnan(own))).all(axis=1)
+    same = (known == own).all(axis=1)
     at = snapshots["at"].astype("Int64") if "at" in snapshots else pd.Series([pd.NA] * len(now), dtype="Int64")
-    out = pd.DataFrame({"path": path, "byte_offset": snapshots["byte_offset"].to_numpy(), "at": at.to_numpy(), "active_model": snapshots["active_model"].to_numpy(), "is_snapshot": True}, index=range(len(now)))
+    out = pd.DataFrame({"path": snapshots["path"].to_numpy(), "byte_offset": snapshots["byte_offset"].to_numpy(), "at": at.to_numpy(), "active_model": snapshots["active_model"].to_numpy(), "is_snapshot": True}, index=range(len(now)))
     out[_TOTALS] = now
     out["accepted"], out["decreased"] = accepted, (now < before).any(axis=1)
     out["explicit"], out["status"] = explicit, np.select([accepted, same], ["accepted", "duplicate"], "stale")
     out[[f"use_{c}" for c in COUNTERS]] = use
-    return out
+    end = np.append(np.searchsorted(of, np.arange(1, n)), len(of)) - 1
+    return out, np.hstack([water[end], keys[last_accepted[end]]])
 
 
-def classified(rows: DataFrame) -> DataFrame:
+def classified(rows: DataFrame, groups: int = 1024) -> DataFrame:
     """Streaming rows (path, byte_offset, model, tot_*, and where there are any last_*, forked and `at`,
     an instant in microseconds that is passed on) as classified snapshots: the columns that `counter.requests`, `counter.long_context` and
     `counter.diagnostics` read.
 
     Only new rows are handled, in offset order inside a batch; a batch must not hold rows before
     those of an earlier one.  A total that is null beside tot_input counts as zero; totals are below
-    2^53.  Memory: one
-    batch's rows of one transcript, which the source's maxFilesPerTrigger bounds.
+    2^53.  Transcripts are dealt into `groups`, which stay as they are for a checkpoint.  Memory: one
+    batch's rows of one group, which the source's maxFilesPerTrigger bounds, and some 200 bytes for each
+    of its transcripts; so many groups that these are few.
     """
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
-    return rows.groupBy("path").transformWithStateInPandas(CounterState(), CLASSIFIED, "append", "none")
+    dealt = rows.withColumn("_group", F.pmod(F.xxhash64("path"), F.lit(groups)))
+    return dealt.groupBy("_group").transformWithStateInPandas(CounterState(), CLASSIFIED, "append", "none")
 
 
 def counter_deltas(rows: DataFrame) -> DataFrame:

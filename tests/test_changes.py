@@ -4,6 +4,7 @@ from datetime import datetime
 from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,3 +202,43 @@ def test_a_cluster_needs_a_shared_folder():
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         working_folder(session, "x")
+
+
+def test_many_transcripts_share_one_state():
+    """A key's rows of many transcripts are handled at once, with one read and one write of the state,
+    and give what each transcript gives by itself."""
+
+    class Value:
+        held, writes = None, 0
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held, self.writes = value, self.writes + 1
+
+    def state():
+        value, made = Value(), streams.CounterState()
+        made.init(type("Handle", (), {"getValueState": lambda self, *_: value})())
+        return made, value
+
+    rng = np.random.default_rng(3)
+    columns = [*counter.TOTALS, *counter.LASTS]
+    rows = pd.DataFrame(rng.integers(0, 40, (2000, 12)).astype(float), columns=columns)
+    rows.loc[rng.random(2000) < 0.1, columns] = np.nan
+    rows["path"], rows["byte_offset"] = rng.integers(0, 50, 2000).astype(str), np.arange(2000)
+    rows["model"] = rng.choice(["a", "b", "", None], 2000)
+    batches = [rows[:700], rows[700:]]
+    together, value = state()
+    got = pd.concat([x for b in batches for x in together.handleInputRows((1,), iter([b[:100], b[100:]]), None)])
+    assert value.writes == 2
+    alone = []
+    for path, _ in rows.groupby("path"):
+        one, _ = state()
+        alone += [x for b in batches for x in one.handleInputRows((1,), iter([b[b["path"] == path]]), None)]
+    want = pd.concat(alone)
+    order = ["path", "byte_offset"]
+    pd.testing.assert_frame_equal(got.sort_values(order, ignore_index=True), want.sort_values(order, ignore_index=True))
