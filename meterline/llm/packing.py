@@ -110,10 +110,46 @@ def _id_type(path: str) -> np.dtype:
     return np.dtype("<u2" if vocabulary_size(path) <= 1 << 16 else "<u4")
 
 
+#: Sequences that are filled, passed on and read at once.
+AT_ONCE = 256
 #: What a sequence holds of each of its pieces.
 _PARTS = {"doc_ids": "doc_id", "starts": "start", "lengths": "length", "doc_tokens": "doc_tokens"}
 
 
+def group_sequences(group: int, batches: Iterator[pa.RecordBatch], id_bytes: int, window: int, pad_id: int) -> Iterator[pa.RecordBatch]:
+    """The sequences of one group's pieces, as of `pack`; `AT_ONCE` of them have their padded ids at once."""
+    rows = pa.Table.from_batches(list(batches)).combine_chunks()
+    length = rows["length"].to_numpy()
+    order = np.argsort(-length, kind="stable")
+    at, offset = best_fit_decreasing(length[order], window)
+    order = order[np.lexsort((offset, at))]
+    length = length[order]
+    at = np.sort(at)
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    upto = np.concatenate(([0], np.cumsum(length)))
+    ends = np.append(first, len(at))
+    filled = np.diff(upto[ends])
+    whole = np.where(filled & (filled - 1), window, filled)
+    place = np.concatenate(([0], np.cumsum(whole)))
+    offset = upto[:-1] - upto[first][at]
+    every = {c: rows[c].combine_chunks() for c in ("ids", *_PARTS.values())}
+    for a in range(0, len(first), AT_ONCE):
+        b = min(a + AT_ONCE, len(first))
+        mine = slice(ends[a], ends[b])
+        some = pa.array(order[mine])
+        flat = np.full(place[b] - place[a], pad_id, np.int32)
+        held = every["ids"].take(some)
+        bounds = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1]
+        ids = np.frombuffer(held.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(f"<u{id_bytes}")
+        flat[ranges(place[at[mine]] - place[a] + offset[mine], length[mine])] = ids
+        lists = pa.array(ends[a : b + 1] - ends[a], pa.int32())
+        parts = [pa.ListArray.from_arrays(lists, every[c].take(some)) for c in _PARTS.values()]
+        offsets = pa.ListArray.from_arrays(lists, pa.array(offset[mine]))
+        number = (group << 40) + np.arange(a, b)
+        columns = [pa.array(number), pa.array(filled[a:b]), pa.ListArray.from_arrays(pa.array(place[a : b + 1] - place[a], pa.int32()), pa.array(flat)), *parts, offsets]
+        yield pa.RecordBatch.from_arrays(columns, ["sequence_id", "length", "ids", *_PARTS, "offsets"])
+
+
 def pack(cut: DataFrame, id_bytes: int, window: int = 1024, group_size: int = 8192, pad_id: int = 0) -> DataFrame:
     """(sequence_id, length, ids, doc_ids, starts, lengths, doc_tokens, offsets): the pieces `cut`
     (as of `pieces`, ids of `id_bytes` bytes) in sequences.
@@ -124,31 +160,8 @@ def pack(cut: DataFrame, id_bytes: int, window: int = 1024, group_size: int = 81
     cut = materialise(cut, "pieces")
     groups = max(1, -(-cut.count() // group_size))
 
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks()
-        length = rows["length"].to_numpy()
-        order = np.argsort(-length, kind="stable")
-        at, offset = best_fit_decreasing(length[order], window)
-        order = order[np.lexsort((offset, at))]
-        length = length[order]
-        at = np.sort(at)
-        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        upto = np.concatenate(([0], np.cumsum(length)))
-        filled = np.diff(upto[np.append(first, len(at))])
-        whole = np.where(filled & (filled - 1), window, filled)
-        place = np.concatenate(([0], np.cumsum(whole)))
-        offset = upto[:-1] - upto[first][at]
-        flat = np.full(place[-1], pad_id, np.int32)
-        held = rows["ids"].combine_chunks().take(pa.array(order))
-        bounds = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1]
-        ids = np.frombuffer(held.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(f"<u{id_bytes}")
-        flat[ranges(place[at] + offset, length)] = ids
-        lists = pa.array(np.append(first, len(at)), pa.int32())
-        parts = [pa.ListArray.from_arrays(lists, rows[c].combine_chunks().take(pa.array(order))) for c in _PARTS.values()]
-        offsets = pa.ListArray.from_arrays(lists, pa.array(offset))
-        number = (key[0].as_py() << 40) + np.arange(len(first))
-        columns = [pa.array(number), pa.array(filled), pa.ListArray.from_arrays(pa.array(place, pa.int32()), pa.array(flat)), *parts, offsets]
-        return pa.Table.from_arrays(columns, ["sequence_id", "length", "ids", *_PARTS, "offsets"])
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from group_sequences(key[0].as_py(), batches, id_bytes, window, pad_id)
 
     dealt = cut.withColumn("grp", F.pmod(F.monotonically_increasing_id(), F.lit(groups)))
     kind = cut.schema["doc_id"].dataType.simpleString()
@@ -166,7 +179,7 @@ def placed(sequences: DataFrame) -> DataFrame:
     CRC-32 of the ids that its sequence holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(i, AT_ONCE) for x in batches for i in range(0, x.num_rows, AT_ONCE)):
             lists = {c: b.column(c) for c in [*_PARTS, "offsets"]}
             n = pc.list_value_length(lists["starts"]).to_numpy(zero_copy_only=False)
             flat = b.column("ids").flatten().to_numpy().astype("<u4")

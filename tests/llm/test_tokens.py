@@ -113,6 +113,21 @@ def test_packing(docs, crowded):
         check_packed(packing.placed(packing.packed(df, BYTE, 0, window=64)).collect(), texts, 64)
 
 
+def test_sequences_of_a_group_come_in_steps(monkeypatch):
+    """No batch holds a whole group's padded ids, and the steps give the sequences of one go."""
+    rng = np.random.default_rng(1)
+    length = rng.integers(1, 65, 900)
+    ids = [rng.integers(1, 60_000, n).astype("<u2").tobytes() for n in length]
+    cut = pa.RecordBatch.from_pydict({"doc_id": np.arange(900), "start": np.zeros(900, int), "length": length, "doc_tokens": length, "ids": ids})
+    found = []
+    for step in (7, 10**6):
+        monkeypatch.setattr(packing, "AT_ONCE", step)
+        made = list(packing.group_sequences(3, iter([cut[:500], cut[500:]]), 2, 64, 0))
+        assert all(b.num_rows <= step for b in made)
+        found.append(pa.Table.from_batches(made).combine_chunks())
+    assert len(found[0]) > 100 and found[0].equals(found[1])
+
+
 def test_sequences_hold_their_pieces(docs):
     rows = docs.collect()
     texts = collections.defaultdict(list)
