@@ -65,7 +65,7 @@ def exists(spark: SparkSession, uri: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
-def _delete(spark: SparkSession, uri: str) -> None:
+def delete(spark: SparkSession, uri: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -107,7 +107,7 @@ class BucketStore:
             if exists(self.spark, f"{folder}/mark/_SUCCESS"):
                 self._apply(folder)
             else:
-                _delete(self.spark, folder)
+                delete(self.spark, folder)
 
     def _apply(self, folder: str) -> None:
         mark = json.loads(self.spark.read.text(f"{folder}/mark").first()[0])
@@ -117,7 +117,7 @@ class BucketStore:
             rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_id", "bucket").parquet(table.root)
         for kind, value in mark["note"].items():
             self.spark.createDataFrame([(value,)], "value bigint").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/notes/{kind}")
-        _delete(self.spark, folder)
+        delete(self.spark, folder)
 
     def note(self, kind: str) -> int | None:
         """The last noted number of a kind."""

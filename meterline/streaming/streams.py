@@ -20,7 +20,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ..functions.usage import event_id, total_tokens
 from ..operators import counter
 from ..schema import COUNTERS
-from ..sources.buckets import BucketStore
+from ..sources.buckets import BucketStore, delete
+from ..sources.scratch import working_folder
 from ..sources.store import VersionedLedger, filtered
 from ..sources.transcripts import as_ledger, scan_counter
 
@@ -212,11 +213,15 @@ def upsert(rows: DataFrame, ledger: VersionedLedger, checkpoint: str) -> Streami
 def upsert_buckets(rows: DataFrame, store: BucketStore, table: str, checkpoint: str) -> StreamingQuery:
     """Keep the latest row of each key in a bucketed table: a micro-batch writes the buckets that its
     keys fall into, and notes its number with the same commit, so that one that runs again is passed
-    over.  The checkpoint's name is the stream's."""
+    over.  It is written down first, so that the stream's own steps run once a batch.  The checkpoint's
+    name is the stream's."""
     stream = re.sub(r"\W", "_", checkpoint.rstrip("/").rsplit("/", 1)[-1])
 
     def write(batch: DataFrame, number: int) -> None:
-        store.upsert(table, batch, stream, number)
+        spark, folder = batch.sparkSession, working_folder(batch.sparkSession, "batch")
+        batch.write.parquet(folder)
+        store.upsert(table, spark.read.schema(batch.schema).parquet(folder), stream, number)
+        delete(spark, folder)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

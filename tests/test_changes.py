@@ -242,3 +242,23 @@ def test_many_transcripts_share_one_state():
     want = pd.concat(alone)
     order = ["path", "byte_offset"]
     pd.testing.assert_frame_equal(got.sort_values(order, ignore_index=True), want.sort_values(order, ignore_index=True))
+
+
+def test_a_batch_is_worked_out_once(spark, tmp_path):
+    """An upsert of a stream runs the steps before it once a batch, however often it reads the rows."""
+    from meterline.sources.buckets import BucketStore
+
+    rows = spark.range(100).selectExpr("cast(id as string) id", "timestamp '2024-01-01' ts", "id byte_offset", "'s' source_id")
+    rows.write.parquet(f"{tmp_path}/in")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    store = BucketStore(spark, f"file:{tmp_path}/store")
+    table = store.table("rows", rows.schema, "id", ("id",), buckets=4)
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in").mapInArrow(counted, rows.schema)
+    streams.upsert_buckets(stream, store, "rows", f"{tmp_path}/state").awaitTermination()
+    assert table.read().count() == 100 and seen.value == 100
