@@ -8,6 +8,9 @@ have grown by their last conversation.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import suppress
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyarrow import fs
@@ -29,42 +32,63 @@ _START = 1704067200
 _THREADS = "id string, path string, model string, parent_id string, is_subagent boolean"
 
 
-def _write_lines(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    """Sorted (file, bytes) rows as one file each, which appears whole."""
-    local = "://" not in folder or folder.startswith("file:")
-    system, base = (fs.LocalFileSystem(), B._bare(folder)) if local else fs.FileSystem.from_uri(folder)
-    system.create_dir(base, recursive=True)
-    name, out = None, None
+def _system(uri: str) -> tuple[fs.FileSystem, str]:
+    local = "://" not in uri or uri.startswith("file:")
+    return (fs.LocalFileSystem(), B._bare(uri)) if local else fs.FileSystem.from_uri(uri)
+
+
+def _write_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (folder, file, bytes) rows as one file each, which appears whole."""
+    systems, name, out = {}, None, None
 
     def close() -> None:
         out.close()
-        system.move(f"{base}/.{name}", f"{base}/{name}.jsonl")
+        system, base = systems[name[0]]
+        system.move(f"{base}/.{name[1]}", f"{base}/{name[1]}.jsonl")
 
     for b in batches:
-        for file, value in zip(b.column("file").to_pylist(), b.column("bytes").to_pylist()):
-            if file != name:
+        named = zip(b.column("folder").to_pylist(), b.column("file").to_pylist())
+        for key, rows in groupby(zip(named, b.column("bytes").to_pylist()), itemgetter(0)):
+            if key != name:
                 if out:
                     close()
-                name, out = file, system.open_output_stream(f"{base}/.{file}")
-            out.write(value)
+                if key[0] not in systems:
+                    systems[key[0]] = _system(key[0])
+                    systems[key[0]][0].create_dir(systems[key[0]][1], recursive=True)
+                system, base = systems[key[0]]
+                name, out = key, system.open_output_stream(f"{base}/.{key[1]}")
+            out.write(b"".join(value for _, value in rows))
     if out:
         close()
     yield pa.RecordBatch.from_pydict({"file": pa.array([], pa.string())})
 
 
-def _write(rows: DataFrame, order: list[str], folder: str) -> str:
-    """`rows` (file, value, and `order`) as files below `folder`, a line a row, or its bytes where `value`
-    is binary; files that are there are replaced."""
+def _write_dealt(rows: DataFrame, order: list[str]) -> None:
+    """`rows` (folder, file, value, and `order`), of which no two partitions share a file, as files, a line a
+    row, or its bytes where `value` is binary; files that are there are replaced."""
     data = F.col("value") if dict(rows.dtypes)["value"] == "binary" else F.concat("value", F.lit("\n")).cast("binary")
-    dealt = rows.select(F.col("file").cast("string").alias("file"), *order, data.alias("bytes")).repartition("file").sortWithinPartitions("file", *order)
-    dealt.select("file", "bytes").mapInArrow(lambda batches: _write_lines(batches, folder), "file string").count()
+    rows = rows.select("folder", F.col("file").cast("string").alias("file"), *order, data.alias("bytes")).sortWithinPartitions("folder", "file", *order)
+    rows.select("folder", "file", "bytes").mapInArrow(_write_lines, "file string").count()
+
+
+def _write(rows: DataFrame, order: list[str], folder: str) -> str:
+    """`rows` (file, value, and `order`) as files below `folder`."""
+    _write_dealt(rows.repartition("file").withColumn("folder", F.lit(folder)), order)
     return folder
 
 
-def _remove(spark: SparkSession, folder: str, names: list[str]) -> None:
-    for name in names:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.jsonl")
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
+def _remove(files: DataFrame) -> None:
+    """Remove the `files` (folder, file) that are there, in tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for folder, file in zip(b.column("folder").to_pylist(), b.column("file").to_pylist()):
+                system, base = _system(folder)
+                with suppress(FileNotFoundError):
+                    system.delete_file(f"{base}/{file}.jsonl")
+        yield pa.RecordBatch.from_pydict({"file": pa.array([], pa.string())})
+
+    files.select("folder", F.col("file").cast("string").alias("file")).mapInArrow(run, "file string").count()
 
 
 def _turns(spark: SparkSession, sf: str, later: bool) -> DataFrame:
@@ -77,9 +101,9 @@ def _turns(spark: SparkSession, sf: str, later: bool) -> DataFrame:
     return turns.where((F.col("kind") != 5) & ~(grown & (F.pmod("conv_id", F.lit(_EACH)) == _EACH - 1)))
 
 
-def _gone(turns: DataFrame) -> list[str]:
-    """The files that the later state lacks."""
-    return [str(r.file) for r in turns.where("kind = 3").select("file").distinct().collect()]
+def _gone(spark: SparkSession, sf: str) -> DataFrame:
+    """The files (file) that the later state lacks."""
+    return _turns(spark, sf, later=False).where("kind = 3").select("file").distinct()
 
 
 def _plain(spark: SparkSession, sf: str, folder: str, later: bool) -> str:
@@ -105,7 +129,7 @@ def _two_states(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
     earlier = N.file_listing(spark, [folder])
     earlier = spark.createDataFrame(earlier.collect(), earlier.schema)  # as it is now: the folder will change
     _plain(spark, sf, folder, later=True)
-    _remove(spark, folder, _gone(_turns(spark, sf, later=False)))
+    _remove(_gone(spark, sf).withColumn("folder", F.lit(folder)))
     return folder, earlier
 
 
@@ -162,7 +186,7 @@ def stream_live_ledger(spark, sf):
     store = R.LedgerStore(spark, working_folder(spark, "live"), buckets=8)
     for later in (False, True):
         turns = _turns(spark, sf, later).where("kind <> 6")
-        _write(_counter_lines(turns, later).where("turn >= 0"), _ORDER, folder)
+        _transcripts(turns, later, folder, headers=False)
         rows = streams.live_ledger(B.stream_growing(spark, [folder]), "live")
         streams.upsert_buckets(rows, store, "ledger", state).awaitTermination()
     return store.ledger.read().select(_file("source_path").alias("file"), "model", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "input", "output")
@@ -175,11 +199,15 @@ def _time(at: Column) -> Column:
     return F.date_format(F.timestamp_seconds(at), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
-def _counter_lines(turns: DataFrame, later: bool) -> DataFrame:
-    """Transcripts with a header, tasks, turn contexts and snapshots.  Of three files one is a fork made
-    when its third conversation began, so the first three are inherited."""
+def _counter_values(turns: DataFrame, later: bool) -> tuple[DataFrame, list[Column]]:
+    """`turns` dealt by file, and what a transcript has of each: a header (at its first one), a task (at
+    a conversation's first), a turn context and a snapshot.  Of three files one is a fork made when its
+    third conversation began, so the first three are inherited."""
     begun = F.lit(_START) + F.col("conv_id") * 3600
-    turns = turns.withColumn("total", F.sum("n").over(Window.partitionBy("conv_id").orderBy("turn")))
+    # both windows keep to the files' exchange
+    first = F.row_number().over(Window.partitionBy("file").orderBy("conv_id", "turn")) == 1
+    tasks = turns.sparkSession.sparkContext.defaultParallelism * 4  # a turn here is few bytes, and its lines many
+    turns = turns.repartition(tasks, "file").withColumns({"first": first, "total": F.sum("n").over(Window.partitionBy("file", "conv_id").orderBy("turn"))})
     # a rewritten file's earlier state has other numbers
     total = F.col("total") + F.when((F.col("kind") == 6) & F.lit(not later), 1).otherwise(0)
     usage = F.struct(total.alias("input_tokens"), F.floor(total / 2).alias("cached_input_tokens"), (total * 3).alias("output_tokens"))
@@ -187,33 +215,44 @@ def _counter_lines(turns: DataFrame, later: bool) -> DataFrame:
     snapshot = F.struct(at.alias("timestamp"), F.lit("event_msg").alias("type"), F.struct(F.lit("token_count").alias("type"), F.struct(usage.alias("total_token_usage")).alias("info")).alias("payload"))
     context = F.struct(at.alias("timestamp"), F.lit("turn_context").alias("type"), F.struct(F.concat(F.lit("m"), ((F.col("conv_id") + F.col("turn")) % 3).cast("string")).alias("model")).alias("payload"))
     task = F.struct(at.alias("timestamp"), F.lit("event_msg").alias("type"), F.struct(F.lit("task_started").alias("type"), begun.alias("started_at")).alias("payload"))
-    lines = F.filter(F.array(F.when(F.col("turn") == 0, F.to_json(task)), F.to_json(context), F.to_json(snapshot)), lambda x: x.isNotNull())
-    rows = turns.select("file", "conv_id", "turn", F.posexplode(lines).alias("rank", "value"))
     origin = F.when(F.pmod("file", F.lit(3)) == 1, F.concat(F.lit("o"), F.col("file").cast("string")))
     made = _time(F.lit(_START) + (F.col("file") * _EACH + 2) * 3600)
     header = F.struct(made.alias("timestamp"), F.lit("session_meta").alias("type"), F.struct(F.concat(F.lit("h"), F.col("file").cast("string")).alias("id"), origin.alias("forked_from_id")).alias("payload"))
-    headers = turns.select("file").distinct().select("file", F.lit(-1).cast("long").alias("conv_id"), F.lit(-1).alias("turn"), F.lit(0).alias("rank"), F.to_json(header).alias("value"))
-    return rows.unionByName(headers)
+    return turns, [F.when(F.col("first"), F.to_json(header)), F.when(F.col("turn") == 0, F.to_json(task)), F.to_json(context), F.to_json(snapshot)]
 
 
-def _message_lines(turns: DataFrame, later: bool) -> DataFrame:
-    """A message of two turns is written twice, so its last copy counts."""
+def _message_value(later: bool) -> Column:
+    """A turn's message; one of two turns is written twice, so its last copy counts."""
     n = F.col("n") + F.when((F.col("kind") == 6) & F.lit(not later), 1).otherwise(0)
     usage = F.struct(n.alias("input_tokens"), (F.col("n") * 2).alias("cache_read_input_tokens"), (F.col("turn") + 1).alias("output_tokens"))
     message = F.struct(F.concat_ws("-", F.lit("m"), "conv_id", F.floor(F.col("turn") / 2)).alias("id"), F.col("role").alias("model"), usage.alias("usage"))
-    line = F.struct(F.lit("assistant").alias("type"), F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("sessionId"), _time(F.lit(_START) + F.col("conv_id") * 3600 + F.col("turn") * 60).alias("timestamp"), message.alias("message"))
-    return turns.select("file", "conv_id", "turn", F.lit(0).alias("rank"), F.to_json(line).alias("value"))
+    return F.to_json(F.struct(F.lit("assistant").alias("type"), F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("sessionId"), _time(F.lit(_START) + F.col("conv_id") * 3600 + F.col("turn") * 60).alias("timestamp"), message.alias("message")))
+
+
+def _lines(turns: DataFrame, values: list[Column]) -> DataFrame:
+    """A row a value that is there: (file, conv_id, turn, rank, value), rank being its place in `values`."""
+    return turns.select("file", "conv_id", "turn", F.posexplode(F.array(*values)).alias("rank", "value")).where("value is not null")
+
+
+def _transcripts(turns: DataFrame, later: bool, folder: str, headers: bool = True) -> None:
+    """The counter provider's files below `folder`."""
+    turns, values = _counter_values(turns, later)
+    _write_dealt(_lines(turns, values if headers else values[1:]).withColumn("folder", F.lit(folder)), _ORDER)
 
 
 _ORDER = ["conv_id", "turn", "rank"]
 
 
+def _folder(root: str, provider: Column) -> Column:
+    """Odd files are in their provider's archive, the others live."""
+    return F.concat_ws("/", F.lit(root), provider, F.when(F.pmod("file", F.lit(2)) == 1, "archived").otherwise("live"))
+
+
 def _put(spark: SparkSession, sf: str, root: str, later: bool) -> None:
-    """Both providers' files: the counter provider's odd files in its archive, the others live."""
-    turns = _turns(spark, sf, later)
-    for provider, lines in (("counter", _counter_lines(turns, later)), ("message", _message_lines(turns, later))):
-        for odd, name in enumerate(("live", "archived")):
-            _write(lines.where(F.pmod("file", F.lit(2)) == odd), _ORDER, f"{root}/{provider}/{name}")
+    """Both providers' files, out of one exchange of the turns."""
+    turns, values = _counter_values(_turns(spark, sf, later), later)
+    provider = F.when(F.col("rank") == len(values), "message").otherwise("counter")
+    _write_dealt(_lines(turns, [*values, _message_value(later)]).withColumn("folder", _folder(root, provider)), _ORDER)
 
 
 def _sources(spark: SparkSession, root: str) -> DataFrame:
@@ -267,7 +306,7 @@ def fork_boundary_from_end(spark, sf):
     """Forked files' own beginnings, read from their ends until inherited tasks are met; they are those
     that all lines give."""
     root = working_folder(spark, "forks")
-    _write(_counter_lines(_turns(spark, sf, later=True), later=True), _ORDER, root)
+    _transcripts(_turns(spark, sf, later=True), True, root)
     listing = N.file_listing(spark, [root])
     heads = T.scan_header(B.read_ranges(B.whole_files(listing)))  # of such short files, all lines
     forks = R.materialised(heads.join(listing.select("path", "size"), "path").select("path", "size", "header_id", "created"), "forks")
@@ -287,10 +326,8 @@ def refresh_ledger(spark, sf):
     for later in (False, True):
         _put(spark, sf, root, later)
         if later:
-            gone = _gone(_turns(spark, sf, later=False))
-            for p in ("counter", "message"):
-                for name in ("live", "archived"):
-                    _remove(spark, f"{root}/{p}/{name}", gone)
+            provider = F.explode(F.array(F.lit("counter"), F.lit("message")))
+            _remove(_gone(spark, sf).select("file", provider.alias("provider")).select("file", _folder(root, F.col("provider")).alias("folder")))
         R.refresh(store, _sources(spark, root), *_dimensions(spark))
     return _grouped(store.ledger.read())
 
@@ -311,7 +348,7 @@ def refresh_plan(spark, sf):
     grew = F.max(F.pmod("conv_id", F.lit(_EACH)) == _EACH - 1).over(Window.partitionBy("file"))
     moved = kept.withColumn("grew", grew).where("kind in (5, 6) or (kind in (1, 2, 4) and grew)").withColumn("value", F.concat_ws(":", mark, "conv_id", "turn", "role", "n"))
     _write(moved, ["conv_id", "turn"], folder)
-    _remove(spark, folder, _gone(_turns(spark, sf, later=False)))
+    _remove(_gone(spark, sf).withColumn("folder", F.lit(folder)))
     listing = N.file_listing(spark, [folder]).select(F.lit("s").alias("source_id"), F.lit("message").alias("provider"), "path", "size", "modified")
     planned = R.plan(store, listing, ["s"])
     reads = F.when(F.col("kind").isin("new", "changed", "appended"), F.col("size") - F.col("start")).otherwise(0)

@@ -106,7 +106,7 @@ def cursor_states(spark, sf):
             lines = lines.where("kind in (5, 6) or (kind in (1, 2, 4) and grew)") if later else lines
             G._write(lines, ["conv_id", "turn"], folder)
             if later:
-                G._remove(spark, folder, G._gone(G._turns(spark, sf, later=False)))
+                G._remove(G._gone(spark, sf).withColumn("folder", F.lit(folder)))
         R.refresh(kept, sources, *G._dimensions(spark), full=stage == 3)
         states = kept.cursors().select(G._file().alias("file"), F.lit(stage).alias("stage"), "state")
         states = spark.createDataFrame(states.collect(), states.schema)  # as they are at this stage

@@ -29,6 +29,8 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 SPLIT_BYTES = 64 << 20
 #: Bytes of one read, and of one step back in search of a line's beginning.
 CHUNK, STEP_BACK = 4 << 20, 64 << 10
+#: Bytes of lines that make a batch.
+BATCH = 1 << 20
 #: What a split costs besides its bytes, in bytes, and how many splits of a file stay together at most.
 SPLIT_COST, TOGETHER = 64 << 10, 1024
 
@@ -119,18 +121,37 @@ def _together(split_bytes: int) -> int:
     return split_bytes * max(1, min(TOGETHER, SPLIT_BYTES // split_bytes))
 
 
-def _batch(path: str, place: int, block: bytes, ended: bool, keep: list[pa.Scalar] = ()) -> list[pa.Array]:
-    """A block of lines as columns; lines that are no UTF-8 have their bad bytes replaced."""
-    values = pc.split_pattern(pa.array([block[:-1] if ended else block], pa.large_binary()), pattern=b"\n").flatten()
-    size = pc.binary_length(values).to_numpy() + 1
-    offsets = place + np.concatenate(([0], np.cumsum(size)[:-1]))
-    try:
-        text, valid = values.cast(pa.string()), pa.repeat(pa.scalar(True), len(values))
-    except pa.ArrowInvalid:
-        plain = [v.decode("utf-8", "replace") for v in values.to_pylist()]
-        text, valid = pa.array(plain, pa.string()), pa.array([p.encode() == v for p, v in zip(plain, values.to_pylist())])
-    repeated = [pa.repeat(k, len(values)) for k in keep]
-    return [pa.repeat(pa.scalar(path, pa.string()), len(values)), pa.array(offsets, pa.int64()), text, pa.repeat(pa.scalar(ended), len(values)), valid, *repeated]
+class _Blocks:
+    """Blocks of lines that wait for a batch; small files share one, as it costs far more than few lines."""
+
+    def __init__(self):
+        self.held: list[tuple[int, str, int, bytes, bool]] = []
+        self.size = 0
+
+    def add(self, at: int, path: str, place: int, block: bytes, ended: bool) -> bool:
+        """Hold a block of a file, `at` being the row it came from; whether it is time for a batch."""
+        self.held.append((at, path, place, block, ended))
+        self.size += len(block)
+        return self.size >= BATCH
+
+    def columns(self, keep: list[pa.Array] = ()) -> list[pa.Array]:
+        """What is held as columns, with `keep` taken at the blocks' rows; lines that are no UTF-8 have
+        their bad bytes replaced."""
+        rows, paths, places, blocks, ended = zip(*self.held)
+        self.held, self.size = [], 0
+        blocks = [block if end else block + b"\n" for block, end in zip(blocks, ended)]
+        values = pc.split_pattern(pa.array([b"".join(blocks)[:-1]], pa.large_binary()), pattern=b"\n").flatten()
+        of = np.repeat(np.arange(len(blocks)), [block.count(b"\n") for block in blocks])
+        stops = np.cumsum(pc.binary_length(values).to_numpy() + 1)
+        began = np.cumsum([0, *map(len, blocks[:-1])])
+        offsets = np.concatenate(([0], stops[:-1])) + (np.array(places, np.int64) - began)[of]
+        try:
+            text, valid = values.cast(pa.string()), pa.repeat(pa.scalar(True), len(values))
+        except pa.ArrowInvalid:
+            plain = [v.decode("utf-8", "replace") for v in values.to_pylist()]
+            text, valid = pa.array(plain, pa.string()), pa.array([p.encode() == v for p, v in zip(plain, values.to_pylist())])
+        taken = pa.array(np.array(rows)[of])
+        return [pa.array(paths, pa.string()).take(pa.array(of)), pa.array(offsets, pa.int64()), text, pa.array(np.array(ended)[of]), valid, *(k.take(taken) for k in keep)]
 
 
 def read_ranges(ranges: DataFrame, keep: tuple[str, ...] = (), split_bytes: int = SPLIT_BYTES, meter: Accumulator | None = None, aligned: bool = True) -> DataFrame:
@@ -154,13 +175,16 @@ def read_ranges(ranges: DataFrame, keep: tuple[str, ...] = (), split_bytes: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept = [b.column(k) for k in keep]
+            kept, held = [b.column(k) for k in keep], _Blocks()
             for i, (path, at, upto, begins, tail) in enumerate(zip(*(b.column(c).to_pylist() for c in ("path", "at", "upto", "begins", "tail")))):
                 reader = _Reader(path)
                 for place, block, ended in reader.split_lines(at, upto, begins, tail, int(split_bytes)):
-                    yield pa.RecordBatch.from_arrays(_batch(path, place, block, ended, [k[i] for k in kept]), [*_FIELDS.names, *keep])
+                    if held.add(i, path, place, block, ended):
+                        yield pa.RecordBatch.from_arrays(held.columns(kept), [*_FIELDS.names, *keep])
                 if meter is not None:
                     meter.add(reader.taken)
+            if held.held:
+                yield pa.RecordBatch.from_arrays(held.columns(kept), [*_FIELDS.names, *keep])
 
     return splits.repartition(tasks).mapInArrow(run, schema)
 
@@ -256,9 +280,13 @@ class _GrowingReader(DataSourceStreamReader):
         return parts
 
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
-        for path, start, stop, begins in partition.pieces:
+        held = _Blocks()
+        for i, (path, start, stop, begins) in enumerate(partition.pieces):
             for place, block, ended in _Reader(path).split_lines(start, stop, begins, False, self.split):
-                yield pa.RecordBatch.from_arrays(_batch(path, place, block, ended), schema=_FIELDS)
+                if held.add(i, path, place, block, ended):
+                    yield pa.RecordBatch.from_arrays(held.columns(), schema=_FIELDS)
+        if held.held:
+            yield pa.RecordBatch.from_arrays(held.columns(), schema=_FIELDS)
 
 
 class GrowingLines(DataSource):

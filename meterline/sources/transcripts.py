@@ -38,12 +38,18 @@ def _source(source_id: str | Column) -> Column:
     return F.lit(source_id) if isinstance(source_id, str) else source_id
 
 
+def _parsed(lines: DataFrame, schema: str, *keep: str | Column) -> DataFrame:
+    """`keep` and j, the parsed value: made by a generator, as Spark would else copy the parser into
+    every condition on j, and parse a line once for each."""
+    return lines.select(*keep, F.explode(F.array(F.from_json("value", schema))).alias("j"))
+
+
 def scan_message(lines: DataFrame, source_id: str | Column) -> DataFrame:
     """Ledger rows of per-message lines (path, byte_offset, value), the latest copy inside each file;
     `source_id` is a name or a column of the lines."""
     lines = lines.withColumn("source_id", _source(source_id))
-    j = F.from_json("value", _MESSAGE)
-    rows = candidates(lines, '"usage"').where(F.contains("value", F.lit('"assistant"'))).select("path", "source_id", "byte_offset", j.alias("j")).where("j.type = 'assistant' and j.message.id is not null and j.sessionId is not null and j.message.usage is not null")
+    held = candidates(lines, '"usage"').where(F.contains("value", F.lit('"assistant"')))
+    rows = _parsed(held, _MESSAGE, "path", "source_id", "byte_offset").where("j.type = 'assistant' and j.message.id is not null and j.sessionId is not null and j.message.usage is not null")
     u = "j.message.usage"
 
     def n(field: str) -> Column:
@@ -93,9 +99,8 @@ def message_events(lines: DataFrame, source_id: str | Column, accounts: DataFram
 def scan_counter(lines: DataFrame) -> DataFrame:
     """Counter lines (path, byte_offset, value, and `ended` where they have it): snapshots, and changes
     of model, which win where a line is both."""
-    j = F.from_json("value", _EVENT)
     ended = F.col("ended") if "ended" in lines.columns else F.lit(True)
-    rows = candidates(lines, "token_count", "turn_context").select("path", "byte_offset", ended.alias("ended"), j.alias("j"))
+    rows = _parsed(candidates(lines, "token_count", "turn_context"), _EVENT, "path", "byte_offset", ended.alias("ended"))
     turn = F.col("j.type") == "turn_context"
     total, last = "j.payload.info.total_token_usage", "j.payload.info.last_token_usage"
     snapshot = ~turn & F.col(total).isNotNull()
@@ -109,7 +114,7 @@ def scan_header(lines: DataFrame) -> DataFrame:
     """(path, header_id, origin_id, parent_id, is_spawned, created): the first line of each file, if
     it names the transcript that it was forked from."""
     first = lines.where("byte_offset = 0").select("path", "value")
-    j = first.select("path", F.from_json("value", _EVENT).alias("j"), "value")
+    j = _parsed(first, _EVENT, "path", "value")
     spawned = F.get_json_object("value", "$.payload.source.subagent.thread_spawn.parent_thread_id")
     header = j.select("path", F.col("j.payload.id").alias("header_id"), F.col("j.payload.forked_from_id").alias("origin_id"), F.coalesce("j.payload.parent_thread_id", spawned, "j.payload.forked_from_id").alias("parent_id"), (F.col("j.payload.parent_thread_id").isNotNull() | spawned.isNotNull()).alias("is_spawned"), F.floor(F.unix_micros(U.parse_instant(F.col("j.timestamp"))) / 1000000).alias("created"))
     return header.where("origin_id is not null")
@@ -117,8 +122,7 @@ def scan_header(lines: DataFrame) -> DataFrame:
 
 def scan_tasks(lines: DataFrame) -> DataFrame:
     """(path, byte_offset, started_at, turn_id) of task-started lines."""
-    j = F.from_json("value", _EVENT)
-    rows = candidates(lines, "task_started").select("path", "byte_offset", j.alias("j")).where("j.payload.type = 'task_started'")
+    rows = _parsed(candidates(lines, "task_started"), _EVENT, "path", "byte_offset").where("j.payload.type = 'task_started'")
     return rows.select("path", "byte_offset", F.col("j.payload.started_at").alias("started_at"), F.col("j.payload.turn_id").alias("turn_id"))
 
 
@@ -210,9 +214,8 @@ def final_snapshot(lines: DataFrame, source_id: str) -> DataFrame:
 
 def scan_counter_any_time(lines: DataFrame) -> DataFrame:
     """Snapshots whether or not their line has a time."""
-    j = F.from_json("value", _EVENT)
     total = "j.payload.info.total_token_usage"
-    rows = candidates(lines, "token_count").select("path", "block", "seq", "modified", j.alias("j")).where(F.col(total).isNotNull())
+    rows = _parsed(candidates(lines, "token_count"), _EVENT, "path", "block", "seq", "modified").where(F.col(total).isNotNull())
     return rows.select("path", "block", "seq", "modified", U.parse_instant(F.col("j.timestamp")).alias("ts"), *[F.coalesce(F.col(f"{total}.{f}"), F.lit(0)).cast("long").alias(f"tot_{c}") for c, f in _FIELDS.items()])
 
 

@@ -9,6 +9,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from meterline.plans import growing as G
 from meterline.schema import LEDGER
 from meterline.sources import byte_ranges as B
 from meterline.sources import lines as N
@@ -76,6 +77,65 @@ def test_small_splits_and_small_files_share_tasks(spark, tmp_path):
     assert sum(b.num_rows for p in planned for b in reader.read(p)) == 2000
 
 
+def test_small_files_share_batches(spark, tmp_path):
+    """A batch of many files holds each one's lines at their own offsets, and what is kept of its part."""
+    texts = ["one\ntwo\n", "\n", "no end", "", "\n\nlong é line\nx", "bad \udcff\nb\n"]
+    for k, text in enumerate(texts):
+        (tmp_path / str(k)).write_bytes(text.encode("utf-8", "surrogateescape"))
+    files = [(f"file:{tmp_path}/{k}", 0, (tmp_path / str(k)).stat().st_size, str(k)) for k in range(len(texts))]
+    got = B.read_ranges(spark.createDataFrame(files, "path string, start long, stop long, name string"), keep=("name",))
+    want = []
+    for k, text in enumerate(texts):
+        data, at = text.encode("utf-8", "surrogateescape"), 0
+        for line in data.split(b"\n"):
+            if at < len(data):
+                ok = line.decode("utf-8", "replace").encode() == line
+                want.append((str(k), at, line.decode("utf-8", "replace"), at + len(line) < len(data), ok))
+            at += len(line) + 1
+    rows = got.collect()
+    assert sorted((r.name, r.byte_offset, r.value, r.ended, r.valid) for r in rows) == sorted(want)
+    assert all(r.path.endswith(f"/{r.name}") for r in rows)
+    reader = B._GrowingReader({"roots": "[]", "tasks": 1})
+    planned = reader.partitions({}, {path: n for path, _, n, _ in files})
+    assert [len(list(reader.read(p))) for p in planned] == [1]
+
+
+def test_batches_follow_their_bytes(tmp_path, monkeypatch):
+    monkeypatch.setattr(B, "BATCH", 10)
+    held, got = B._Blocks(), []
+    for k in range(7):
+        if held.add(k, str(k), 5 * k, b"a\nbc\n", True):
+            got.append([c.to_pylist() for c in held.columns()])
+    assert [len(g[0]) for g in got] == [4, 4, 4]
+    assert got[1][:3] == [["2", "2", "3", "3"], [10, 12, 15, 17], ["a", "bc", "a", "bc"]]
+
+
+def test_files_are_removed_in_tasks(spark, tmp_path):
+    """Those that are not there are passed over."""
+    for k in range(3):
+        put(tmp_path / "a" / f"{k}.jsonl", ["x"])
+        put(tmp_path / "b" / f"{k}.jsonl", ["x"])
+    G._remove(spark.createDataFrame([(f"file://{tmp_path}/a", 1), (f"{tmp_path}/b", 2), (f"{tmp_path}/b", 9)], "folder string, file long"))
+    assert sorted(str(f.relative_to(tmp_path)) for f in tmp_path.rglob("*.jsonl")) == ["a/0.jsonl", "a/2.jsonl", "b/0.jsonl", "b/1.jsonl"]
+
+
+def test_both_providers_are_written_out_of_one_exchange(spark, tmp_path, monkeypatch):
+    """Every file of a state in its folder, its lines in order, by one job of one shuffle."""
+    turns = [(c, t, "user", "x" * (c + t)) for c in range(12) for t in range(3)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    plans = []
+    kept = G._write_dealt
+    monkeypatch.setattr(G, "_write_dealt", lambda rows, order: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), kept(rows, order)))
+    G._put(spark, str(tmp_path), f"file://{tmp_path}/out", later=True)
+    assert len(plans) == 1 and plans[0].count("Exchange") == 1
+    files = {str(f.relative_to(tmp_path / "out")): [json.loads(x) for x in f.read_text().splitlines()] for f in (tmp_path / "out").rglob("*.jsonl")}
+    assert files.keys() == {f"{p}/{'archived' if k % 2 else 'live'}/{k}.jsonl" for p in ("counter", "message") for k in range(3)}
+    assert [x["message"]["id"] for x in files["message/archived/1.jsonl"]] == [f"m-{c}-{t // 2}" for c in range(5, 10) for t in range(3)]
+    kinds = [x["payload"].get("type", x["type"]) for x in files["counter/live/2.jsonl"]]
+    assert kinds == ["session_meta", *(["task_started"] + ["turn_context", "token_count"] * 3) * 2]
+    assert files["counter/archived/1.jsonl"][0]["payload"] == {"id": "h1", "forked_from_id": "o1"}
+
+
 def test_only_the_part_is_read(spark, tmp_path):
     put(tmp_path / "a.jsonl", [f"line {i}" for i in range(10_000)])
     size = (tmp_path / "a.jsonl").stat().st_size

@@ -277,3 +277,10 @@ def test_top_children(spark, limit, want):
     rows = rows.withColumns({"provider": F.lit("message"), "source_id": F.lit("s"), "parent_session_id": F.lit(None).cast("string"), **{c: F.lit(0).cast("long") for c in ("cached", "cache_w5m", "cache_w1h", "output")}})
     assert sorted(r.session_id for r in S.top_subagents(rows, limit).collect()) == want
     assert sorted(r.session_id for r in S.top_detail(rows, limit).collect()) == want
+
+
+def test_a_line_is_parsed_once(spark):
+    """Conditions on what was parsed do not parse again."""
+    lines = spark.createDataFrame([], "path string, byte_offset long, value string").repartition(2)
+    for rows in (T.scan_message(lines, "s"), T.scan_counter(lines), T.scan_header(lines), T.scan_tasks(lines)):
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
